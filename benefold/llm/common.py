@@ -39,7 +39,7 @@ _S29, _S32 = np.uint64(29), np.uint64(32)
 def mix(a: np.ndarray, b) -> np.ndarray:
     """64-bit name of a pair of 64-bit names (wraps around)."""
     z = a * _C1
-    z += b * _C2
+    z += np.atleast_1d(b) * _C2
     z ^= z >> _S29
     z *= _C3
     z ^= z >> _S32

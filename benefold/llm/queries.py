@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import bpe, minhash_dedup, mixing, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash_dedup.op1,
+    "op3_source_mixing": mixing.op3,
     "op4_suffix_array_dedup": suffix_dedup.op4,
+    "op8_toxicity": toxicity.op8,
+    "op10_byte_bpe": bpe.op10,
 }
 ORACLES: dict[str, str] = {}
