@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,3 +92,21 @@ def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[data] * _POWERS["p"][:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _POWERS["i"][starts], (ends - starts).astype(np.uint64))
+
+
+# --- joining on counted keys --------------------------------------------------------------------------------
+
+
+def count_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, _n): how often each key occurs, counted map-side first."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n"))
+
+
+def join_keys(df: DataFrame, keyed: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with a table that was grouped by the same keys.
+
+    A further key, derived from the others, keeps Spark from reusing the grouping's partitions for the join: both sides
+    are exchanged for the join itself, and adaptive execution can then split a key that holds very many rows.
+    """
+    mark = F.pmod(F.hash(*keys), F.lit(1009)).alias("_mark")
+    return df.select("*", mark).join(keyed.select("*", mark), [*keys, "_mark"], how).drop("_mark")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash_dedup, mixing, suffix_dedup, toxicity
+from . import bpe, html_text, license_scan, minhash_dedup, mixing, suffix_dedup, toxicity, vector_dedup, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash_dedup.op1,
+    "op2_vector_near_dedup": vector_dedup.op2,
     "op3_source_mixing": mixing.op3,
     "op4_suffix_array_dedup": suffix_dedup.op4,
+    "op5_warc": warc.op5,
+    "op7_license_scan": license_scan.op7,
     "op8_toxicity": toxicity.op8,
+    "op9_html_text": html_text.op9,
     "op10_byte_bpe": bpe.op10,
 }
 ORACLES: dict[str, str] = {}
