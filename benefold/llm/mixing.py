@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
 
@@ -104,11 +104,15 @@ def _fit(batches: Iterator) -> Iterator:
         yield pd.DataFrame(out, columns=["no", "size", "passes", "extra"])
 
 
+def words(text) -> Column:
+    """Size of a text: its runs of other than ASCII white space; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
         weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(id, size, source_size, target, copies) for every row: copies is how often the mix has the document (0, 1, 2)."""
-    size = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
     rows = stored(rows.withColumns({"h": F.xxhash64(F.lit(seed), "id"), "range": F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(RANGES)).cast("int")}))
     ranges = stored(rows.groupBy("source", "size", "range").agg(F.count("*").alias("n")))
     lengths = ranges.groupBy("source", "size").agg(F.sum("n").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, license_scan, minhash_dedup, mixing, suffix_dedup, toxicity, vector_dedup, warc
+from . import bpe, html_text, imatch, license_scan, minhash_dedup, mixing, suffix_dedup, toxicity, vector_dedup, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash_dedup.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mixing": mixing.op3,
     "op4_suffix_array_dedup": suffix_dedup.op4,
     "op5_warc": warc.op5,
+    "op6_imatch": imatch.op6,
     "op7_license_scan": license_scan.op7,
     "op8_toxicity": toxicity.op8,
     "op9_html_text": html_text.op9,

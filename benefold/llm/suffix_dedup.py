@@ -31,6 +31,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import blocks, byte_column, mix, stored
@@ -268,15 +269,25 @@ def _cut(min_len: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200) -> DataFrame:
-    """(id, t: the text's bytes, spans: removed runs as byte ranges, kept: the other bytes), a row per row of ``docs``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    texts = texts.select("id", F.hash("t").alias("th"), "t")
-    windows = repeated_spans(texts, min_len).groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
-    windows = windows.withColumnsRenamed({"id": "_id", "th": "_th"})
-    both = texts.join(windows, _same("id", "th"), "left")
-    both = both.select("id", "t", "windows")
-    return both.mapInArrow(_cut(min_len), "id long, t binary, spans array<struct<first int, stop int>>, kept binary")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, t: the text's bytes, rest: the columns ``carry``, spans: removed runs as byte ranges, kept: the other bytes) for every row."""
+    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"), rest.alias("rest"))
+    rows = rows.select("id", F.hash("t").alias("th"), "t", "rest")
+    windows = repeated_spans(rows.select("id", "th", "t"), min_len).groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
+    both = rows.join(windows.withColumnsRenamed({"id": "_id", "th": "_th"}), _same("id", "th"), "left").select("id", "t", "rest", "windows")
+    kind = both.schema["rest"].dataType.simpleString()
+    return both.mapInArrow(_cut(min_len), f"id long, t binary, rest {kind}, spans array<struct<first: int, stop: int>>, kept binary")
+
+
+def decoded(column: str):
+    """Column: bytes as UTF-8 text; of a character that was cut through nothing stays."""
+
+    @F.pandas_udf("string")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: b.decode("utf-8", "ignore"))
+
+    return run(column)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
