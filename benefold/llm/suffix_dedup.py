@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, byte_column, mix, stored
+from .common import blocks, byte_column, join_keys, mix, stored
 
 GRAM = 40
 BLOCK = 16
@@ -210,10 +210,10 @@ def repeated_spans(texts: DataFrame, min_len: int = 200) -> DataFrame:
         raise ValueError(f"min_len must be {2 * GRAM} at least")
     anchors = stored(texts.mapInArrow(_scan(min_len), f"{_REF}, gram long, span long"))
     # round 1: names of 40 bytes
-    some = stored(anchors.join(_repeated(anchors, "gram"), "gram"))
+    some = stored(join_keys(anchors, _repeated(anchors, "gram"), ["gram"]))
     # round 2: whole spans; of the settled ones a witness each stays in play for the anchors that aren't settled
     spans = some.groupBy("gram", "span").agg(F.count("*").alias("_n"), F.min(F.struct(*REF)).alias("w")).where("_n > 1")
-    some = stored(some.join(spans.select("gram", "span", F.lit(True).alias("all")), ["gram", "span"], "left"))
+    some = stored(join_keys(some, spans.select("gram", "span", F.lit(True).alias("all")), ["gram", "span"], "left"))
     rest = some.where("all is null")
     seen = spans.join(rest.select("gram").distinct(), "gram", "left_semi").select("w.*", "gram", F.lit(False).alias("need"))
     # round 3: blocks of windows
@@ -222,10 +222,10 @@ def repeated_spans(texts: DataFrame, min_len: int = 200) -> DataFrame:
     docs = texts.join(todo.withColumnsRenamed({"id": "_id", "th": "_th"}), _same("id", "th")).select("id", "th", "t", "todo")
     parts = stored(docs.mapInArrow(_snippets(min_len), f"{_REF}, gram long, need boolean, bytes binary"))
     named = parts.mapInArrow(_block_names(min_len), f"{_REF}, gram long, need boolean, block int, far int, near int, common long, span long")
-    named = stored(named.join(_repeated(named, "gram", "block", "common"), ["gram", "block", "common"]))
+    named = stored(join_keys(named, _repeated(named, "gram", "block", "common"), ["gram", "block", "common"]))
     kind = ["gram", "far", "near", "span"]
     whole = _repeated(named, *kind).withColumn("all", F.lit(True))
-    named = stored(named.join(whole, kind, "left"))
+    named = stored(join_keys(named, whole, kind, "left"))
     # round 4: single windows
     kind = ["gram", "block", "common"]
     rest = named.where("need and all is null")
@@ -235,7 +235,7 @@ def repeated_spans(texts: DataFrame, min_len: int = 200) -> DataFrame:
     todo = todo.groupBy(*REF).agg(F.collect_list(F.struct("far", "near", "need")).alias("todo"))
     single = parts.drop("need").join(todo.withColumnsRenamed({c: f"_{c}" for c in REF}), _same(*REF)).select(*REF, "gram", "bytes", "todo")
     single = stored(single.mapInArrow(_window_names(min_len), "id long, th int, at int, gram long, need boolean, back int, name long"))
-    twice = single.where("need").join(_repeated(single, "gram", "back", "name"), ["gram", "back", "name"])
+    twice = join_keys(single.where("need"), _repeated(single, "gram", "back", "name"), ["gram", "back", "name"])
     cols = lambda far, near: ["id", "th", (F.col("at") - far).alias("first"), (F.col("at") - near).alias("last")]
     return (
         some.where("all").select(*cols(F.col("hi"), F.col("lo")))
