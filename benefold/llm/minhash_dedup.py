@@ -7,9 +7,9 @@ probability J_P, the probability Jaccard similarity of their weights.
 
 Signatures are cut into bands; documents that agree in a whole band share a bucket. In each bucket every document
 is verified against one centre (the document that meets most others), so a bucket of n costs n pairs. Documents
-of a bucket that are then still in another component than most of its members are verified against all of its
-members outside their own component: no link between documents that meet in a bucket is lost, and large groups
-of copies don't make squares of pairs.
+of a bucket that are then still in another component than most of its members (the odd ones) are verified against all of
+its members outside their own component, in tiles of the bucket, and give one link for each component they belong to: no
+link between documents that meet in a bucket is lost, and large groups of copies don't make squares of rows.
 
 Verified similarity: the larger of J_P and the Jaccard similarity of the shingle sets, ``threshold`` or more.
 
@@ -25,12 +25,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, byte_column, mix, span_names, stored
+from .common import blocks, byte_column, join_keys, mix, span_names, stored
 from .graph import components
 
 BANDS, ROWS = 28, 7
+#: Members of a bucket that are compared in one task, squared.
+TILE = 256
 _ONE = np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -132,10 +135,10 @@ def _shingle_lists(words: int):
                 raw, asked = part.tobytes(), batch.column("kind").slice(r0, r1 - r0).to_pylist()
                 right = pa.array([_kind(raw[x:y]) == k for x, y, k in zip(o.tolist(), o.tolist()[1:], asked, strict=False)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(r0, r1 - r0),
+                    batch.column("id").slice(r0, r1 - r0), batch.column("bands").slice(r0, r1 - r0),
                     pa.ListArray.from_arrays(ends, pa.array(name.view(np.int64))),
                     pa.ListArray.from_arrays(ends, pa.array(weight, pa.int32())),
-                ], names=["id", "sh", "w"]).filter(right)
+                ], names=["id", "bands", "sh", "w"]).filter(right)
     return run
 
 
@@ -179,6 +182,26 @@ def _verify(threshold: float):
     return run
 
 
+def _odd_links(threshold: float):
+    """Links of a bucket's odd members to members of other components: one for each member and component."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        key, lo, hi = key
+        ids, root, own, odd = (rows[c].to_numpy() for c in ("rep", "root", "own", "odd"))
+        sh, w, bands = rows["sh"].tolist(), rows["w"].tolist(), np.stack(rows["bands"].tolist())
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        found = []
+        for i in np.flatnonzero(odd).tolist():
+            others = (root != root[i]) & (~odd | (ids > ids[i])) & ((own != own[i]) | (lo == hi))
+            others &= ~(bands[:, :band] == bands[i, :band]).any(axis=1)  # a pair is looked at where it meets first
+            linked = set()
+            for j in np.flatnonzero(others).tolist():
+                if root[j] not in linked and similarity(sh[i], w[i], sh[j], w[j]) >= threshold:
+                    linked.add(root[j])
+                    found.append((ids[i], ids[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -191,35 +214,35 @@ def near_duplicates(
     reps = member.groupBy("kind").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    meet = stored(keys.join(shared, "key"))
+    meet = stored(join_keys(keys, shared, ["key"]))
     score = meet.groupBy("rep").agg(F.sum("n").alias("score"))
     meet = stored(meet.join(score, "rep").select("key", "rep", "score"))
     centre = meet.groupBy("key").agg((-F.max(F.struct("score", (-F.col("rep")).alias("neg")))["neg"]).alias("centre"))
-    pairs = meet.join(centre, "key").where("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
+    pairs = join_keys(meet, centre, ["key"]).where("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
 
-    wanted = reps.select(F.col("rep").alias("id"), "kind").join(meet.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    lists = stored(good.join(wanted, "id").mapInArrow(_shingle_lists(words), "id long, sh array<long>, w array<int>"))
+    wanted = reps.select(F.col("rep").alias("id"), "kind", "bands").join(meet.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    lists = stored(good.join(wanted, "id").mapInArrow(_shingle_lists(words), "id long, bands array<long>, sh array<long>, w array<int>"))
 
     def verified(found: DataFrame) -> DataFrame:
         found = found.distinct()
-        found = found.join(lists.withColumnsRenamed({"id": "b", "sh": "sb", "w": "wb"}), "b")
-        found = found.join(lists.withColumnsRenamed({"id": "a", "sh": "sa", "w": "wa"}), "a")
+        found = found.join(lists.drop("bands").withColumnsRenamed({"id": "b", "sh": "sb", "w": "wb"}), "b")
+        found = found.join(lists.drop("bands").withColumnsRenamed({"id": "a", "sh": "sa", "w": "wa"}), "a")
         return found.mapInArrow(_verify(threshold), "a long, b long, similarity double")
 
     links = stored(verified(pairs))
     root = components(links)
     placed = meet.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    most = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("parts"))
-    split = stored(placed.join(most.where("parts > 1"), "key"))
-    odd = split.where("root <> most").select("key", F.col("rep").alias("x"), F.col("root").alias("root_x"))
-    rest = odd.join(split.drop("parts"), "key").where("root_x <> root and (root = most or x > rep)")
-    rest = rest.select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-    rest = rest.join(pairs.distinct(), ["a", "b"], "left_anti")
-    more = stored(verified(rest))
+    most = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    split = join_keys(placed, most.where("parts > 1"), ["key"])
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    split = split.select("key", "rep", "root", (F.col("root") != F.col("most")).alias("odd"), F.pmod(F.hash("rep"), tiles).alias("own"), tiles.alias("tiles"))
+    split = split.join(lists.withColumnRenamed("id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    split = split.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "tiles")
+    more = stored(split.groupBy("key", "lo", "hi").applyInPandas(_odd_links(threshold), "a long, b long"))
     root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))
 
-    known = member.select("id", "kind").join(reps.select("kind", "rep"), "kind")
+    known = member.select("id", "kind").transform(join_keys, reps.select("kind", "rep"), ["kind"])
     known = known.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component"))
     rest = texts.select("id").distinct().join(known, "id", "left")
     return rest.select("id", F.coalesce("component", "id").alias("component"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
