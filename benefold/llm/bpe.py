@@ -14,19 +14,20 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, span_names
+from .common import blocks, byte_column, mix, span_names
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The contractions that the pattern cuts off, in its order.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-BLOCK_CHARS = 1 << 18
-KEPT_MISSES = 1 << 18
+BLOCK_BYTES = 1 << 18
+#: Misses remembered in each of two generations.
+KEPT_MISSES = 3 << 17
 _DIRECT = np.uint64(1 << 62)
 _LETTER, _NUMBER, _OTHER, _SPACE, _BLANK = range(5)
 
@@ -203,7 +204,7 @@ class Vocabulary:
 
     def _rank(self, a: int, b: int) -> int:
         found = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        if len(self.pairs) < 2 * KEPT_MISSES:
+        if len(self.pairs) < KEPT_MISSES:
             self.pairs[a << 32 | b] = found
         return found
 
@@ -213,67 +214,75 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 class Encoder:
+    """Encodes blocks of texts; remembers the tokens of misses, packed, up to a bound."""
+
     def __init__(self, path: str):
         self.words = vocabulary(path)
-        self.memory: dict[bytes, list[int]] = {}
+        self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def miss(self, word: bytes) -> bytes:
+        """Packed tokens of a pre-token that isn't in ``memory``; of two generations the older one is dropped when the younger is full."""
+        found = self.older.get(word)
+        if found is None:
+            found = array("I", self.words.merge(word)).tobytes()
+        if len(word) < 64:
+            if len(self.memory) >= KEPT_MISSES:
+                self.older, self.memory = self.memory, {}
+            self.memory[word] = found
+        return found
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)."""
-        sizes = np.array([len(t) for t in texts])
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         if not len(points):
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
         starts = pretoken_starts(points, bounds[:-1])
         width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
         place = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
-        raw = "".join(texts).encode("utf-8")
+        raw = whole.encode("utf-8")
         data = np.frombuffer(raw, np.uint8)
         s, e = place[starts], np.append(place[starts[1:]], len(data))
-        names = span_names(data, s, e)
-        ids = self.words.find(data, s, e, names)
+        ids = self.words.find(data, s, e, span_names(data, s, e))
         missing = np.flatnonzero(ids < 0)
         count = np.ones(len(ids), np.int64)
-        merged: list[list[int]] = []
-        if len(missing):
-            memory = self.memory
-            for a, b in zip(s[missing].tolist(), e[missing].tolist(), strict=True):
-                word = raw[a:b]
-                found = memory.get(word)
-                if found is None:
-                    found = self.words.merge(word)
-                    if len(word) < 64:
-                        if len(memory) >= KEPT_MISSES:
-                            memory.clear()
-                        memory[word] = found
-                merged.append(found)
-            count[missing] = [len(x) for x in merged]
+        merged: list[bytes] = []
+        for i, j in zip(s[missing].tolist(), e[missing].tolist(), strict=True):
+            word = raw[i:j]
+            found = self.memory.get(word)
+            merged.append(self.miss(word) if found is None else found)
+        count[missing] = np.array([len(x) for x in merged], np.int64) // 4
         first = np.concatenate([[0], np.cumsum(count)])
         out = np.repeat(ids, count)
-        if merged:
-            out[out < 0] = [x for found in merged for x in found]
-        return out, first[np.searchsorted(starts, bounds)]
+        out[out < 0] = np.frombuffer(b"".join(merged), np.uint32)
+        return out.astype("<u4"), first[np.searchsorted(starts, bounds)]
 
 
-def _encode(path: str, text_col: str, out_col: str):
+def _encode(path: str, text_col: str, out_col: str, packed: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = Encoder(path)
+        words = encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (size == 0 or size + len(texts[to]) <= BLOCK_CHARS):
-                    size += len(texts[to])
-                    to += 1
-                ids, offsets = encoder.block(texts[at:to])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
-                part = batch.slice(at, to - at)
+            _, offsets = byte_column(batch.column(text_col))
+            for r0, r1 in blocks(offsets, BLOCK_BYTES):
+                part = batch.slice(r0, r1 - r0)
+                ids, ends = words.block([t or "" for t in part.column(text_col).to_pylist()])
+                if packed:
+                    raw = ids.tobytes()
+                    lists = pa.array([raw[4 * i: 4 * j] for i, j in zip(ends.tolist(), ends.tolist()[1:], strict=False)], pa.binary())
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out_col])
-                at = to
     return run
 
 
@@ -284,9 +293,12 @@ def _decode(path: str, ids_col: str, out_col: str):
         tokens = vocabulary(path).tokens
         for batch in batches:
             column = batch.column(ids_col)
-            o, v = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).tolist()
-            out = [b"".join([tokens[i] for i in v[a:b]]) for a, b in zip(o.tolist(), o.tolist()[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
+            if pa.types.is_binary(column.type):
+                rows = (np.frombuffer(x.as_py(), "<u4").tolist() for x in column)
+            else:
+                rows = (x.as_py() or [] for x in column)
+            out = pa.array([b"".join([tokens[i] for i in row]) for row in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
     return run
 
 
@@ -296,38 +308,34 @@ def default_path() -> str:
     return public_tokenizers.path(RANKS)
 
 
-def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str | None = None) -> DataFrame:
-    """``df`` with the token ids of ``text_col`` in ``out_col`` (array of int)."""
-    kind = f"{_schema(df)}, `{out_col}` array<int>"
-    return df.mapInArrow(_encode(path or default_path(), text_col, out_col), kind)
+def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str | None = None, packed: bool = False) -> DataFrame:
+    """``df`` with the token ids of ``text_col``: an array of int, or packed as little-endian unsigned 32-bit integers."""
+    kind = "binary" if packed else "array<int>"
+    return df.mapInArrow(_encode(path or default_path(), text_col, out_col, packed), f"{_schema(df)}, `{out_col}` {kind}")
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
-    """``df`` with the bytes of the ids of ``ids_col`` in ``out_col`` (binary)."""
+    """``df`` with the bytes of the ids of ``ids_col`` (an array, or packed) in ``out_col`` (binary)."""
     return df.mapInArrow(_decode(path or default_path(), ids_col, out_col), f"{_schema(df)}, `{out_col}` binary")
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
+def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded", path: str | None = None, packed: bool = False) -> DataFrame:
+    """:func:`encode`, then :func:`decode`, in one Python process a task instead of two."""
+    path, kind = path or default_path(), "binary" if packed else "array<int>"
+    there, back = _encode(path, text_col, ids_col, packed), _decode(path, ids_col, out_col)
+    return df.mapInArrow(lambda batches: back(there(batches)), f"{_schema(df)}, `{ids_col}` {kind}, `{out_col}` binary")
 
-def ids_sha256(column: str):
-    """Lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    import hashlib
 
-    @F.pandas_udf("string")
-    def digest(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest())
-
-    return digest(column)
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = decode(encode(docs).drop("text"))
+    out = round_trip(docs, packed=True)
     return out.select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_sha256("token_ids").alias("ids_sha256"),
+        "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether these decode to the text."""
-    out = bpe.decode(bpe.encode(docs.select(*COLUMNS)), out_col="_bytes")
+    out = bpe.round_trip(docs.select(*COLUMNS), out_col="_bytes")
     same = F.col("_bytes") == F.coalesce("text", F.lit("")).cast("binary")
     return out.select(*COLUMNS, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
