@@ -1,7 +1,470 @@
-"""All registered queries on the driver's tables, with their DuckDB text."""
+"""All registered queries on the driver's tables, with their DuckDB text (written another way where there is one)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window, functions as F
+
+from ..functions import age, documents as D, income, refs, text as T
+from ..operators import edges, filters as P, nodes, quality, serve, survey
+from . import explain
+from .fixtures import benefits, cte, fixture, profiles
+
 FLAGSHIP = "match"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _docs(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+# --- matching -----------------------------------------------------------------------------------------------------
+
+_HIT = """
+  m AS (
+    SELECT p.profile_id, p.area_code AS p_area, p.age1, p.age2, p.is_pregnant, p.is_single_parent, p.has_disability, b.*,
+      b.target_text LIKE '%088%' AS sp, b.target_text LIKE '%090%' AS dis,
+      age1 IS NOT NULL AND coalesce(effective_min_age_months <= age1, true) AND coalesce(effective_max_age_months >= age1, true) AS ok1,
+      age2 IS NOT NULL AND coalesce(effective_min_age_months <= age2, true) AND coalesce(effective_max_age_months >= age2, true) AS ok2
+    FROM profiles p JOIN benefits b ON p.area_code IS NULL OR b.area_code = p.area_code OR b.area_code = '130001'),
+  r AS (
+    SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY
+        CASE WHEN is_single_parent AND sp THEN 0 ELSE 1 END, CASE WHEN has_disability AND dis THEN 0 ELSE 1 END,
+        CASE age_source WHEN 'explicit' THEN 0 WHEN 'inferred' THEN 1 ELSE 2 END, effective_min_age_months NULLS LAST, title, benefit_id) AS rank
+    FROM m WHERE CASE WHEN age1 IS NULL AND age2 IS NULL THEN (NOT is_pregnant OR is_prenatal) ELSE ok1 OR ok2 OR (is_pregnant AND is_prenatal) END),
+  matches AS (SELECT * FROM r WHERE rank <= 60)
+"""
+
+
+@query("match", cte("benefits", "profiles") + "," + _HIT + """
+SELECT profile_id, CAST(rank AS INT) AS rank, benefit_id,
+  concat_ws(',', CASE WHEN ok1 THEN CAST(age1 AS VARCHAR) END, CASE WHEN ok2 THEN CAST(age2 AS VARCHAR) END) AS matched_ages,
+  concat_ws(',', CASE WHEN is_pregnant AND is_prenatal THEN 'prenatal' END, CASE WHEN is_single_parent AND sp THEN 'single_parent' END, CASE WHEN has_disability AND dis THEN 'disability' END) AS matched_attributes,
+  concat_ws('|', CASE WHEN p_area IS NOT NULL THEN CASE WHEN area_code = '130001' THEN '東京都全域の制度' ELSE 'お住まいの' || area_name || 'が対象' END END,
+    CASE WHEN (ok1 OR ok2) AND (effective_min_age_months IS NOT NULL OR effective_max_age_months IS NOT NULL) THEN
+      'お子さん（' || concat_ws('・', CASE WHEN ok1 THEN '月齢' || age1 END, CASE WHEN ok2 THEN '月齢' || age2 END) || '）が対象範囲'
+      || coalesce(CAST(effective_min_age_months AS VARCHAR), '-') || '〜' || coalesce(CAST(effective_max_age_months AS VARCHAR), '-') || 'ヶ月に該当'
+      || CASE WHEN age_source = 'inferred' THEN '（対象年齢は本文からの推定）' ELSE '' END END,
+    CASE WHEN is_pregnant AND is_prenatal THEN '妊娠中の方が対象' END, CASE WHEN is_single_parent AND sp THEN 'ひとり親家庭向けに分類されている制度' END,
+    CASE WHEN has_disability AND dis THEN '障がいのあるお子さん向けに分類されている制度' END) AS match_reasons
+FROM matches""")
+def match(spark, d):
+    out = serve.match(profiles(spark, d), benefits(spark, d))
+    return out.select("profile_id", "rank", "benefit_id", F.array_join("matched_ages", ",").alias("matched_ages"),
+                      F.array_join("matched_attributes", ",").alias("matched_attributes"), F.array_join("match_reasons", "|").alias("match_reasons"))
+
+
+@query("match_groups", cte("benefits", "profiles") + "," + _HIT + """
+SELECT profile_id, CASE WHEN is_single_parent AND sp THEN 'single_parent' WHEN has_disability AND dis THEN 'disability' WHEN is_pregnant AND is_prenatal THEN 'prenatal' ELSE 'other' END AS "group",
+  count(*) AS n FROM matches GROUP BY 1, 2""")
+def match_groups(spark, d):
+    return serve.group_by_attribute(serve.match(profiles(spark, d), benefits(spark, d)))
+
+
+_NEXT = """
+  aged AS (SELECT *, effective_min_age_months AS lo, effective_max_age_months AS hi, row_number() OVER (PARTITION BY area_code ORDER BY effective_min_age_months, effective_max_age_months, record_seq) AS pos
+           FROM benefits WHERE effective_min_age_months IS NOT NULL AND effective_max_age_months IS NOT NULL),
+  pairs AS (SELECT a.benefit_id AS src, b.benefit_id AS dst, a.hi AS hi, b.lo AS lo, row_number() OVER (PARTITION BY a.benefit_id ORDER BY b.pos) AS rn
+            FROM aged a JOIN aged b ON a.area_code = b.area_code AND b.pos > a.pos AND b.lo >= a.hi AND b.lo - a.hi <= 12),
+  next_step AS (SELECT src AS from_benefit_id, dst AS to_benefit_id, 'NEXT_STEP' AS relation, '対象年齢が' || hi || 'ヶ月→' || lo || 'ヶ月で連続' AS reason FROM pairs WHERE rn <= 2)
+"""
+_SHARED = """
+  usage AS (SELECT doc_id, count(*) AS n FROM requires_doc GROUP BY 1),
+  known AS (SELECT r.doc_id, b.benefit_id, b.area_code, b.record_seq FROM requires_doc r JOIN benefits b USING (benefit_id) JOIN usage u USING (doc_id)
+            WHERE u.n <= (SELECT greatest(count(*) * 0.05, 2) FROM benefits)),
+  sized AS (SELECT *, count(*) OVER (PARTITION BY area_code, doc_id) AS sharers FROM known),
+  shared AS (SELECT a.benefit_id AS from_benefit_id, b.benefit_id AS to_benefit_id, 'SHARED_DOC' AS relation, '同じ書類（' || min(a.doc_id) || '）が必要' AS reason
+             FROM sized a JOIN sized b ON a.area_code = b.area_code AND a.doc_id = b.doc_id AND a.record_seq < b.record_seq WHERE a.sharers BETWEEN 2 AND 6 GROUP BY 1, 2)
+"""
+_REQUIRES = """
+  asked AS (SELECT benefit_id AS dst, area_code, 0 AS pos, '児童扶養手当' AS name FROM benefits WHERE record_seq % 11 IN (0, 1)
+            UNION ALL SELECT benefit_id, area_code, 1, '育成手当' FROM benefits WHERE record_seq % 11 = 1),
+  required AS (SELECT b.benefit_id AS from_benefit_id, a.dst AS to_benefit_id, 'REQUIRES_BENEFIT' AS relation, '条件に「' || arg_min(a.name, a.pos) || 'を受けている」とある' AS reason
+               FROM asked a JOIN benefits b ON a.area_code = b.area_code AND b.benefit_id <> a.dst AND regexp_matches(b.title, '(^|[^一-龥ぁ-んァ-ヶA-Za-z0-9])' || a.name) GROUP BY 1, 2)
+"""
+_ALL = cte("benefits", "requires_doc") + "," + _NEXT + "," + _SHARED + "," + _REQUIRES + ", leads_to AS (SELECT * FROM next_step UNION ALL SELECT * FROM shared UNION ALL SELECT * FROM required)\n"
+
+
+@query("next_step_edges", cte("benefits") + "," + _NEXT + "SELECT * FROM next_step")
+def next_step_edges(spark, d):
+    return edges.next_step_edges(benefits(spark, d))
+
+
+@query("shared_doc_edges", cte("benefits", "requires_doc") + "," + _SHARED + "SELECT * FROM shared")
+def shared_doc_edges(spark, d):
+    return edges.shared_doc_edges(benefits(spark, d), fixture(spark, d, "requires_doc"))
+
+
+@query("requires_edges", cte("benefits") + "," + _REQUIRES + "SELECT * FROM required")
+def requires_edges(spark, d):
+    return edges.requires_edges(benefits(spark, d))
+
+
+def _leads_to(spark, d):
+    return edges.leads_to(benefits(spark, d), fixture(spark, d, "requires_doc"))
+
+
+@query("leads_to", _ALL + "SELECT * FROM leads_to")
+def leads_to(spark, d):
+    return _leads_to(spark, d)
+
+
+@query("leads_to_resolved", _ALL + """SELECT l.*, a.title AS from_title, b.title AS to_title FROM leads_to l
+JOIN benefits a ON a.benefit_id = l.from_benefit_id JOIN benefits b ON b.benefit_id = l.to_benefit_id""")
+def leads_to_resolved(spark, d):
+    return serve.leads_to_resolved(_leads_to(spark, d), benefits(spark, d)).select("from_benefit_id", "to_benefit_id", "relation", "reason", "from_title", "to_title")
+
+
+@query("next_steps", cte("benefits", "profiles", "requires_doc") + "," + _HIT + "," + _NEXT + "," + _SHARED + "," + _REQUIRES + """,
+  leads_to AS (SELECT * FROM next_step UNION ALL SELECT * FROM shared UNION ALL SELECT * FROM required),
+  s AS (SELECT m.profile_id, l.*, row_number() OVER (PARTITION BY m.profile_id ORDER BY CASE relation WHEN 'REQUIRES_BENEFIT' THEN 0 WHEN 'SHARED_DOC' THEN 1 ELSE 2 END, a.title, b.title, relation, from_benefit_id, to_benefit_id) AS step
+        FROM matches m JOIN leads_to l ON l.from_benefit_id = m.benefit_id JOIN benefits a ON a.benefit_id = l.from_benefit_id JOIN benefits b ON b.benefit_id = l.to_benefit_id WHERE m.rank <= 30)
+SELECT profile_id, CAST(step AS INT) AS step, from_benefit_id, to_benefit_id, relation, reason FROM s WHERE step <= 80""")
+def next_steps(spark, d):
+    b = benefits(spark, d)
+    return serve.next_steps(serve.match(profiles(spark, d), b), _leads_to(spark, d), b).select("profile_id", "step", "from_benefit_id", "to_benefit_id", "relation", "reason")
+
+
+_STAGES = "stages(stage, s_lo, s_hi) AS (VALUES ('prenatal', NULL, NULL), " + ", ".join(f"('{k}', {a}, {b})" for k, a, b in serve.STAGES[1:]) + ")"
+_TIMELINE = """SELECT {keys}, CAST(rank AS INT) AS rank, benefit_id FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY CASE age_source WHEN 'explicit' THEN 0 ELSE 1 END, effective_min_age_months NULLS LAST, title, benefit_id) AS rank
+FROM benefits JOIN stages ON CASE WHEN stage = 'prenatal' THEN is_prenatal ELSE NOT is_prenatal AND effective_min_age_months <= s_hi AND effective_max_age_months >= s_lo END) WHERE rank <= 8"""
+
+
+@query("timeline", cte("benefits") + "," + _STAGES + _TIMELINE.format(keys="stage"))
+def timeline(spark, d):
+    return serve.timeline(benefits(spark, d)).select("stage", "rank", "benefit_id")
+
+
+@query("timeline_by_area", cte("benefits") + "," + _STAGES + _TIMELINE.format(keys="area_code, stage"))
+def timeline_by_area(spark, d):
+    return serve.timeline(benefits(spark, d), by_area=True).select("area_code", "stage", "rank", "benefit_id")
+
+
+# --- search, counts, neighbourhoods -----------------------------------------------------------------------------------
+
+
+@query("search", cte("benefits") + "SELECT benefit_id, title FROM benefits WHERE title LIKE '%手当%' AND area_code IN ('130005', '130001') ORDER BY title, benefit_id LIMIT 30")
+def search(spark, d):
+    return serve.search(benefits(spark, d), q="手当", area="130005").select("benefit_id", "title")
+
+
+@query("search_age", cte("benefits") + """SELECT benefit_id, title FROM benefits WHERE category = '1-URGENT' AND coalesce(effective_min_age_months <= 40, true) AND coalesce(effective_max_age_months >= 40, true)
+ORDER BY CASE age_source WHEN 'explicit' THEN 0 WHEN 'inferred' THEN 1 ELSE 2 END, title, benefit_id LIMIT 100""")
+def search_age(spark, d):
+    return serve.search(benefits(spark, d), category="1-URGENT", age=40, limit=200).select("benefit_id", "title")
+
+
+@query("category_counts", cte("benefits") + "SELECT category, count(*) AS n FROM benefits GROUP BY 1 ORDER BY n DESC, category LIMIT 50")
+def category_counts(spark, d):
+    return serve.category_counts(benefits(spark, d))
+
+
+@query("area_counts", cte("benefits") + "SELECT area_code, area_name, count(*) AS n FROM benefits WHERE area_code IS NOT NULL GROUP BY 1, 2")
+def area_counts(spark, d):
+    return serve.area_counts(benefits(spark, d))
+
+
+@query("freshness", cte("benefits") + "SELECT count(*) AS n_benefits, count(DISTINCT area_code) AS n_areas, CAST(max(update_date) AS VARCHAR) AS latest FROM benefits")
+def freshness(spark, d):
+    return serve.freshness(benefits(spark, d)).withColumn("latest", F.col("latest").cast("string"))
+
+
+@query("rule_coverage", cte("benefits") + "SELECT age_source, count(*) AS n FROM benefits GROUP BY 1")
+def rule_coverage(spark, d):
+    return serve.rule_coverage(benefits(spark, d))
+
+
+@query("age_selectivity", cte("benefits") + """SELECT age, age_source, count(*) AS n FROM benefits, (VALUES (0), (60), (120), (240)) t(age)
+WHERE coalesce(effective_min_age_months <= age, true) AND coalesce(effective_max_age_months >= age, true) GROUP BY 1, 2""")
+def age_selectivity(spark, d):
+    return serve.age_selectivity(benefits(spark, d), (0, 60, 120, 240))
+
+
+@query("overlapping_stages", cte("benefits") + "," + _STAGES + """SELECT stage, count(*) AS n FROM benefits JOIN stages ON stage <> 'prenatal'
+AND coalesce(effective_min_age_months, 0) <= s_hi AND s_lo <= coalesce(effective_max_age_months, 1000000) GROUP BY 1""")
+def overlapping_stages(spark, d):
+    stages = spark.createDataFrame(serve.STAGES[1:], "stage string, s_lo int, s_hi int")
+    meet = P.ranges_overlap(F.col(serve.LO), F.col(serve.HI), F.col("s_lo"), F.col("s_hi"))
+    return benefits(spark, d).join(F.broadcast(stages), meet).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+_STATUS = """
+  s AS (
+    SELECT benefit_id, record_seq, 0 AS pos, 'AGE_' || substr(md5('AGE|' || coalesce(CAST(effective_min_age_months AS VARCHAR), 'None') || '|' || coalesce(CAST(effective_max_age_months AS VARCHAR), 'None')), 1, 12) AS status_id,
+      'AGE' AS type, effective_min_age_months AS lo, effective_max_age_months AS hi, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS name FROM benefits WHERE effective_min_age_months IS NOT NULL OR effective_max_age_months IS NOT NULL
+    UNION ALL SELECT benefit_id, record_seq, 1, 'LOCATION_' || substr(md5('LOCATION|' || area_code), 1, 12), 'LOCATION', NULL, NULL, area_code, area_name FROM benefits
+    UNION ALL SELECT benefit_id, record_seq, 2, 'TAG_TARGET_' || substr(md5('TAG_TARGET|' || code), 1, 12), 'TAG_TARGET', NULL, NULL, code,
+      CASE code WHEN '088' THEN 'ひとり親家庭' WHEN '090' THEN '障がい児' ELSE 'その他' END || '（' || code || '）' FROM (SELECT benefit_id, record_seq, trim(unnest(string_split(target_text, '，'))) AS code FROM benefits))
+"""
+
+
+def _statuses(spark, d):
+    none = F.array().cast("array<string>")
+    return nodes.build_statuses(benefits(spark, d).withColumns({"target_codes": F.array("target_text"), "category_codes": none, "content_codes": none}))
+
+
+@query("statuses", cte("benefits") + "," + _STATUS + """, y AS (SELECT *, CASE WHEN lo IS NULL THEN NULL WHEN lo = 0 THEN '0歳' ELSE CASE WHEN lo >= 12 THEN (lo - lo % 12) // 12 || '歳' ELSE '' END || CASE WHEN lo % 12 > 0 THEN lo % 12 || 'か月' ELSE '' END END AS a,
+  CASE WHEN hi IS NULL THEN NULL WHEN hi = 0 THEN '0歳' ELSE CASE WHEN hi >= 12 THEN (hi - hi % 12) // 12 || '歳' ELSE '' END || CASE WHEN hi % 12 > 0 THEN hi % 12 || 'か月' ELSE '' END END AS b FROM s WHERE coalesce(hi, 0) >= 0)
+SELECT DISTINCT status_id, coalesce(name, CASE WHEN a IS NULL THEN b || '以下' WHEN b IS NULL THEN a || '以上' ELSE a || '〜' || b END) AS name, type, lo AS min_age_months, hi AS max_age_months, code FROM y""")
+def statuses(spark, d):
+    return _statuses(spark, d)[0].where("coalesce(max_age_months, 0) >= 0")
+
+
+@query("requires_status", cte("benefits") + "," + _STATUS + "SELECT DISTINCT benefit_id, status_id FROM s")
+def requires_status(spark, d):
+    return _statuses(spark, d)[1]
+
+
+@query("schemes", cte("benefits") + """SELECT 'SCHEME_' || substr(md5(coalesce(canonical_name, category)), 1, 12) AS scheme_id, coalesce(canonical_name, category) AS scheme_name, count(DISTINCT area_code) AS municipality_count,
+count(*) AS benefit_count, min(effective_min_age_months) AS min_age_months, max(effective_max_age_months) AS max_age_months FROM benefits GROUP BY 1, 2""")
+def schemes(spark, d):
+    return nodes.build_schemes(benefits(spark, d))[0]
+
+
+@query("in_scheme", cte("benefits") + "SELECT benefit_id, 'SCHEME_' || substr(md5(coalesce(canonical_name, category)), 1, 12) AS scheme_id FROM benefits")
+def in_scheme(spark, d):
+    return nodes.build_schemes(benefits(spark, d))[1]
+
+
+@query("relation_rows", cte("benefits", "requires_doc", "documents_") + "," + _STATUS + """SELECT b.benefit_id, b.title, x.status_id, r.doc_id, doc_name FROM benefits b JOIN (SELECT DISTINCT benefit_id, status_id FROM s) x USING (benefit_id)
+JOIN requires_doc r USING (benefit_id) JOIN documents_ USING (doc_id)""")
+def relation_rows(spark, d):
+    s, e = _statuses(spark, d)
+    return serve.relation_rows(benefits(spark, d), e, s, fixture(spark, d, "requires_doc"), fixture(spark, d, "documents_")).select("benefit_id", "title", "status_id", "doc_id", "doc_name")
+
+
+@query("neighbourhood_nodes", cte("benefits", "requires_doc", "documents_") + "," + _STATUS + """SELECT benefit_id, benefit_id AS node_id, 'benefit' AS kind FROM benefits
+UNION ALL SELECT DISTINCT benefit_id, status_id, 'status' FROM s UNION ALL SELECT benefit_id, doc_id, 'document' FROM requires_doc JOIN documents_ USING (doc_id) WHERE is_probable_document""")
+def neighbourhood_nodes(spark, d):
+    s, e = _statuses(spark, d)
+    return serve.neighbourhood(benefits(spark, d), e, s, fixture(spark, d, "requires_doc"), fixture(spark, d, "documents_"))[0].select("benefit_id", "node_id", "kind")
+
+
+@query("neighbourhood_edges", cte("benefits", "requires_doc", "documents_") + "," + _STATUS + """SELECT DISTINCT benefit_id, status_id AS node_id, 'REQUIRES' AS relation FROM s JOIN benefits USING (benefit_id)
+UNION ALL SELECT benefit_id, doc_id, 'REQUIRES_DOC' FROM requires_doc JOIN documents_ USING (doc_id) JOIN benefits USING (benefit_id) WHERE is_probable_document""")
+def neighbourhood_edges(spark, d):
+    s, e = _statuses(spark, d)
+    return serve.neighbourhood(benefits(spark, d), e, s, fixture(spark, d, "requires_doc"), fixture(spark, d, "documents_"))[1]
+
+
+@query("unknown_areas", cte("benefits", "profiles") + "SELECT profile_id, area_code FROM profiles WHERE area_code IS NOT NULL AND area_code NOT IN (SELECT area_code FROM benefits)")
+def unknown_areas(spark, d):
+    return serve.unknown_areas(profiles(spark, d), benefits(spark, d)).select("profile_id", "area_code")
+
+
+@query("dangling_docs", cte("requires_doc", "documents_") + "SELECT benefit_id, doc_id FROM requires_doc WHERE doc_id NOT IN (SELECT doc_id FROM documents_)")
+def dangling_docs(spark, d):
+    return serve.dangling(fixture(spark, d, "requires_doc"), fixture(spark, d, "documents_"), "doc_id", "doc_id").select("benefit_id", "doc_id")
+
+
+@query("latest_by_key", "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, CAST(epoch_us(max(ts)) AS BIGINT) AS latest_us FROM events GROUP BY 1, 2")
+def latest_by_key(spark, d):
+    log = spark.read.parquet(f"{d}/events.parquet")
+    out = serve.latest_by_key(log, ["user_id", "event_type"], F.struct("ts", "event_id"), F.col("value"))
+    return out.select("user_id", "event_type", "value", F.unix_micros(F.col("latest_at.ts").cast("timestamp")).alias("latest_us"))
+
+
+@query("cache_misses", "SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type FROM events) WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE value > 50)")
+def cache_misses(spark, d):
+    log = spark.read.parquet(f"{d}/events.parquet")
+    kinds = F.broadcast(log.select("event_type").distinct().agg(F.collect_set("event_type").alias("k")))  # the few kinds of events
+    asked = log.select("user_id").distinct().join(kinds).select("user_id", F.explode("k").alias("event_type"))
+    return serve.cache_misses(asked, log.where("value > 50"), ["user_id", "event_type"])
+
+
+@query("first_wins", "SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type, min_by(value, (ts, event_id)) AS value FROM events GROUP BY 1")
+def first_wins(spark, d):
+    log = spark.read.parquet(f"{d}/events.parquet")
+    return log.groupBy("user_id").agg(F.min_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*")
+
+
+# --- rules on text ------------------------------------------------------------------------------------------------------
+
+_AGE = """SELECT id, CASE kind WHEN 0 THEN 0 WHEN 1 THEN a * 12 WHEN 2 THEN 0 WHEN 3 THEN a WHEN 4 THEN a * 12 WHEN 5 THEN 180 WHEN 6 THEN a * 12 WHEN 7 THEN 0 WHEN 8 THEN a END AS lo,
+CASE kind WHEN 0 THEN a * 12 - 1 WHEN 1 THEN b * 12 + 11 WHEN 2 THEN 71 WHEN 3 THEN b WHEN 5 THEN 215 WHEN 6 THEN a * 12 + 11 WHEN 7 THEN a * 12 + 11 WHEN 8 THEN b END AS hi,
+CASE kind WHEN 0 THEN 'upper_years_exclusive' WHEN 1 THEN 'range_years' WHEN 2 THEN 'stage_preschool' WHEN 3 THEN 'range_months' WHEN 4 THEN 'lower_years' WHEN 5 THEN 'stage_highschool' WHEN 6 THEN 'child_age_years' WHEN 7 THEN {seven} WHEN 8 THEN 'range_months_child' END AS rule FROM rule_texts"""
+
+
+@query("age_rules", cte("rule_texts") + _AGE.format(seven="'upper_years'"))
+def age_rules(spark, d):
+    return fixture(spark, d, "rule_texts").select("id", age.infer_age(F.col("text")).alias("x")).select("id", "x.lo", "x.hi", "x.rule")
+
+
+@query("age_clauses", cte("rule_texts") + _AGE.format(seven="'union_of_clauses'"))
+def age_clauses(spark, d):
+    texts = fixture(spark, d, "rule_texts")
+    known = texts.select("text").distinct().withColumn("x", age.infer_age_clauses(F.col("text")))  # rules run once per text
+    return texts.select("id", "text").join(known, "text").select("id", "x.lo", "x.hi", "x.rule")
+
+
+@query("income_rules", cte("income_texts") + """SELECT id, CASE kind WHEN 0 THEN a * 10000 WHEN 1 THEN a * 1000 WHEN 2 THEN a * 10000 END AS max_yen, CASE kind WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true END AS max_inclusive,
+CASE kind WHEN 0 THEN 'income' WHEN 1 THEN 'tax_levy' WHEN 2 THEN 'salary' END AS basis, CASE kind WHEN 0 THEN 'threshold_upper' WHEN 1 THEN 'threshold_upper' WHEN 2 THEN 'threshold_lower_excluded' WHEN 3 THEN 'tax_non_taxable' WHEN 4 THEN 'welfare_required' WHEN 6 THEN 'welfare_excluded' END AS rule,
+coalesce(kind = 3, false) AS non_taxable, kind = 4 AS welfare FROM income_texts""")
+def income_rules(spark, d):
+    texts = fixture(spark, d, "income_texts")
+    known = texts.select("text").distinct().withColumn("x", income.extract_income(F.col("text")))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return texts.select("id", "text").join(known, "text").select("id", "x.max_yen", "x.max_inclusive", "x.basis", "x.rule", no(F.col("x.requires_non_taxable")).alias("non_taxable"), no(F.col("x.requires_welfare")).alias("welfare"))
+
+
+@query("required_names", cte("benefits") + "SELECT benefit_id, CASE record_seq % 11 WHEN 0 THEN '児童扶養手当' WHEN 1 THEN '児童扶養手当,育成手当' ELSE '' END AS names FROM benefits")
+def required_names(spark, d):
+    return benefits(spark, d).select("benefit_id", F.array_join(refs.required_names(F.col("conditions_text")), ",").alias("names"))
+
+
+@query("requirement_items", "SELECT doc_id, len(items) AS n_items, array_to_string(items, '|') AS items FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^\\s*(?:[・\\-*●○◆■]|[（(]?\\s*[0-9０-９]{1,2}\\s*[）).]|注釈\\s*[0-9０-９]+\\s*[）)])\\s*', '')), lambda x: x <> '') AS items FROM documents)")
+def requirement_items(spark, d):
+    return _docs(spark, d).select("doc_id", D.split_items(F.col("text")).alias("items")).select("doc_id", F.size("items").cast("long").alias("n_items"), F.array_join("items", "|").alias("items"))
+
+
+@query("document_names", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '母子健康手帳' WHEN 1 THEN '印鑑' WHEN 2 THEN p_name ELSE p_name || 'ください' END AS doc_name, p_partkey % 4 <> 3 AS is_document FROM part")
+def document_names(spark, d):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.lit("親子手帳（写し）")).when(k == 1, F.lit("印鑑（PDF：30KB）")).when(k == 2, F.concat("p_name", F.lit(" (PDF 98KB)新しいウィンドウで開きます"))).otherwise(F.concat("p_name", F.lit("ください")))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", D.canonical_name(raw).alias("doc_name"), D.looks_like_document(raw).alias("is_document"))
+
+
+@query("documents_first", """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '印鑑' ELSE '書類' || CAST(o_custkey % 50 AS VARCHAR) END AS name, CASE WHEN o_orderkey % 2 = 0 THEN '印鑑（認印）' ELSE '書類' || CAST(o_custkey % 50 AS VARCHAR) END AS original FROM orders)
+SELECT 'DOC_' || substr(md5(name), 1, 12) AS doc_id, name AS doc_name, arg_min(original, id) AS original_name, count(DISTINCT id) AS n_benefits FROM r GROUP BY 1, 2""")
+def documents_first(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    item = F.when(F.col("o_orderkey") % 2 == 0, F.lit("・印鑑（認印）")).otherwise(F.concat(F.lit("(1) 書類"), (F.col("o_custkey") % 50).cast("string")))
+    found, uses = nodes.build_documents(o.select(F.col("o_orderkey").alias("benefit_id"), F.col("o_orderkey").alias("record_seq"), item.alias("belongings")))
+    return found.join(uses.groupBy("doc_id").agg(F.count("*").alias("n_benefits")), "doc_id").select("doc_id", "doc_name", "original_name", "n_benefits")
+
+
+@query("link_split", "SELECT page_id, '案内' AS title, url AS uri, '前。案内の後' AS plain FROM pages")
+def link_split(spark, d):
+    raw = F.concat(F.lit("前。案内;"), "url", F.lit("の後"))
+    x = spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.split_links(raw).alias("x"))
+    return x.select("page_id", F.col("x.links")[0]["title"].alias("title"), F.col("x.links")[0]["uri"].alias("uri"), "x.plain")
+
+
+@query("normalized_dates", """SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS VARCHAR) AS day, lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':05' AS time,
+lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS zip FROM orders""")
+def normalized_dates(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    raw = F.when(k == 0, F.date_format(day, " yyyy-M-d")).when(k == 1, F.date_format(day, "yyyy/M/d　")).when(k == 2, F.date_format(day, "yyyy-MM-dd")).otherwise(F.lit("令和元年"))
+    code = F.concat(F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))
+    return o.select("o_orderkey", T.normalize_date(raw).cast("string").alias("day"), T.normalize_time(F.concat((F.col("o_orderkey") % 24).cast("string"), F.lit(":05"))).alias("time"), T.normalize_zip(code).alias("zip"))
+
+
+@query("codes_and_areas", cte("benefits") + "SELECT benefit_id, replace(trim(target_text), '，', ',') AS codes, CASE record_seq % 6 WHEN 0 THEN 'ひとり親家庭' WHEN 1 THEN '障がい児' WHEN 2 THEN 'ひとり親家庭,障がい児' ELSE 'その他' END AS labels, area_code AS code, area_name AS name FROM benefits")
+def codes_and_areas(spark, d):
+    code, name = T.split_area(F.concat("area_code", F.lit(";"), "area_name"))
+    rows = benefits(spark, d).select("benefit_id", T.clean_codes(F.array("target_text")).alias("c"), code.alias("code"), name.alias("name"))
+    return rows.select("benefit_id", F.array_join("c", ",").alias("codes"), F.array_join(T.code_labels(F.col("c"), nodes.LABELS["target"]), ",").alias("labels"), "code", "name")
+
+
+@query("full_months", """SELECT o_orderkey, CAST(greatest(datediff('month', date_trunc('month', b), date_trunc('month', t)) - CASE WHEN day(t) < day(b) THEN 1 ELSE 0 END, 0) AS INT) AS months
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS b, DATE '1998-02-28' AS t FROM orders)""")
+def full_months(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select("o_orderkey", T.full_months(F.to_date("o_orderdate"), F.lit("1998-02-28").cast("date")).alias("months"))
+
+
+@query("clean_profiles", """SELECT c_custkey AS profile_id, CASE WHEN c_custkey % 2 = 0 THEN '13' || lpad(CAST(c_custkey % 63 AS VARCHAR), 4, '0') END AS area_code,
+concat_ws(',', CASE WHEN c_custkey % 400 <= 300 THEN CAST(c_custkey % 400 AS VARCHAR) END, CASE WHEN c_custkey % 3 = 0 THEN '12' END) AS ages FROM customer""")
+def clean_profiles(spark, d):
+    from ..operators.profiles import clean_profiles as clean, profile_ages
+
+    c, k = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey")
+    area = F.when(k % 2 == 0, F.concat(F.lit("13"), F.lpad((k % 63).cast("string"), 4, "0"))).otherwise(F.lit("千代田区"))
+    child = lambda b, m: F.struct(b.cast("string").alias("birth_date"), m.cast("string").alias("age_months"))
+    children = F.array(child(F.lit(None), k % 400), child(F.lit(None), F.when(k % 3 == 0, 12).otherwise(-1)))
+    rows = clean(c.select(k.alias("profile_id"), area.alias("area_code"), children.alias("children")))
+    return rows.select("profile_id", "area_code", F.array_join(profile_ages(F.col("children"), F.lit("2024-01-01").cast("date")), ",").alias("ages"))
+
+
+# --- surveys, gate, explanations -------------------------------------------------------------------------------------------
+
+_PATTERNS = {"income": "the|der", "tax": "que|les", "rare": "zzzz"}
+
+
+@query("pattern_survey", """WITH t AS (SELECT text FROM documents WHERE regexp_matches(text, ' ')), c AS (SELECT count(*) AS a, count(*) FILTER (regexp_matches(text, 'the|der')) AS b, count(*) FILTER (regexp_matches(text, 'que|les')) AS c,
+count(*) FILTER (regexp_matches(text, 'zzzz')) AS d, count(*) FILTER (NOT regexp_matches(text, 'the|der|que|les|zzzz')) AS e FROM t)
+SELECT 'mention' AS label, a AS n FROM c UNION ALL SELECT 'income', b FROM c UNION ALL SELECT 'tax', c FROM c UNION ALL SELECT 'rare', d FROM c UNION ALL SELECT 'none', e FROM c""")
+def pattern_survey(spark, d):
+    return survey.pattern_survey(_docs(spark, d), F.col("text"), " ", _PATTERNS)
+
+
+@query("masked_survey", """SELECT count(*) AS mentions, count(*) FILTER (l) AS after_mask, count(*) FILTER (NOT l) AS noise, count(*) FILTER (l AND k) AS known, count(*) FILTER (l AND NOT k) AS other_only
+FROM (SELECT regexp_matches(m, 'tion') AS l, regexp_matches(m, 'reserved') AS k FROM (SELECT regexp_replace(text, 'ation|tions', '#', 'g') AS m FROM documents WHERE regexp_matches(text, 'tion')))""")
+def masked_survey(spark, d):
+    return survey.masked_survey(_docs(spark, d), F.col("text"), "ation|tions", "tion", "reserved")
+
+
+@query("text_reuse", "SELECT count(*) AS n_rows, count(DISTINCT lang) AS n_schemes, count(DISTINCT regexp_replace(text, '\\s+', '', 'g')) AS n_texts FROM documents WHERE text IS NOT NULL")
+def text_reuse(spark, d):
+    return survey.text_reuse(_docs(spark, d), "lang", "text")
+
+
+@query("threshold_labels", "SELECT label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[0-9]{3,4}')) AS label FROM documents) GROUP BY 1")
+def threshold_labels(spark, d):
+    return survey.threshold_labels(_docs(spark, d), F.col("text"), "[0-9]{3,4}")
+
+
+@query("reference_survey", cte("benefits") + "," + _REQUIRES.split("required AS")[0].rstrip().rstrip(",") + """
+SELECT name, count(*) AS n_refs, count(*) FILTER (EXISTS (SELECT 1 FROM benefits b WHERE b.area_code = asked.area_code AND contains(b.title, asked.name))) AS n_resolved FROM asked GROUP BY 1""")
+def reference_survey(spark, d):
+    return survey.reference_survey(benefits(spark, d))
+
+
+@query("downstream", _ALL + """, per AS (SELECT area_code, count(*) AS n FROM required JOIN benefits ON benefit_id = from_benefit_id GROUP BY 1)
+SELECT count(*) AS n_areas, max(n) AS most, round(avg(n), 4) AS mean, list_sort(list(n))[CAST(floor(count(*) / 2) AS INT) + 1] AS upper_median FROM per""")
+def downstream(spark, d):
+    b = benefits(spark, d)
+    return survey.downstream(edges.requires_edges(b), b)
+
+
+def _tables(spark, d):
+    b = benefits(spark, d)
+    s, in_s = nodes.build_schemes(b)
+    st, re = nodes.build_statuses(b.withColumns({"target_codes": F.array("target_text"), "category_codes": F.array().cast("array<string>"), "content_codes": F.array().cast("array<string>")}))
+    b = b.join(in_s, "benefit_id").withColumn("summary", F.nullif("conditions_text", F.lit(""))).withColumn("description", F.col("title"))
+    docs = fixture(spark, d, "documents_")
+    return {"benefits": b, "schemes": s, "statuses": st, "documents": docs, "benefit_requires_status": re, "benefit_requires_doc": fixture(spark, d, "requires_doc"), "benefit_in_scheme": in_s}
+
+
+@query("quality_gate", cte("benefits") + """SELECT 'benefits' AS "table", 'blank' AS "check", 'summary' AS "column", count(*) FILTER (conditions_text IS NULL) / count(*) AS value, CAST(0.1 AS DOUBLE) AS "limit" FROM benefits
+UNION ALL SELECT 'benefit_leads_to', 'missing table', '', 0.0, 1.0 UNION ALL SELECT 'benefits', 'fewer rows', '', CAST(count(*) AS DOUBLE), count(*) * 2 * 0.7 FROM benefits""")
+def quality_gate(spark, d):
+    tables = _tables(spark, d)
+    before = tables["benefits"].agg((F.count("*") * 2).alias("rows")).select(F.lit("benefits").alias("table"), "rows")
+    return quality.check_tables(spark, tables, before)
+
+
+@query("age_contradictions", cte("rule_texts") + """SELECT id FROM (SELECT id, kind, CASE kind WHEN 0 THEN 0 WHEN 1 THEN a * 12 WHEN 2 THEN 0 WHEN 3 THEN a WHEN 4 THEN a * 12 WHEN 5 THEN 180 WHEN 6 THEN a * 12 WHEN 7 THEN 0 WHEN 8 THEN a END AS lo,
+coalesce(CASE kind WHEN 0 THEN a * 12 - 1 WHEN 1 THEN b * 12 + 11 WHEN 2 THEN 71 WHEN 3 THEN b WHEN 5 THEN 215 WHEN 6 THEN a * 12 + 11 WHEN 7 THEN a * 12 + 11 WHEN 8 THEN b END, 1000000) AS hi FROM rule_texts WHERE kind < 9) WHERE lo > 71 OR hi < 36""")
+def age_contradictions(spark, d):
+    rows = fixture(spark, d, "rule_texts").select("id", F.col("text").alias("title"), F.lit(36).alias("min_age_months"), F.lit(71).alias("max_age_months"))
+    return quality.age_contradictions(rows).select("id")
+
+
+@query("fact_sheets", cte("benefits") + """SELECT benefit_id, '制度名: ' || title || chr(10) || '分野: ' || category || chr(10) || '自治体: ' || area_name || CASE WHEN conditions_text IS NULL THEN '' ELSE chr(10) || '条件: ' || conditions_text END AS sheet FROM benefits""")
+def fact_sheets(spark, d):
+    return explain.fact_sheets(benefits(spark, d))
+
+
+@query("cache_keys", cte("benefits") + "SELECT benefit_id, sha256(benefit_id || chr(10) || sha256(title) || chr(10) || 'model' || chr(10) || 'low' || chr(10) || '1') AS cache_key FROM benefits")
+def cache_keys(spark, d):
+    return benefits(spark, d).select("benefit_id", explain.cache_key(F.col("benefit_id"), F.sha2("title", 256), "model", "low", 1).alias("cache_key"))
+
+
+@query("display_links", "SELECT page_id, 'https://a.example/x,' || url AS uris FROM pages")
+def display_links(spark, d):
+    link = lambda t, u: F.struct(F.lit(t).alias("title"), u.alias("uri"))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.array(link("f", F.lit("https://a.example/f"))).alias("form_links"),
+        F.array(link("x", F.lit("https://a.example/x")), link("u", F.col("url"))).alias("related_links"), F.array(link("y", F.lit("https://a.example/x")), link("f", F.lit("https://a.example/f"))).alias("embedded_links"))
+    return pages.select("page_id", F.array_join(explain.display_links()["uri"], ",").alias("uris"))
