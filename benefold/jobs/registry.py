@@ -468,3 +468,27 @@ def display_links(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.array(link("f", F.lit("https://a.example/f"))).alias("form_links"),
         F.array(link("x", F.lit("https://a.example/x")), link("u", F.col("url"))).alias("related_links"), F.array(link("y", F.lit("https://a.example/x")), link("f", F.lit("https://a.example/f"))).alias("embedded_links"))
     return pages.select("page_id", F.array_join(explain.display_links()["uri"], ",").alias("uris"))
+
+
+@query("benefit_rows", """SELECT 'psid-' || o_orderkey AS benefit_id, '手当' || o_custkey % 100 AS title, '131016' AS area_code, '千代田区' AS area_name,
+CASE WHEN o_orderkey % 3 = 0 THEN CAST((o_custkey % 9 + 1) * 12 + 2 AS INT) WHEN o_orderkey % 3 = 1 THEN 0 END AS lo, CASE WHEN o_orderkey % 3 = 0 THEN CAST((o_custkey % 9 + 1) * 12 + 35 AS INT) WHEN o_orderkey % 3 = 1 THEN CAST((o_custkey % 9 + 1) * 12 - 1 AS INT) END AS hi,
+CASE o_orderkey % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'inferred' ELSE 'unknown' END AS age_source, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 90 + 10) * 10000 END AS income_max_yen,
+'費用は無料 案内' AS cost_text, true AS is_free, 'https://a.example/' || o_orderkey || '.html' AS link, '088' AS target_codes, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS update_date,
+'SCHEME_' || substr(md5('制度' || o_custkey % 300), 1, 12) AS scheme_id FROM orders""")
+def benefit_rows(spark, d):
+    from ..sources.registry import SCHEMA
+    from .rows import build_benefits
+
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    s, k, c = (lambda x: x.cast("string")), F.col("o_orderkey"), F.col("o_custkey")
+    years = c % 9 + 1
+    record = F.struct(
+        F.concat(F.lit("手当"), s(c % 100)).alias("title"), F.concat(F.lit("psid-"), s(k)).alias("psid"), F.struct(F.concat(F.lit("制度"), s(c % 300)).alias("canonicalName")).alias("institutionName"),
+        F.struct(F.lit("131016;千代田区").alias("areaCode")).alias("area"), F.struct(F.array(F.lit("088 ")).alias("targetCode")).alias("tag"), F.date_format("o_orderdate", "yyyy/M/d").alias("updateDate"),
+        F.concat(F.lit("費用は無料 案内;https://a.example/"), s(k), F.lit(".html等の")).alias("cost"),
+        F.struct(F.when(k % 3 == 0, F.struct(years.alias("targetAge"), F.lit(2).alias("targetAgeOfMonths"))).alias("greaterThanOrEqualTo"), F.when(k % 3 == 0, F.struct((years + 3).alias("targetAge")) ).alias("lessThan"),
+                 F.when(k % 3 == 1, F.concat(F.lit("満"), s(years), F.lit("歳未満"))).alias("targetPersons"), F.when(k % 2 == 0, F.concat(F.lit("所得が"), s(c % 90 + 10), F.lit("万円以下の世帯"))).alias("conditions")).alias("target"))
+    records = o.select(k.alias("record_seq"), F.from_json(F.to_json(record), SCHEMA).alias("r")).select("record_seq", "r.*")
+    b = build_benefits(records)
+    return b.select("benefit_id", "title", "area_code", "area_name", F.col("effective_min_age_months").alias("lo"), F.col("effective_max_age_months").alias("hi"), "age_source", "income_max_yen",
+                    F.replace("cost_text", F.lit("等の"), F.lit("")).alias("cost_text"), "is_free", F.col("embedded_links")[0]["uri"].alias("link"), F.array_join("target_codes", ",").alias("target_codes"), F.col("update_date").cast("string").alias("update_date"), "scheme_id")
