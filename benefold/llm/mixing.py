@@ -28,6 +28,8 @@ MOST = 2.0
 RANGES = 1024
 #: The dynamic programme runs over sums up to this; longer ways to it are covered by whole lengths first.
 SUMS = 1 << 16
+#: Documents of each length that the even share gives back to the programme.
+GIVEN_BACK = 8
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -72,6 +74,10 @@ def fit_lengths(budget: int, stock: dict[int, int]) -> dict[int, int]:
             k = min(stock[n] - take[n], (left - SUMS) // n)
             take[n] += k
             left -= k * n
+    for n in sorted(stock):  # a few of each short length are open again, so that the programme has a choice
+        k = min(take[n], GIVEN_BACK, max(0, SUMS - left) // n)
+        take[n] -= k
+        left += n * k
     top = left + max(stock)  # a sum just above may be nearer
     reach, steps = 1, []
     for n in sorted(stock):

@@ -1,6 +1,6 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Every word of a clause has a class: insult, threat verb, modal, target, negation, report, quote mark or other. Five
+Every word of a clause has a class: insult, verb of harm, modal, target, negation, report, quote mark or other. Five
 small transducers (threat, target, negation, reported speech, insult) rewrite the classes and add weights; their
 composition reads a clause once and says of each match how it was meant: aimed at somebody, negated, reported or
 plain. A document's score is a logistic function of the weights that its clauses collect by meaning.
@@ -34,7 +34,7 @@ REPORTS = "said says say told wrote writes called calls claimed quoted alleged a
 MODALS = "will gonna going shall must should werde wirst wird vais vas va voy vas va"
 THREATS = "kill hurt destroy beat burn shoot stab crush punish töten schlagen vernichten tuer frapper détruire matar golpear destruir"
 INSULTS = "idiot moron stupid imbecile loser scum trash pathetic worthless disgusting dumbass bastard dummkopf trottel abschaum arschloch connard salaud abruti idiota imbécil estúpido escoria basura"
-CLASSES = {w: c for c, words in (("modal", MODALS), ("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words.split()}
+CLASSES = {w: c for c, words in (("modal", MODALS), ("harm", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words.split()}
 MEANINGS = ("insult", "insult@target", "insult@negated", "insult@reported", "threat", "threat@negated", "threat@reported")
 _WORD = re.compile(r"[^\W\d_]+|[\"“”«»]")
 _BREAK = re.compile(r"[.!?;\n|]")
@@ -74,7 +74,7 @@ def _fading(opens: str, reach: int, rewrite: dict[str, tuple[str, float]]) -> Tr
 
 
 def grammar() -> Transducer:
-    threat = _fading("modal", 3, {"threat": ("threat!", 1.0)})
+    threat = _fading("modal", 3, {"harm": ("threat!", 1.0)})
     target = _fading("target", 6, {"insult": ("insult@target", 0.5)})
     negated = {"insult": "insult@negated", "insult@target": "insult@negated", "threat!": "threat@negated"}
     negation = _fading("negation", 2, {a: (b, -0.5) for a, b in negated.items()})
