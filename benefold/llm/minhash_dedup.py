@@ -144,12 +144,16 @@ def _shingle_lists(words: int):
 
 def similarity(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray) -> float:
     """The larger of the probability Jaccard and the set Jaccard similarity of two weighted sets (names ascending as unsigned)."""
-    names, ia, ib = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
-    if not len(names):
+    sa, sb = sa.view(np.uint64), sb.view(np.uint64)
+    at = np.searchsorted(sb, sa)
+    at[at == len(sb)] = 0
+    ia = np.flatnonzero(sb[at] == sa)
+    if not len(ia):
         return 0.0
-    n = len(sa) + len(sb) - len(names)
-    plain = len(names) / n
-    if len(names) == n and (wa[ia] * wb.sum() == wb[ib] * wa.sum()).all():
+    ib = at[ia]
+    n = len(sa) + len(sb) - len(ia)
+    plain = len(ia) / n
+    if len(ia) == n and (wa[ia] * wb.sum() == wb[ib] * wa.sum()).all():
         return 1.0
     if (wa == wa[0]).all() and (wb == wb[0]).all():
         return plain
