@@ -33,9 +33,18 @@ RAREST = 4
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: Of each phrase (base or key) one word.
+NEEDED = ("cc", "license", "reserved", "binary", "domain", "hereby")
+assert all(set(p.split()) & set(NEEDED) for p in [p for p, _ in BASE] + [k for _, _, k in TEMPLATES])
+
+
+def _lower(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _words(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(WORD), 0)
+    return F.regexp_extract_all(_lower(text), F.lit(WORD), 0)
 
 
 def vocabulary() -> list[str]:
@@ -43,19 +52,26 @@ def vocabulary() -> list[str]:
     return sorted({w for t in texts for w in t.split()})
 
 
+def possible(text: Column) -> Column:
+    """Whether a text has a word without which no phrase can stand in it: most texts need no places."""
+    return _lower(text).rlike(f"(?:^|{BREAK})(?:{'|'.join(NEEDED)})(?:{BREAK}|$)")
+
+
 def word_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_words, hits: array of (word, place) of the words in the index)."""
-    words = F.array(*(F.lit(w) for w in vocabulary()))
-    rows = docs.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("w"))
-    named = F.transform("w", lambda w, i: F.when(F.array_contains(words, w), F.struct(w.alias("word"), i.cast("long").alias("place"))))
-    return rows.select("id", F.size("w").cast("long").alias("n_words"), F.array_compact(named).alias("hits"))
+    """(id, n_words, hits: array of (word, place) of the words in the index, for texts in which a phrase can stand)."""
+    text, words = F.col(text_col), vocabulary()
+    rows = docs.select(F.col(id_col).alias("id"), _words(text).alias("w"), possible(text).alias("possible"))
+    named = F.transform("w", lambda w, i: F.when(w.isin(words), F.struct(w.alias("word"), i.cast("long").alias("place"))))
+    none = F.array().cast("array<struct<word:string,place:bigint>>")
+    return rows.select("id", F.size("w").cast("long").alias("n_words"), F.when(F.col("possible"), F.array_compact(named)).otherwise(none).alias("hits"))
 
 
-def rarity(places: DataFrame) -> DataFrame:
+def rarity(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, idf) over all documents, a row for each word of the index."""
-    n = places.select(F.count("*").alias("n_docs"))
-    seen = places.select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    every = places.sparkSession.createDataFrame([(w,) for w in vocabulary()], "word string")
+    words = F.array(*(F.lit(w) for w in vocabulary()))
+    n = docs.select(F.count("*").alias("n_docs"))
+    seen = docs.select(F.explode(F.array_intersect(_words(F.col(text_col)), words)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    every = docs.sparkSession.createDataFrame([(w,) for w in vocabulary()], "word string")
     every = every.join(seen, "word", "left").join(F.broadcast(n))
     return every.select("word", F.log((F.col("n_docs") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)).alias("idf"))
 
@@ -81,7 +97,7 @@ def _starts(phrase: str) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, base_places: per base phrase, label_weights: label to best weight met, base_labels, labels, score)."""
     places = word_places(docs, id_col, text_col)
-    idf = rarity(places).agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("idf"))  # as long as the vocabulary
+    idf = rarity(docs, text_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("idf"))  # as long as the vocabulary
     rows = places.join(F.broadcast(idf))
     rows = rows.withColumns({f"b{k}": F.when(F.size("hits") > 0, _starts(p)).otherwise(F.array().cast("array<bigint>")) for k, (p, _) in enumerate(BASE)})
     met = []
