@@ -84,8 +84,8 @@ def memberships(names: np.ndarray) -> np.ndarray:
 
 
 class Fingerprints:
-    def __init__(self, words: np.ndarray):
-        self.words, self.members = words, memberships(words)
+    def __init__(self, words: np.ndarray, members: np.ndarray):
+        self.words, self.members = words, members
 
     def of(self, texts: list[bytes]) -> np.ndarray:
         """For each text and subset a hash of 12 bits, 0 where the text has no term in it."""
@@ -157,7 +157,7 @@ def _stream(words):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        prints = Fingerprints(words.value)
+        prints = Fingerprints(*words.value)
         rows: list[tuple[int, str, str]] = []  # id, text, text of the next
         size, before = 0, None
         for batch in batches:
@@ -200,7 +200,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = texts.agg(F.count("*").alias("n"), F.min("id").alias("low"), F.percentile_approx("id", [k / n_parts for k in range(1, n_parts)], 20 * n_parts).alias("at")).first()
     bounds = sorted({cuts["low"], *(cuts["at"] or ())}) if cuts["n"] else [0]
-    words = spark.sparkContext.broadcast(lexicon(texts, cuts["n"], band))
+    words = lexicon(texts, cuts["n"], band)
+    words = spark.sparkContext.broadcast((words, memberships(words)))  # bounded, see above
     dealt = texts.mapInArrow(_deal(bounds), "part int, look boolean, id long, z binary")
     dealt = dealt.repartition(n_parts, "part").sortWithinPartitions("part", "look", "id", "z")
     return dealt.mapInArrow(_stream(words), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
