@@ -43,7 +43,9 @@ def terms(data: np.ndarray, offsets: np.ndarray):
     heads = offsets[:-1][offsets[:-1] < len(data)]
     start[heads] = inside[heads]
     s = np.flatnonzero(start)
-    stops = np.union1d(np.flatnonzero(~inside), offsets[1:])
+    stop = np.append(~inside, True)
+    stop[offsets[1:]] = True
+    stops = np.flatnonzero(stop)
     e = stops[np.searchsorted(stops, s, "right")] if len(s) else s
     name = span_names(folded, s, e)
     text = np.searchsorted(offsets, s, "right") - 1
@@ -103,16 +105,18 @@ class Fingerprints:
         text = np.concatenate([text[known], text[other], rest])
         name = np.concatenate([name[known], strange])
         masks = np.concatenate([self.members[at[known]], memberships(strange)]) if len(self.words) else memberships(strange)
+        order = np.lexsort((name, text)) if len(strange) else slice(None)  # terms come sorted
+        text, name, masks = text[order], name[order], masks[order]
         out = np.zeros((len(texts), SUBSETS), np.uint16)
         for k in range(SUBSETS):
             hit = np.flatnonzero(masks[:, k // 64] >> np.uint64(k % 64) & np.uint64(1))
             if not len(hit):
                 continue
-            order = hit[np.lexsort((name[hit], text[hit]))]
-            first = np.flatnonzero(np.diff(text[order], prepend=-1))
-            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            total = np.add.reduceat(mix(name[order], (place + 1).astype(np.uint64)), first)
-            out[text[order][first], k] = 1 + (mix(total, np.uint64(k)) >> np.uint64(30)).astype(np.int64) % 4095
+            owner = text[hit]
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            place = np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))
+            total = np.add.reduceat(mix(name[hit], (place + 1).astype(np.uint64)), first)
+            out[owner[first], k] = 1 + (mix(total, np.uint64(k)) >> np.uint64(30)).astype(np.int64) % 4095
         return out
 
 

@@ -47,10 +47,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5):
     heads = offsets[:-1][offsets[:-1] < len(data)]
     start[heads] = ~space[heads]
     s = np.flatnonzero(start)
-    stop = space.copy()
-    bound = offsets[1:-1]
+    stop = np.append(space, True)
+    stop[offsets[1:]] = True
     at = np.flatnonzero(stop)
-    at = np.union1d(at, np.append(bound, len(data)))
     e = at[np.searchsorted(at, s, "right")]
     words = span_names(data, s, e)
     doc = np.searchsorted(offsets, s, "right") - 1
