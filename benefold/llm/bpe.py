@@ -27,7 +27,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 BLOCK_BYTES = 1 << 18
 #: Misses remembered in each of two generations.
-KEPT_MISSES = 3 << 17
+KEPT_MISSES = 1 << 17
 _DIRECT = np.uint64(1 << 62)
 _LETTER, _NUMBER, _OTHER, _SPACE, _BLANK = range(5)
 
