@@ -28,6 +28,8 @@ from .common import blocks, byte_column, mix, span_names
 BAND = (0.0005, 0.005)
 RATES, EACH = tuple(0.25 * 0.4**k for k in range(8)), 16
 SUBSETS = len(RATES) * EACH
+#: Ids drawn for each stretch of ids, to cut the stretches at.
+PER_STRETCH = 100
 _FOLD = np.zeros(256, np.uint8)
 for _b in (*range(48, 58), *range(97, 123), *range(128, 256)):
     _FOLD[_b] = _b
@@ -136,6 +138,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a == b).all(axis=1), 1.0, near)
 
 
+def _bounds(texts: DataFrame, n: int, low: int, n_parts: int) -> list[int]:
+    """The first id of each stretch, of about equal numbers of ids. Each is an id of ``texts`` (no quantile: those go through doubles, which round ids beyond 2**53)."""
+    some = texts.select("id").where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // (n_parts * PER_STRETCH)))) == 0).distinct().toArrow()
+    ids = np.sort(some.column("id").to_numpy())
+    return sorted({low, *ids[len(ids) * np.arange(1, n_parts) // n_parts].tolist()}) if len(ids) else [low]
+
+
 def _deal(bounds: list[int]):
     """Rows to their stretch of ids; the first row of a stretch also to the one before it, to be looked at."""
     def run(batches: Iterator) -> Iterator:
@@ -202,9 +211,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     n_parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = texts.agg(F.count("*").alias("n"), F.min("id").alias("low"), F.percentile_approx("id", [k / n_parts for k in range(1, n_parts)], 20 * n_parts).alias("at")).first()
-    bounds = sorted({cuts["low"], *(cuts["at"] or ())}) if cuts["n"] else [0]
-    words = lexicon(texts, cuts["n"], band)
+    count = texts.agg(F.count("*").alias("n"), F.min("id").alias("low")).first()
+    bounds = _bounds(texts, count["n"], count["low"], n_parts) if count["n"] else [0]
+    words = lexicon(texts, count["n"], band)
     words = spark.sparkContext.broadcast((words, memberships(words)))  # bounded, see above
     dealt = texts.mapInArrow(_deal(bounds), "part int, look boolean, id long, z binary")
     dealt = dealt.repartition(n_parts, "part").sortWithinPartitions("part", "look", "id", "z")

@@ -285,6 +285,17 @@ def test_imatch(spark):
     assert imatch.fingerprints(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[2**60 + 3 * i for i in range(200)], [random.Random(i).randrange(-(2**63), 2**63) for i in range(200)], [-(2**63), 5, *(2**63 - 1 - i for i in range(198))]])
+def test_imatch_of_ids_beyond_doubles(spark, ids):
+    docs = {i: f"text of {i} " * (1 + k % 3) for k, i in enumerate(ids)}
+    got = {x["id"]: x for x in imatch.fingerprints(spark.createDataFrame([*docs.items()], DOCS).repartition(5)).collect()}
+    ids = sorted(docs)
+    assert sorted(got) == ids and len(imatch._bounds(spark.createDataFrame([(i,) for i in ids], "id long"), len(ids), ids[0], 12)) == 12
+    for i, j in zip(ids, ids[1:] + ids[:1], strict=True):
+        t = docs[i]
+        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 2] + docs[j][: len(t) // 2]).encode()).hexdigest()
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------
 
 
