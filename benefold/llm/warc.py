@@ -8,9 +8,10 @@ Reading: files are parsed record by record by their Content-Length; continuation
 segment by the origin's identifier, ordered by segment number, checked against the total length and joined; whole records
 need no grouping. Then the HTTP head is cut off and the chunked framing decoded. Revisits take what they refer to.
 
-Defined results: a null payload is empty; page ids are distinct (rows without one are left out; of rows with equal id the
-one with the largest text counts); payloads shorter than ``least`` bytes are never referred to; a record whose segments are missing or don't add
-up to the total length raises an error; other columns are ignored.
+Defined results: a null payload is empty; every row is a record with an id of its own, also rows that repeat a page id or have none; of
+equal payloads those of the largest page id are responses and those of other page ids revisits, which refer to that page id and the payload's digest
+(and to the record, if it is the only one of both); payloads shorter than ``least`` bytes are never referred to; a record whose segments are missing
+or don't add up to the total length raises an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ _END = "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
-def record_id(page: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def record_id(*of) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(map(str, ('page', *of))))}>"
 
 
 def _cuts(data: bytes, size: int) -> list[bytes]:
@@ -56,15 +57,23 @@ def _record(kind: str, own: str, block: bytes, **more) -> str:
 def _records(chunk: int, segment: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        task, rows = TaskContext.get().partitionId(), 0
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("page", "url", "payload", "refers_to"))
+            columns = (batch.column(c).to_pylist() for c in ("page", "url", "payload", "refers_to", "single"))
             out: list[str] = []
-            for page, url, payload, refers_to in zip(*columns, strict=True):
-                own, payload = record_id(page), payload.encode("utf-8")
-                more = {"X_Page": page, "WARC_Target_URI": "".join((url or "urn:none").split()), "WARC_Payload_Digest": f"sha1:{hashlib.sha1(payload).hexdigest()}"}
+            for page, url, payload, refers_to, single in zip(*columns, strict=True):
+                payload = payload.encode("utf-8")
+                digest = hashlib.sha1(payload).hexdigest()
+                # a record that others refer to is named by what they know of it, any other by its place in the archive
+                own = record_id(page, digest) if single and refers_to is None else record_id(page, digest, task, rows)
+                rows += 1
+                of_page = {} if page is None else {"X_Page": page}
+                more = of_page | {"WARC_Target_URI": "".join((url or "urn:none").split()), "WARC_Payload_Digest": f"sha1:{digest}"}
                 if refers_to is not None:
-                    out.append(_record("revisit", own, b"HTTP/1.1 200 OK\r\n\r\n", **more, WARC_Refers_To=record_id(refers_to), X_Refers_To_Page=refers_to))
+                    target = {"WARC_Refers_To": record_id(refers_to, digest)} if single else {}
+                    out.append(_record("revisit", own, b"HTTP/1.1 200 OK\r\n\r\n", **more, **target, X_Refers_To_Page=refers_to))
                     continue
                 block = _HTTP + b"".join(b"%x\r\n%s\r\n" % (len(x), x) for x in _cuts(payload, chunk)) + b"0\r\n\r\n"
                 parts = _cuts(block, segment)
@@ -74,8 +83,7 @@ def _records(chunk: int, segment: int):
                 out.append(_record("response", own, parts[0], **more, WARC_Segment_Number=1))
                 for k, part in enumerate(parts[1:], 2):
                     total = {"WARC_Segment_Total_Length": len(block)} if k == len(parts) else {}
-                    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{k}')}>"
-                    out.append(_record("continuation", name, part, X_Page=page, WARC_Segment_Origin_ID=own, WARC_Segment_Number=k, **total))
+                    out.append(_record("continuation", record_id(own, k), part, **of_page, WARC_Segment_Origin_ID=own, WARC_Segment_Number=k, **total))
                 if sum(map(len, out[-len(parts):])) + len(out) > 1 << 24:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
                     out = []
@@ -86,13 +94,14 @@ def _records(chunk: int, segment: int):
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, chunk: int = CHUNK, segment: int = SEGMENT) -> None:
     """Write gzip-compressed WARC files of the pages under ``path``."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload)
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload)
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
-    first = rows.where("digest is not null").groupBy("digest").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # the payload goes through one exchange, by digest where there is one and else by page
-    rows = rows.withColumn("key", F.coalesce("digest", F.col("page").cast("string")))
+    first = rows.where("digest is not null and page is not null").groupBy("digest", "page").agg(F.count("*").alias("n"))
+    first = first.groupBy("digest").agg(F.max("page").alias("first"), (F.max_by("n", "page") == 1).alias("single"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    # the payload goes through one exchange, by digest where there is one and else by the row
+    rows = rows.withColumn("key", F.coalesce("digest", F.xxhash64("page", "url", "payload").cast("string")))
     rows = rows.join(first.withColumn("key", F.concat("digest", F.lit(""))).drop("digest"), "key", "left")
-    rows = rows.select("page", "url", "payload", F.when(F.col("first") != F.col("page"), F.col("first")).alias("refers_to"))
+    rows = rows.select("page", "url", "payload", F.when(F.col("first") != F.col("page"), F.col("first")).alias("refers_to"), (F.col("single") & F.col("page").isNotNull()).alias("single"))
     records = rows.mapInArrow(_records(chunk, segment), "value string")
     records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
@@ -116,7 +125,7 @@ def _parse(batches: Iterator) -> Iterator:
                 at = end + 4 + size + 4
                 number = head.get("warc-segment-number")
                 rows.append({
-                    "page": int(head["x-page"]), "type": head["warc-type"], "origin": head.get("warc-segment-origin-id", head["warc-record-id"]),
+                    "page": int(head["x-page"]) if "x-page" in head else None, "type": head["warc-type"], "origin": head.get("warc-segment-origin-id", head["warc-record-id"]),
                     "number": int(number) if number else None, "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None,
                     "refers_to": int(head["x-refers-to-page"]) if "x-refers-to-page" in head else None,
                     "digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "block": block,
@@ -168,15 +177,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    from .common import stored, table
+    from .common import join_keys, stored, table
 
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
     back = read(spark, path)
     back = stored(back.select("page", "type", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.coalesce(F.sha1("payload"), "digest").alias("digest")))
-    full = back.where("type = 'response'").select(F.col("page").alias("refers_to"), F.col("n").alias("n2"), F.col("digest").alias("d2"))
-    out = back.join(full, "refers_to", "left")
+    full = back.where("type = 'response' and page is not null").groupBy(F.col("page").alias("refers_to"), "digest").agg(F.max("n").alias("n2"))
+    out = join_keys(back, full, ["refers_to", "digest"], "left")
     return out.select(
-        F.col("page").alias("page_id"), F.coalesce("n", "n2").alias("payload_bytes"), F.coalesce("d2", "digest").alias("payload_digest"),
+        F.col("page").alias("page_id"), F.coalesce("n", "n2").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), "refers_to",
     )

@@ -251,6 +251,28 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write(df.limit(0), str(tmp_path / "b"))
 
 
+def test_warc_of_repeated_rows_against_sql(spark, tmp_path):
+    import duckdb
+
+    from benefold.llm import queries
+
+    r = random.Random(12)
+    big, big2, mid, mid2 = ("".join(r.choice("añ<b>漢 \r\n") for _ in range(n)) for n in (warc.SEGMENT, warc.SEGMENT + 9, 1500, 1600))
+    pages = [(5, "u", big), (5, "u", big), (5, "v", big2), (3, "u", big), (3, "u", big), (2, "u", big2), (None, "u", big), (None, None, big), (None, "u", None), (None, "u", mid2), (None, "u", mid2)]
+    pages += [(9, "u", mid), (9, "u", mid), (9, "u", mid), (8, "u", mid), (9, "u", "short"), (9, "u", "short"), (9, "u", None), (9, "u", mid2), (7, "u", mid2), (6, "u", mid2)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op5_warc"])
+    columns = [d[0] for d in want.description]
+    want = want.fetchall()
+    assert sorted(map(repr, (tuple(x[c] for c in columns) for x in warc.op5(spark, str(tmp_path)).collect()))) == sorted(map(repr, want)) and len(want) == len(pages)
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "a"))
+    text = "".join(x[0] + "\n" for x in spark.read.text(str(tmp_path / "a")).collect())
+    own, to = (re.findall(rf"WARC-{k}: (\S+)", text) for k in ("Record-ID", "Refers-To"))
+    assert len(own) == len(set(own)) and len(to) == 3 and set(to) <= set(own)  # big2 and mid2 (twice) are of one record
+
+
 def test_lost_segment_is_an_error(spark):
     block = b"HTTP/1.1 200 OK\r\n\r\nx"
     text = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nX-Page: 1\r\nWARC-Segment-Number: 1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block.decode())
