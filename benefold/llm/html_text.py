@@ -5,7 +5,9 @@ density, those of the blocks before and after it, and whether it lies in an arti
 of classes that say so). The tree is grown on the small labelled table below.
 
 Defined results: a null or empty page, or one without content blocks, has an empty text; scripts, styles, comments, forms and hidden
-elements are no text; character references are decoded once; white space (no-break too) becomes one space; broken or unclosed
+elements are no text; of these, one that is left open ends with what it lies in, or where a block starts that it can't hold (scripts and
+styles: with the page), and a head has no text but that of a body it runs into; hidden is what has an attribute of this name or a style that displays
+none; character references are decoded once; white space (no-break too) becomes one space; broken or unclosed
 tags never raise; repeated rows stay; other columns are ignored.
 """
 
@@ -43,9 +45,15 @@ TABLE = (
 # Fixed names.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("script style noscript template svg math head title textarea select button iframe object canvas audio video".split())
+NO_TEXT = frozenset("script style noscript template svg math title textarea select button iframe object canvas audio video".split())
+#: Those that hold no blocks, and blocks.
+FLAT = frozenset("svg math title textarea select button iframe".split())
+BLOCK = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section "
+    "table tbody td tfoot th thead tr ul".split())
 FURNITURE = frozenset("nav aside footer form dialog menu".split())
 ARTICLE = frozenset("article main".split())
+ONE = frozenset("p li dt dd tr td th option".split())
 STICKY = frozenset("comment comments respond reply replies discussion disqus".split())
 NAMES = STICKY | frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert sidebar side menu nav navbar navigation "
@@ -54,7 +62,9 @@ _OPEN = re.compile(r"<(?=[!?/a-zA-Z])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+_HIDDEN, _NO_DISPLAY = re.compile(r"hidden|display", re.I), re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_NEXT = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.S)
 _PART = re.compile(r"[^a-z0-9]+")
 
 
@@ -89,6 +99,12 @@ def is_content(features: tuple) -> bool:
     return node[0] >= 0.5
 
 
+def is_hidden(attributes: str) -> bool:
+    if not _HIDDEN.search(attributes):
+        return False
+    return any((name := m[1].lower()) == "hidden" or (name == "style" and _NO_DISPLAY.search(m[2] or m[3] or m[4] or "")) for m in _ATTRIBUTE.finditer(attributes))
+
+
 def _place(name: str, attributes: str, outer: tuple[int, int, int]) -> tuple[int, int, int]:
     """(article, furniture, sticky) inside of an element, from those outside of it."""
     article, furniture, sticky = outer
@@ -159,11 +175,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if name == "br":
             pieces.append(" ")
             continue
-        if not closing and (name in NO_TEXT or (name not in VOID and attributes and _HIDDEN.search(attributes))):
+        if name == "head":
+            close()
+            continue
+        if not closing and (name in NO_TEXT or (name not in VOID and attributes and is_hidden(attributes))):
             if name not in INLINE:
                 close()
             if not attributes.endswith("/"):
-                at = _end_of(page, at, name)
+                at = _end_of(page, at, name, stack[-1][0] if stack else "")
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -180,7 +199,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                     del stack[k:]
                     break
         else:
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
+            if name in ONE and stack and stack[-1][0] == name:
                 here = stack.pop()[1]  # these close one of their own kind
             stack.append((name, here))
             here = _place(name, attributes, here)
@@ -188,14 +207,34 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def _end_of(page: str, at: int, name: str) -> int:
+def _end_of(page: str, at: int, name: str, parent: str) -> int:
     """After the end tag of an element whose content is no text; elements of the same name may lie in it."""
     depth = 1
-    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", page[at:], re.I):
-        depth += -1 if m[1] else name not in ("script", "style", "textarea", "title")
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else name not in ("script", "style", "textarea", "title") and not m[0].endswith("/>")
         if depth == 0:
-            return at + m.end()
-    return len(page) if name in NO_TEXT else at
+            return m.end()
+    if name in ("script", "style"):
+        return len(page)
+    return _open_end(page, at, name, parent) if name in NO_TEXT else at
+
+
+def _open_end(page: str, at: int, name: str, parent: str) -> int:
+    """Where an element whose content is no text ends if it has no end tag: with what it lies in, or before a block that it can't hold."""
+    inside: list[str] = []
+    while m := _NEXT.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if m[1]:
+            if tag not in inside:
+                return m.start()
+            del inside[len(inside) - 1 - inside[::-1].index(tag):]
+        elif tag in ("script", "style"):
+            at = _end_of(page, at, tag, name)
+        elif name in FLAT and (tag in BLOCK or tag == name) or not inside and tag in ONE and tag == parent:
+            return m.start()
+        elif tag and tag not in VOID and not m[0].endswith("/>"):
+            inside.append(tag)
+    return len(page)
 
 
 def main_text(page: str | None) -> str:

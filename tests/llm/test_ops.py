@@ -388,6 +388,24 @@ def test_html(spark):
     assert dict(got)[2] == dict(got)[3] == dict(got)[8] == "" and dict(got)[4] == " ".join(["word"] * 30) and dict(got)[6] == "x"
 
 
+WORDS = " ".join(["word"] * 30)
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><meta charset=u><style>p{}</style><body><article><p>@</p></article></body></html>", "<head><title>T<link rel=x><body><article><p>@</p></article>", "<head><title>T</title><p>@",
+    "<article><div><button>Go</div><p>@</p></article>", "<article><button>Go<p>@</p><button>Go</button></article>", "<article><div><select><option>A<option>B</div><p>@</p></article>", "<article><p><a href=x><svg><path d=x></a>@</p></article>",
+    "<article><div><svg><path/><g></g></div><p>@</p></article>", "<article><svg><svg/><path/></svg><p>@</p></article>", "<article><ul><li><video src=x>no<li>@</ul></article>", "<article><div><object><b>no</b><script>'</div>no'</script></div><p>@</p></article>",
+    "<article><p title='a hidden gem'>@</p></article>", '<article><a title="The hidden cost of x">@</a></article>', '<article><p class="x hidden md:block">@</p></article>', '<article><p data-x="display:none" style="color:red">@</p></article>', "<article><p title=hidden>@</p></article>",
+    "<article><p hidden>no</p><p HIDDEN=''>no</p><p style='color:red; DISPLAY : none'>no</p><p style=display:none>no</p><p title='x' hidden>no</p><p>@</p></article>",
+])
+def test_html_left_open_or_named_hidden(page):
+    assert html_text.main_text(page.replace("@", WORDS)) == WORDS
+
+
+def test_html_scripts_left_open():
+    assert html_text.main_text(f"<article><p>{WORDS}</p><div><script>var x = 1;</div><p>no</p></article>") == WORDS
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
