@@ -1,9 +1,9 @@
 """Licence scans by a positional index of rare tokens, in DataFrame operations only.
 
 Every licence template is a short word sequence with mandatory key phrases. The index holds, for each word of the
-templates, its postings (template, place). A file's words that are in the index are looked up, rarest in the corpus first
-(inverse document frequency over all documents); each hit at place p of a word posted at place q votes for the template at
-p - q, and templates are accepted where enough of their weight meets at one place. An accepted template becomes a
+templates, its postings (template, place). All of a file's words that are in the index are looked up; each hit at place p of a word
+posted at place q votes for the template at p - q with its rarity (inverse document frequency over all documents, ``FLOOR`` at
+least), and templates are accepted where enough of the weight of all their words meets at one place. An accepted template becomes a
 label if its key phrases stand there word by word.
 
 Base phrases are found in the same way, with all words of the phrase demanded.
@@ -28,8 +28,8 @@ TEMPLATES = (
 )
 #: Share of a template's weight that has to meet at one place.
 ENOUGH = 0.5
-#: Of a template's words so many, the rarest in the corpus, are looked up.
-RAREST = 4
+#: Least weight of a word, however common it is.
+FLOOR = 0.01
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -73,7 +73,7 @@ def rarity(docs: DataFrame, text_col: str) -> DataFrame:
     seen = docs.select(F.explode(F.array_intersect(_words(F.col(text_col)), words)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     every = docs.sparkSession.createDataFrame([(w,) for w in vocabulary()], "word string")
     every = every.join(seen, "word", "left").join(F.broadcast(n))
-    return every.select("word", F.log((F.col("n_docs") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)).alias("idf"))
+    return every.select("word", F.greatest(F.log((F.col("n_docs") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)), F.lit(FLOOR)).alias("idf"))
 
 
 def _of(word: str) -> Column:
@@ -94,6 +94,16 @@ def _starts(phrase: str) -> Column:
     return out
 
 
+def _met(words: list[str]):
+    """The weight of the words that stand as in the template, if that starts at a place."""
+    order = F.array(*(F.lit(w) for w in words))
+
+    def at(start: Column) -> Column:
+        mine = F.filter("hits", lambda h: h["place"].between(start, start + len(words) - 1))
+        return F.aggregate(mine, F.lit(0.0), lambda a, h: a + F.when(F.get(order, (h["place"] - start).cast("int")) == h["word"], F.element_at("idf", h["word"])).otherwise(0.0))
+    return at
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, base_places: per base phrase, label_weights: label to best weight met, base_labels, labels, score)."""
     places = word_places(docs, id_col, text_col)
@@ -103,15 +113,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     met = []
     for label, text, key in TEMPLATES:
         words = text.split()
-        entries = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(k).cast("long").alias("q"), F.col("idf")[w].alias("idf")) for k, w in enumerate(words)))
-        rare = F.slice(F.reverse(F.array_sort(F.transform(entries, lambda e: F.struct(e["idf"].alias("idf"), e["word"].alias("word"), e["q"].alias("q"))))), 1, RAREST)
-        total = F.aggregate(rare, F.lit(0.0), lambda a, e: a + e["idf"])
-        votes = F.flatten(F.transform(rare, lambda e: F.transform(F.filter("hits", lambda h: h["word"] == e["word"]), lambda h: F.struct((h["place"] - e["q"]).alias("at"), e["idf"].alias("idf")))))
-        spots = F.array_distinct(F.transform(votes, lambda v: v["at"]))
-        shift = len(text[: text.index(key)].split())
-        good = F.array_intersect(spots, _back(_starts(key), shift))
-        weight = F.array_max(F.transform(good, lambda s: F.aggregate(votes, F.lit(0.0), lambda a, v: a + F.when(v["at"] == s, v["idf"]).otherwise(0.0))))
-        share = F.when(F.size("hits") > 1, weight / F.when(total > 0, total))
+        total = sum(F.col("idf")[w] for w in words)
+        # without the key phrase at its place no template counts, so votes are only taken for those places
+        weight = F.array_max(F.transform(_back(_starts(key), len(text[: text.index(key)].split())), _met(words)))
+        share = F.when(F.size("hits") > 1, weight / total)
         met.append((label, F.coalesce(share, F.lit(0.0))))
     rows = rows.withColumns({f"m{k}": F.least(share, F.lit(1.0)) for k, (_, share) in enumerate(met)})
     base = [F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]

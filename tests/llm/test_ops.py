@@ -334,6 +334,14 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_votes_with_all_words(spark):
+    texts = ["permission is hereby granted, free of charge, to any one getting a copy of this work"] + ["is hereby granted free of charge to any"] * 4 + ["other words"] * 16 + ["permission is hereby granted"]
+    got = [x["labels"] for x in license_scan.scan(spark.createDataFrame([*enumerate(texts)], DOCS)).orderBy("id").collect()]
+    assert got == ["mit"] + [""] * 21
+    everywhere = license_scan.scan(spark.createDataFrame([(i, f"x released under the MIT license {i}") for i in range(5)], DOCS)).collect()
+    assert [(x["labels"], x["score"]) for x in everywhere] == [("mit", 1.0)] * 5
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------
 
 
