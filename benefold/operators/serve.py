@@ -11,7 +11,11 @@ SINGLE_PARENT, DISABILITY = "088", "090"
 LABELS = {"single_parent": "ひとり親家庭", "disability": "障がいのあるお子さん"}
 RELATIONS = ("REQUIRES_BENEFIT", "SHARED_DOC", "NEXT_STEP")
 STAGES = (("prenatal", None, None), ("0y", 0, 11), ("1y", 12, 23), ("2y", 24, 35), ("3-5y", 36, 71), ("6-11y", 72, 143), ("12-14y", 144, 179), ("15-18y", 180, 227))
-PREFIX, STEPS, SALTS = 30, 80, 64
+PREFIX, STEPS, SALTS = 30, 80, 16
+#: Months are told apart from FIRST_MONTH on, 2**DEPTH of them.
+FIRST_MONTH, DEPTH = -1024, 12
+#: Lists beside those of ages (below FIRST_MONTH), and the place of benefits whatever their area.
+PRENATAL, ANY, EVERYWHERE = -100_001, -100_002, "*"
 LO, HI = "effective_min_age_months", "effective_max_age_months"
 
 
@@ -31,39 +35,87 @@ def search(benefits: DataFrame, q: str | None = None, category: str | None = Non
     return rows.orderBy(*order).limit(min(limit, 100))
 
 
+def _nodes(lo: Column, hi: Column) -> Column:
+    """Array of the ranges of months, each a power of two long and aligned, that together are ``lo`` to ``hi``: a few for each power."""
+    low = F.when(lo.isNull(), 0).otherwise(F.greatest(lo - FIRST_MONTH, F.lit(0)))
+    stop = F.when(hi.isNull(), 1 << DEPTH).otherwise(F.least(hi - FIRST_MONTH, F.lit((1 << DEPTH) - 1)) + 1)
+    parts = []
+    for k in range(DEPTH + 1):
+        a, b = F.shiftright(low + ((1 << k) - 1), k), F.shiftright(stop, k)
+        parts += [F.when((a < b) & (a % 2 == 1), _node(k, a)), F.when((a < b) & (b % 2 == 1), _node(k, b - 1))]
+    return F.array_compact(F.array(*parts))
+
+
+def _node(k: int, at: Column) -> Column:
+    return (at + (k << DEPTH + 1)).cast("int")
+
+
+def _above(month: Column) -> Column:
+    """Array of the ranges that hold a month; none outside of the months that are told apart."""
+    at = month - FIRST_MONTH
+    inside = (at >= 0) & (at < 1 << DEPTH)
+    return F.when(inside, F.array(*(_node(k, F.shiftright(at, k)) for k in range(DEPTH + 1)))).otherwise(F.array().cast("array<int>"))
+
+
 def match(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFrame:
     """For every profile its first benefits: (profile_id, rank, the benefit's columns, matched ages, attributes, reasons).
 
-    profiles: profile_id, area_code, ages (array of months, in request order), is_pregnant, is_single_parent, has_disability. Profiles
-    of one need (area, set of ages, flags) are ranked once; the area is joined by equality with itself and the region-wide code, and
-    ranking keeps only the first rows of each need before wide columns come in.
+    profiles: profile_id, area_code, ages (array of months, in request order; those outside of FIRST_MONTH and the 2**DEPTH months from it
+    match no age range), is_pregnant, is_single_parent, has_disability.
+
+    No profile is joined with all benefits of an area. A benefit is listed under the few aligned ranges of months that make up its age
+    range (and under "prenatal" and "any"); of each area, range and order of attributes only the first ``limit`` stay. An asked age is
+    looked up in the ranges that hold it, once for all profiles, and again only the first ``limit`` stay. A need (area, set of ages, flags) merges
+    the lists of its ages for its area and for the region-wide code, and is ranked once for all of its profiles. Region-wide lists, which
+    all needs read, are dealt over salts. All joins are on equal keys, and none gives more than ``limit`` rows for each key of the other side.
     """
-    b = benefits.select("benefit_id", "area_code", LO, HI, "age_source", "is_prenatal", "title",
-                        P.has_code(F.col("target_codes"), SINGLE_PARENT).alias("sp"), P.has_code(F.col("target_codes"), DISABILITY).alias("dis"))
-    need = [F.col("area_code").alias("n_area"), F.array_sort(F.array_distinct("ages")).alias("n_ages"), "is_pregnant", "is_single_parent", "has_disability"]
-    asked = profiles.select("profile_id", *need)
-    key = F.xxhash64("n_area", F.col("n_area").isNull(), "n_ages", "is_pregnant", "is_single_parent", "has_disability").alias("need_id")
-    needs = asked.select(key, "n_area", "n_ages", "is_pregnant", "is_single_parent", "has_disability").dropDuplicates(["need_id"])
-    placed = needs.where("n_area is not null").withColumn("area_code", F.explode(F.array_distinct(F.array("n_area", F.lit(P.WIDE)))))
-    cols = ["need_id", "n_ages", "is_pregnant", "is_single_parent", "has_disability", *(c for c in b.columns if c != "area_code")]
-    every = placed.join(b, "area_code").select(*cols)
-    # Profiles without area see all benefits. Of those alike in all that a need looks at, only the first ``limit`` can be among
-    # its first; what is left follows the number of such kinds, not of benefits. Needs are dealt over the salts.
-    alike = Window.partitionBy(LO, HI, "age_source", "is_prenatal", "sp", "dis").orderBy("title", "benefit_id")
-    few = b.drop("area_code").withColumn("_rn", F.row_number().over(alike)).where(F.col("_rn") <= limit).drop("_rn")
-    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    nowhere = needs.where("n_area is null").withColumn("_salt", F.pmod("need_id", F.lit(SALTS)).cast("int")).join(few, "_salt").select(*cols)
-    every = every.union(nowhere)
-    hit = P.any_age_in_range(F.col("n_ages"), F.col(LO), F.col(HI)) | (F.col("is_pregnant") & F.col("is_prenatal"))
-    hit = F.when(F.size("n_ages") > 0, hit).when(F.col("is_pregnant"), F.col("is_prenatal")).otherwise(True)
-    order = [F.when(F.col("is_single_parent"), F.col("sp")).desc_nulls_last(), F.when(F.col("has_disability"), F.col("dis")).desc_nulls_last(),
-             P.source_rank(F.col("age_source")), F.col(LO).asc_nulls_last(), "title", "benefit_id"]
-    top = every.where(hit).withColumn("rank", F.row_number().over(Window.partitionBy("need_id").orderBy(*order))).where(F.col("rank") <= limit)
-    full = top.select("need_id", "rank", "benefit_id").join(benefits, "benefit_id")
-    out = profiles.withColumnRenamed("area_code", "p_area").withColumn("need_id", F.xxhash64("p_area", F.col("p_area").isNull(), F.array_sort(F.array_distinct("ages")), "is_pregnant", "is_single_parent", "has_disability"))
+    flags = ["sp_first", "dis_first"]
+    code = lambda c: P.has_code(F.col("target_codes"), c)
+    rows = benefits.select("benefit_id", F.coalesce("area_code", F.lit("")).alias("area"), LO, HI, F.coalesce("is_prenatal", F.lit(False)).alias("is_prenatal"), "title",
+                           P.source_rank(F.col("age_source")).alias("source"), code(SINGLE_PARENT).alias("sp"), code(DISABILITY).alias("dis"))
+    first_needs = profiles.select(_need_id("area_code").alias("need_id"), F.col("area_code").alias("n_area"), F.array_sort(F.array_distinct("ages")).alias("n_ages"),
+                                  F.coalesce("is_pregnant", F.lit(False)).alias("is_pregnant"), F.coalesce("is_single_parent", F.lit(False)).alias("sp_first"), F.coalesce("has_disability", F.lit(False)).alias("dis_first"))
+    needs = first_needs.dropDuplicates(["need_id"])
+    # what a need asks for: areas, and ages or one of the two other lists
+    pregnant = F.when(F.col("is_pregnant"), F.array(F.lit(PRENATAL))).otherwise(F.array().cast("array<int>"))
+    asks = F.concat(F.transform("n_ages", lambda m: m.cast("int")), pregnant)
+    asks = F.when(F.size(asks) > 0, asks).otherwise(F.array(F.lit(ANY)))
+    places = F.when(F.col("n_area").isNull(), F.array(F.lit(EVERYWHERE))).otherwise(F.array_distinct(F.array("n_area", F.lit(P.WIDE))))
+    asked = needs.select("need_id", *flags, F.explode(places).alias("area"), asks.alias("asks")).withColumn("ask", F.explode("asks")).drop("asks")
+    orders = asked.select("area", "ask", *flags).distinct()
+
+    order = [F.when(F.col("sp_first"), ~F.col("sp")).otherwise(False).alias("o1"), F.when(F.col("dis_first"), ~F.col("dis")).otherwise(False).alias("o2"), F.col("source").alias("o3"),
+             F.col(LO).isNull().alias("o4"), F.col(LO).alias("o5"), F.col("title").alias("o6"), "benefit_id"]
+    names = ["o1", "o2", "o3", "o4", "o5", "o6", "benefit_id"]
+
+    def first(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+        return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("_rn") <= limit).drop("_rn")
+
+    other = F.when(F.col("is_prenatal"), F.array(F.lit(PRENATAL), F.lit(ANY))).otherwise(F.array(F.lit(ANY)))
+    listed = rows.withColumn("node", F.explode(F.concat(_nodes(F.col(LO), F.col(HI)), other)))
+    listed = listed.withColumn("area", F.explode(F.array("area", F.lit(EVERYWHERE)))).where("area <> ''")
+    listed = first(listed, ["area", "node", "sp", "dis"], ["source", F.col(LO).asc_nulls_last(), "title", "benefit_id"])
+    each = orders.select("area", *flags).distinct()
+    listed = first(listed.join(each, "area").select("area", "node", *flags, *order), ["area", "node", *flags], names)
+    above = F.when(F.col("ask") < FIRST_MONTH, F.array("ask")).otherwise(_above(F.col("ask")))
+    found = orders.withColumn("node", F.explode(above)).join(listed, ["area", "node", *flags])
+    found = first(found, ["area", "ask", *flags], names)
+    salts = F.when(F.col("area").isin(P.WIDE, EVERYWHERE), SALTS).otherwise(1)
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    own = asked.withColumn("salt", F.pmod(F.xxhash64("need_id", F.lit(0)), salts).cast("int"))
+    best = own.join(found, ["area", "ask", *flags, "salt"]).groupBy("need_id").agg(F.collect_set(F.struct(*names)).alias("x"))  # ``limit`` of each ask and area
+    top = best.select("need_id", F.posexplode(F.slice(F.array_sort("x"), 1, limit)).alias("pos", "y")).select("need_id", (F.col("pos") + 1).alias("rank"), "y.benefit_id")
+    full = top.join(benefits, "benefit_id")
+    out = profiles.withColumnRenamed("area_code", "p_area").withColumn("need_id", _need_id("p_area"))
     return explained(out.join(full, "need_id").drop("need_id"))
 
 
+def _need_id(area: str) -> Column:
+    """Name of what a profile asks for: 128 bits, so that no two needs of 10**9 share one."""
+    parts = [area, F.col(area).isNull(), F.array_sort(F.array_distinct("ages")), *(F.coalesce(c, F.lit(False)) for c in ("is_pregnant", "is_single_parent", "has_disability"))]
+    return F.md5(F.to_json(F.struct(*(F.col(x).alias("a0") if isinstance(x, str) else x.alias(f"a{k}") for k, x in enumerate(parts)))).cast("binary"))
+
+
 def explained(rows: DataFrame) -> DataFrame:
     """Adds matched_ages, matched_attributes and match_reasons."""
     lo, hi = F.col(LO), F.col(HI)
@@ -82,6 +134,23 @@ def explained(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"matched_attributes": attributes, "match_reasons": reasons})
 
 
+def shown(matches: DataFrame) -> DataFrame:
+    """Matches as they are shown: texts cut, and what has to be looked up or confirmed."""
+    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    return matches.select(
+        "profile_id", "rank", "benefit_id", "title", "category", cut("summary", 140).alias("summary"), "area_name", F.col(LO).alias("min_age_months"), F.col(HI).alias("max_age_months"), "age_source",
+        F.col("matched_ages").alias("matched_child_age_months"), "is_free", (F.coalesce("monetary_support_text", F.lit("")) != "").alias("has_amount_info"), "electronic_submission",
+        F.col("has_free_text_conditions").alias("needs_confirmation"), F.nullif(cut("conditions_text", 200), F.lit("")).alias("conditions_text"), "official_url", "match_reasons", "matched_attributes")
+
+
+def search_results(rows: DataFrame) -> DataFrame:
+    """Found benefits as they are shown in a list."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    return rows.select(
+        "benefit_id", "title", "category", F.substring(F.coalesce("summary", F.lit("")), 1, 120).alias("summary"), F.col(LO).alias("min_age_months"), F.col(HI).alias("max_age_months"), "age_source", "area_name",
+        "has_free_text_conditions", "is_free", (some("monetary_support_text") | some("cost_text")).alias("has_amount_info"), "electronic_submission")
+
+
 def group_by_attribute(matches: DataFrame) -> DataFrame:
     """(profile_id, group, n): each match in the group of its first attribute, single parents first."""
     has = lambda k: F.array_contains("matched_attributes", k)
@@ -157,8 +226,10 @@ def freshness(benefits: DataFrame) -> DataFrame:
     return benefits.agg(F.count("*").alias("n_benefits"), F.countDistinct("area_code").alias("n_areas"), F.max("update_date").alias("latest"))
 
 
-def rule_coverage(benefits: DataFrame) -> DataFrame:
-    return benefits.groupBy("age_source").agg(F.count("*").alias("n"))
+def rule_coverage(benefits: DataFrame, columns: tuple[str, ...] = ("age_source", "age_inference_rule", "income_rule", "income_basis")) -> DataFrame:
+    """(column, value, n): rows by source and rule of the age, and by rule and basis of the income condition; those that the table has, in one pass."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns if c in benefits.columns))
+    return benefits.select(F.explode(pairs).alias("x")).groupBy("x.column", "x.value").agg(F.count("*").alias("n"))
 
 
 def age_selectivity(benefits: DataFrame, ages: tuple[int, ...]) -> DataFrame:
