@@ -63,9 +63,9 @@ def short_hash(prefix: str, payload: Column, n: int = 12) -> Column:
 
 
 def months_text(c: Column) -> Column:
-    """An age in months as ``X歳Yか月``; zero is ``0歳``."""
-    y, m = F.floor(c / 12), c % 12
-    parts = F.concat(F.when(y > 0, F.concat(y.cast("string"), F.lit("歳"))).otherwise(""), F.when(m > 0, F.concat(m.cast("string"), F.lit("か月"))).otherwise(""))
+    """An age in months as ``X歳Yか月``; zero is ``0歳``; below zero the years are, and months count up from them."""
+    y, m = F.floor(c / 12), F.pmod(c, F.lit(12))
+    parts = F.concat(F.when(y != 0, F.concat(y.cast("string"), F.lit("歳"))).otherwise(""), F.when(m > 0, F.concat(m.cast("string"), F.lit("か月"))).otherwise(""))
     return F.when(parts == "", F.lit("0歳")).otherwise(parts)
 
 
@@ -75,6 +75,20 @@ def age_label(lo: Column, hi: Column) -> Column:
     return F.when(lo.isNotNull() & hi.isNotNull(), F.concat(a, F.lit("〜"), b)).when(lo.isNotNull(), F.concat(a, F.lit("以上"))).when(hi.isNotNull(), F.concat(b, F.lit("以下")))
 
 
+def profile_age(c: Column) -> Column:
+    """An age in months as years, and months if there are some; the years are always said."""
+    years = F.concat(F.floor(c / 12).cast("string"), F.lit("歳"))
+    return F.when(c % 12 > 0, F.concat(years, (c % 12).cast("string"), F.lit("か月"))).when(c.isNotNull(), years)
+
+
+def shown_age(source: Column, lo: Column, hi: Column) -> Column:
+    """The age range as it is shown; inferred ranges say so, and nothing is made up where nothing is known."""
+    one = lambda c: F.when(c < 12, F.concat((c % 12).cast("string"), F.lit("か月"))).otherwise(profile_age(c))
+    span = F.concat(F.coalesce(one(lo), F.lit("")), F.lit("〜"), F.coalesce(one(hi), F.lit("")))
+    known = (lo.isNotNull() | hi.isNotNull()) & (F.coalesce(source, F.lit("")) != "unknown")
+    return F.when(known, F.concat(F.lit("対象 "), span, F.when(source == "inferred", "（推定）").otherwise(""))).otherwise("対象年齢の記載なし")
+
+
 def full_months(birth: Column, today: Column) -> Column:
     """Whole months from birth to a given day; a month counts when its day of the month is reached; never below zero."""
     months = (F.year(today) - F.year(birth)) * 12 + F.month(today) - F.month(birth)
