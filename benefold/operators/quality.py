@@ -55,6 +55,15 @@ def check_tables(spark: SparkSession, tables: dict[str, DataFrame], previous: Da
     return found
 
 
+def integrity(tables: dict[str, DataFrame], edges) -> DataFrame:
+    """(table, column, n): for each end of edges (table, column, nodes, their column) how many rows meet no node."""
+    lost = []
+    for table, column, nodes, key in edges:
+        known = tables[nodes].select(F.col(key).alias(column))
+        lost.append(tables[table].select(column).join(known, column, "left_anti").agg(F.count("*").alias("n")).select(F.lit(table).alias("table"), F.lit(column).alias("column"), "n"))
+    return reduce(DataFrame.unionByName, lost)
+
+
 def age_contradictions(benefits: DataFrame) -> DataFrame:
     """Benefits whose stated bounds don't meet the range that their title says; a report, no stop."""
     rows = benefits.withColumn("said", infer_age_clauses(F.col("title"))).where("said is not null and (min_age_months is not null or max_age_months is not null)")

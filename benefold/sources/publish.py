@@ -5,6 +5,7 @@ A version is written whole before the manifest points at it; readers never see a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,16 +24,33 @@ def _point(spark: SparkSession, root: str, version: str, action: str, tables: li
     spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").json(f"{root}/_manifest")
 
 
+def stage(tables: dict[str, DataFrame], root: str, now: datetime | None = None) -> str:
+    """Write all tables as a new version that doesn't hold yet."""
+    version = (now or datetime.now(UTC)).strftime("%Y%m%dT%H%M%S%f")
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/v={version}/{name}")
+    return version
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, now: datetime | None = None) -> str:
     """Write all tables as a new version, then let the manifest point at it."""
     now = now or datetime.now(UTC)
-    version = now.strftime("%Y%m%dT%H%M%S%f")
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/v={version}/{name}")
-    _point(spark, root, version, "publish", list(tables), now)
+    version = stage(tables, root, now)
+    release(spark, root, version, list(tables), now)
     return version
 
 
+def release(spark: SparkSession, root: str, version: str, tables: list[str], now: datetime | None = None) -> None:
+    """Let a staged version hold."""
+    _point(spark, root, version, "publish", tables, now or datetime.now(UTC))
+
+
+def is_published(spark: SparkSession, root: str) -> bool:
+    """Whether any version holds under ``root``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def current(spark: SparkSession, root: str) -> str:
     return _manifest(spark, root).agg(F.max_by("version", "at").alias("v")).first()["v"]
 
@@ -47,12 +65,14 @@ def snapshots(spark: SparkSession, root: str, now: datetime) -> DataFrame:
     return rows.groupBy("version").agg(F.max("expires_at").alias("expires_at"), F.first("tables").alias("tables")).where((F.col("expires_at") > F.lit(now)) | (F.col("version") == current(spark, root)))
 
 
-def restore(spark: SparkSession, root: str, version: str, tables: list[str], now: datetime | None = None) -> None:
-    """Let an earlier version hold again; refused unless it has every table asked for."""
+def restore(spark: SparkSession, root: str, version: str, tables: list[str], now: datetime | None = None, verify: Callable[[dict[str, DataFrame]], None] | None = None) -> None:
+    """Let an earlier version hold again; refused unless it has every table asked for, and if ``verify`` raises for them."""
     had = _manifest(spark, root).where(F.col("version") == version).select(F.explode("tables").alias("t")).distinct()
     lost = spark.createDataFrame([(t,) for t in tables], "t string").join(had, "t", "left_anti").count()
     if lost:
         raise ValueError(f"version {version} lacks {lost} of the tables")
+    if verify:
+        verify({t: read(spark, root, t, version) for t in tables})
     _point(spark, root, version, "restore", tables, now or datetime.now(UTC))
 
 
