@@ -48,6 +48,18 @@ SQL = {
             WHEN 8 THEN CAST(o_custkey % 9 + 1 AS STRING) || '～' || CAST(o_custkey % 9 + 1 + o_orderkey % 4 AS STRING) || 'か月児健診'
             ELSE '区民の方' END AS text
         FROM orders""",
+    "work_texts": """
+        SELECT o_orderkey AS id, CAST(o_orderkey % 8 AS INT) AS kind, CAST(o_custkey % 40 + 10 AS INT) AS hours, CASE WHEN o_custkey % 4 = 0 THEN '一時預かり' ELSE '助成' END AS title,
+          CASE o_orderkey % 8
+            WHEN 0 THEN '月' || CAST(o_custkey % 40 + 10 AS STRING) || '時間以上就労している保護者'
+            WHEN 1 THEN '就労により保育を必要とする世帯。保護者の疾病でもよい'
+            WHEN 2 THEN '求職活動中の方。障害のある児童'
+            WHEN 3 THEN '週3日以上、1日4時間以上の勤務'
+            WHEN 4 THEN '就労証明書。病気のとき'
+            WHEN 5 THEN '育児休業中で仕事に戻る方'
+            WHEN 6 THEN '区民の方'
+            ELSE '仕事のある方' END AS text
+        FROM orders""",
     "income_texts": """
         SELECT o_orderkey AS id, CAST(o_orderkey % 7 AS INT) AS kind, CAST(o_custkey % 800 + 100 AS BIGINT) AS a,
           CASE o_orderkey % 7
@@ -74,6 +86,12 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name])
 
 
+#: Columns of texts that the derived benefits have besides, in SQL.
+TEXTS = """CASE record_seq % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE repeat(title, 40) END AS summary, CASE record_seq % 4 WHEN 0 THEN NULL ELSE repeat(title || status, 500) END AS description,
+  CASE record_seq % 5 WHEN 0 THEN conditions_text WHEN 1 THEN '' ELSE '区民の方' END AS persons, CASE record_seq % 7 WHEN 0 THEN '月額1万円' WHEN 1 THEN '' END AS monetary_support_text,
+  CASE record_seq % 6 WHEN 0 THEN repeat('窓口で申請', 250) END AS procedure_method, CASE record_seq % 11 WHEN 5 THEN '無料' WHEN 6 THEN '' END AS cost_text"""
+
+
 def benefits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import clean_codes
 
@@ -82,3 +100,21 @@ def benefits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "profiles").withColumn("ages", F.array_compact(F.array("age1", "age2"))).drop("age1", "age2")
+
+
+def benefits_with_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`benefits` with the columns of ``TEXTS`` and those that are made of them."""
+    rows = benefits(spark, sf_dir)
+    rows = rows.select("*", *(F.expr(x) for x in _split(TEXTS))).drop("target_persons_text").withColumnRenamed("persons", "target_persons_text")
+    return rows.withColumns({"has_free_text_conditions": F.col("conditions_text").isNotNull(), "is_free": F.coalesce(F.col("cost_text") == "無料", F.lit(False)), "electronic_submission": F.col("is_prenatal"),
+                             "official_url": F.concat(F.lit("https://a.example/"), "benefit_id")})
+
+
+def _split(columns: str) -> list[str]:
+    """The columns of a list in SQL, each up to its name."""
+    out, rest = [], columns
+    while rest.strip(", \n"):
+        head, _, tail = rest.partition(" AS ")
+        name, _, rest = tail.partition(",")
+        out.append(f"{head.strip(', \n')} AS {name.strip()}")
+    return out

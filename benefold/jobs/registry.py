@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import age, documents as D, income, refs, text as T
 from ..operators import edges, filters as P, nodes, quality, serve, survey
 from . import explain
-from .fixtures import benefits, cte, fixture, profiles
+from .fixtures import TEXTS, benefits, benefits_with_texts, cte, fixture, profiles
 
 FLAGSHIP = "match"
 QUERIES: dict = {}
@@ -179,9 +179,11 @@ def freshness(spark, d):
     return serve.freshness(benefits(spark, d)).withColumn("latest", F.col("latest").cast("string"))
 
 
-@query("rule_coverage", cte("benefits") + "SELECT age_source, count(*) AS n FROM benefits GROUP BY 1")
+@query("rule_coverage", cte("benefits") + """SELECT 'age_source' AS "column", age_source AS value, count(*) AS n FROM benefits GROUP BY 2
+UNION ALL SELECT 'income_rule', CASE WHEN record_seq % 11 = 3 THEN 'threshold_upper' END, count(*) FROM benefits GROUP BY 2 UNION ALL SELECT 'income_basis', CASE WHEN record_seq % 11 = 3 THEN 'income' END, count(*) FROM benefits GROUP BY 2""")
 def rule_coverage(spark, d):
-    return serve.rule_coverage(benefits(spark, d))
+    rows = benefits(spark, d).withColumn("x", income.extract_income(F.col("conditions_text")))
+    return serve.rule_coverage(rows.select("age_source", F.col("x.rule").alias("income_rule"), F.col("x.basis").alias("income_basis")))
 
 
 @query("age_selectivity", cte("benefits") + """SELECT age, age_source, count(*) AS n FROM benefits, (VALUES (0), (60), (120), (240)) t(age)
@@ -213,11 +215,13 @@ def _statuses(spark, d):
     return nodes.build_statuses(benefits(spark, d).withColumns({"target_codes": F.array("target_text"), "category_codes": none, "content_codes": none}))
 
 
-@query("statuses", cte("benefits") + "," + _STATUS + """, y AS (SELECT *, CASE WHEN lo IS NULL THEN NULL WHEN lo = 0 THEN '0歳' ELSE CASE WHEN lo >= 12 THEN (lo - lo % 12) // 12 || '歳' ELSE '' END || CASE WHEN lo % 12 > 0 THEN lo % 12 || 'か月' ELSE '' END END AS a,
-  CASE WHEN hi IS NULL THEN NULL WHEN hi = 0 THEN '0歳' ELSE CASE WHEN hi >= 12 THEN (hi - hi % 12) // 12 || '歳' ELSE '' END || CASE WHEN hi % 12 > 0 THEN hi % 12 || 'か月' ELSE '' END END AS b FROM s WHERE coalesce(hi, 0) >= 0)
+_MONTHS = """CASE WHEN {x} = 0 THEN '0歳' ELSE CASE WHEN {x} BETWEEN 0 AND 11 THEN '' ELSE CAST(CAST(floor({x} / 12.0) AS INT) AS VARCHAR) || '歳' END || CASE WHEN ({x} % 12 + 12) % 12 > 0 THEN ({x} % 12 + 12) % 12 || 'か月' ELSE '' END END"""
+
+
+@query("statuses", cte("benefits") + "," + _STATUS + f""", y AS (SELECT *, {_MONTHS.format(x="lo")} AS a, {_MONTHS.format(x="hi")} AS b FROM s)
 SELECT DISTINCT status_id, coalesce(name, CASE WHEN a IS NULL THEN b || '以下' WHEN b IS NULL THEN a || '以上' ELSE a || '〜' || b END) AS name, type, lo AS min_age_months, hi AS max_age_months, code FROM y""")
 def statuses(spark, d):
-    return _statuses(spark, d)[0].where("coalesce(max_age_months, 0) >= 0")
+    return _statuses(spark, d)[0]
 
 
 @query("requires_status", cte("benefits") + "," + _STATUS + "SELECT DISTINCT benefit_id, status_id FROM s")
@@ -415,17 +419,57 @@ def threshold_labels(spark, d):
     return survey.threshold_labels(_docs(spark, d), F.col("text"), "[0-9]{3,4}")
 
 
-@query("reference_survey", cte("benefits") + "," + _REQUIRES.split("required AS")[0].rstrip().rstrip(",") + """
-SELECT name, count(*) AS n_refs, count(*) FILTER (EXISTS (SELECT 1 FROM benefits b WHERE b.area_code = asked.area_code AND contains(b.title, asked.name))) AS n_resolved FROM asked GROUP BY 1""")
+@query("top_titles", cte("benefits") + "SELECT substr(title, 1, 3) AS title, count(*) AS n FROM benefits GROUP BY benefits.title ORDER BY n DESC, benefits.title LIMIT 5")
+def top_titles(spark, d):
+    return survey.top_titles(benefits(spark, d), "title", length=3)
+
+
+@query("employment_survey", cte("work_texts") + """, w AS (SELECT * FROM work_texts WHERE kind <> 6), k AS (SELECT section, label, unnest(kinds) AS kind FROM (VALUES
+  ('wording', '① 就労時間のしきい値', [0, 3]), ('wording', '② 保育の必要性（就労等の事由）', [1]), ('wording', '③ 求職活動中', [2]), ('wording', '④ 就学・技能習得', [-1]), ('wording', '⑤ 就労証明書（書類であって条件ではない）', [4]),
+  ('wording', '⑥ 育児休業', [5]), ('wording', '⑦ ひとり親の就業支援', [-1]), ('wording', 'none', [7]), ('rows', 'mention', [0, 1, 2, 3, 4, 5, 7]), ('rows', 'threshold', [0, 3]),
+  ('reason', '就労', [0, 1, 4]), ('reason', '疾病・障害', [1, 2, 4]), ('reason', '就学', [-1]), ('reason', '介護・看護', [-1]), ('reason', '妊娠・出産', [-1]), ('reason', '求職活動', [2]), ('reason', '災害復旧', [-1]), ('reason', '育児休業', [5]), ('reason', '虐待・DV', [-1]),
+  ('subject', 'guardian', [1]), ('subject', 'child', [2]), ('subject', 'ambiguous', [4])) t(section, label, kinds))
+SELECT section, label, count(w.id) AS n FROM k LEFT JOIN w USING (kind) GROUP BY 1, 2 UNION ALL SELECT 'rows', 'child care', count(*) FROM w WHERE title = '一時預かり' OR kind = 1""")
+def employment_survey(spark, d):
+    return survey.employment_survey(fixture(spark, d, "work_texts"), F.col("text"), F.col("title"))
+
+
+@query("work_thresholds", cte("work_texts") + """SELECT label, count(*) AS n FROM (SELECT '月' || hours || '時間以上' AS label FROM work_texts WHERE kind = 0 UNION ALL SELECT unnest(['週3日以上', '1日4時間以上']) FROM work_texts WHERE kind = 3) GROUP BY 1""")
+def work_thresholds(spark, d):
+    return survey.work_thresholds(fixture(spark, d, "work_texts"), F.col("text"))
+
+
+_REFERENCES = """
+  refs AS (SELECT benefit_id, area_code, area_name, title, CASE record_seq % 11 WHEN 0 THEN '児童扶養手当' ELSE '児童扶養手当および育成手当' END AS name FROM benefits WHERE record_seq % 11 IN (0, 1)),
+  named AS (SELECT *, EXISTS (SELECT 1 FROM benefits b WHERE b.area_code = refs.area_code AND contains(b.title, refs.name)) AS ok FROM refs)
+"""
+
+
+@query("reference_survey", cte("benefits") + "," + _REFERENCES + "SELECT name, count(*) AS n_refs, count(*) FILTER (ok) AS n_resolved FROM named GROUP BY 1")
 def reference_survey(spark, d):
     return survey.reference_survey(benefits(spark, d))
 
 
-@query("downstream", _ALL + """, per AS (SELECT area_code, count(*) AS n FROM required JOIN benefits ON benefit_id = from_benefit_id GROUP BY 1)
+@query("reference_counts", cte("benefits") + "," + _REFERENCES + """SELECT count(DISTINCT benefit_id) AS n_positive, count(*) AS n_refs, count(*) FILTER (ok) AS n_resolved, count(*) FILTER (NOT ok) AS n_unresolved,
+(SELECT count(*) FROM benefits WHERE record_seq % 11 = 2) AS n_negative FROM named""")
+def reference_counts(spark, d):
+    return survey.reference_counts(benefits(spark, d))
+
+
+@query("unresolved_names", cte("benefits") + "," + _REFERENCES + "SELECT name, count(*) AS n FROM named WHERE NOT ok GROUP BY 1 ORDER BY n DESC, name LIMIT 5")
+def unresolved_names(spark, d):
+    return survey.unresolved_names(benefits(spark, d))
+
+
+@query("hub_titles", cte("benefits") + "," + _REFERENCES + "SELECT title, count(*) AS n FROM named WHERE ok GROUP BY 1 ORDER BY n DESC, title LIMIT 10")
+def hub_titles(spark, d):
+    return survey.hub_titles(benefits(spark, d))
+
+
+@query("downstream", cte("benefits") + "," + _REFERENCES + """, per AS (SELECT area_name, count(*) AS n FROM named WHERE ok GROUP BY 1)
 SELECT count(*) AS n_areas, max(n) AS most, round(avg(n), 4) AS mean, list_sort(list(n))[CAST(floor(count(*) / 2) AS INT) + 1] AS upper_median FROM per""")
 def downstream(spark, d):
-    b = benefits(spark, d)
-    return survey.downstream(edges.requires_edges(b), b)
+    return survey.downstream(benefits(spark, d))
 
 
 def _tables(spark, d):
@@ -452,9 +496,64 @@ def age_contradictions(spark, d):
     return quality.age_contradictions(rows).select("id")
 
 
-@query("fact_sheets", cte("benefits") + """SELECT benefit_id, '制度名: ' || title || chr(10) || '分野: ' || category || chr(10) || '自治体: ' || area_name || CASE WHEN conditions_text IS NULL THEN '' ELSE chr(10) || '条件: ' || conditions_text END AS sheet FROM benefits""")
+_TEXTS = cte("benefits") + f", t AS (SELECT *, {TEXTS} FROM benefits)"
+_SHEET = """concat_ws(chr(10), CASE WHEN title <> '' THEN '制度名: ' || title END, CASE WHEN category <> '' THEN 'カテゴリ: ' || category END, CASE WHEN area_name <> '' THEN '自治体: ' || area_name END,
+  CASE WHEN summary <> '' THEN '概要: ' || summary END, CASE WHEN description <> '' THEN '詳細: ' || substr(description, 1, 2000) END, CASE WHEN persons <> '' THEN '対象者: ' || persons END,
+  CASE WHEN conditions_text <> '' THEN 'その他の条件: ' || conditions_text END, CASE WHEN monetary_support_text <> '' THEN '金銭的支援: ' || monetary_support_text END,
+  CASE WHEN procedure_method <> '' THEN '申請方法: ' || substr(procedure_method, 1, 1000) END)"""
+
+
+@query("fact_sheets", _TEXTS + f"SELECT benefit_id, {_SHEET} AS sheet FROM t")
 def fact_sheets(spark, d):
-    return explain.fact_sheets(benefits(spark, d))
+    return explain.fact_sheets(benefits_with_texts(spark, d))
+
+
+@query("explanation_backlog", _TEXTS + f"""SELECT benefit_id, sha256(benefit_id || chr(10) || sha256({_SHEET}) || chr(10) || 'model' || chr(10) || 'low' || chr(10) || '3') AS cache_key FROM t WHERE record_seq % 2 = 1""")
+def explanation_backlog(spark, d):
+    b = benefits_with_texts(spark, d)
+    sheets = explain.fact_sheets(b.where("record_seq % 2 = 0"))
+    cache = sheets.select(explain.cache_key(F.col("benefit_id"), F.sha2("sheet", 256), "model", "low", 3).alias("cache_key"))
+    return explain.explanation_backlog(b, cache, "model", "low", 3).select("benefit_id", "cache_key")
+
+
+@query("condition_texts", _TEXTS + """SELECT benefit_id, concat_ws('|', CASE WHEN persons <> '' THEN '対象になる方=' || persons END, CASE WHEN conditions_text <> '' AND conditions_text IS DISTINCT FROM persons THEN 'その他の条件=' || conditions_text END) AS texts FROM t""")
+def condition_texts(spark, d):
+    pairs = F.transform(explain.condition_texts(), lambda x: F.concat(x["label"], F.lit("="), x["text"]))
+    return benefits_with_texts(spark, d).select("benefit_id", F.array_join(pairs, "|").alias("texts"))
+
+
+@query("shown_matches", cte("benefits", "profiles") + "," + _HIT + f""", t AS (SELECT *, {TEXTS} FROM matches) SELECT profile_id, CAST(rank AS INT) AS rank, benefit_id, substr(coalesce(summary, ''), 1, 140) AS summary,
+coalesce(monetary_support_text, '') <> '' AS has_amount_info, conditions_text IS NOT NULL AS needs_confirmation, conditions_text, 'https://a.example/' || benefit_id AS official_url FROM t""")
+def shown_matches(spark, d):
+    out = serve.shown(serve.match(profiles(spark, d), benefits_with_texts(spark, d)))
+    return out.select("profile_id", "rank", "benefit_id", "summary", "has_amount_info", "needs_confirmation", "conditions_text", "official_url")
+
+
+@query("search_results", _TEXTS + """SELECT benefit_id, substr(coalesce(summary, ''), 1, 120) AS summary, effective_min_age_months AS min_age_months, coalesce(monetary_support_text, '') <> '' OR coalesce(cost_text, '') <> '' AS has_amount_info,
+conditions_text IS NOT NULL AS has_free_text_conditions, coalesce(cost_text = '無料', false) AS is_free FROM t WHERE area_code IN ('130007', '130001')""")
+def search_results(spark, d):
+    rows = benefits_with_texts(spark, d).where(P.area_or_wide(F.col("area_code"), "130007"))
+    return serve.search_results(rows).select("benefit_id", "summary", "min_age_months", "has_amount_info", "has_free_text_conditions", "is_free")
+
+
+_YEARS = """{x} // 12 || '歳' || CASE WHEN {x} % 12 > 0 THEN {x} % 12 || 'か月' ELSE '' END"""
+_ONE = f"CASE WHEN {{x}} < 12 THEN {{x}} || 'か月' ELSE {_YEARS} END"
+
+
+@query("shown_ages", cte("benefits") + f"""SELECT benefit_id, CASE WHEN age_source = 'unknown' OR lo IS NULL AND hi IS NULL THEN '対象年齢の記載なし'
+ELSE '対象 ' || coalesce({_ONE.format(x="lo")}, '') || '〜' || coalesce({_ONE.format(x="hi")}, '') || CASE age_source WHEN 'inferred' THEN '（推定）' ELSE '' END END AS shown, {_YEARS.format(x="lo")} AS years
+FROM (SELECT *, effective_min_age_months AS lo, CASE WHEN effective_max_age_months >= 0 THEN effective_max_age_months END AS hi FROM benefits)""")
+def shown_ages(spark, d):
+    b = benefits(spark, d).withColumn("hi", F.when(F.col(serve.HI) >= 0, F.col(serve.HI)))
+    return b.select("benefit_id", T.shown_age(F.col("age_source"), F.col(serve.LO), F.col("hi")).alias("shown"), T.profile_age(F.col(serve.LO)).alias("years"))
+
+
+@query("titled_links", "SELECT page_id, url || '=' || url || ',t=' || url AS links FROM pages")
+def titled_links(spark, d):
+    link = lambda t, u: F.struct(t.alias("title"), u.alias("uri"))
+    url, none = F.col("url"), F.lit(None).cast("string")
+    links = explain.titled_links(F.array(link(F.lit(""), url), link(F.lit("x"), none), link(F.lit("t"), url), link(F.lit("y"), F.lit(""))))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.array_join(F.transform(links, lambda x: F.concat(x["title"], F.lit("="), x["uri"])), ",").alias("links"))
 
 
 @query("cache_keys", cte("benefits") + "SELECT benefit_id, sha256(benefit_id || chr(10) || sha256(title) || chr(10) || 'model' || chr(10) || 'low' || chr(10) || '1') AS cache_key FROM benefits")

@@ -25,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in REGISTRY if n not in ("benefit_rows",)])
+@pytest.mark.parametrize("name", REGISTRY)
 def test_against_duckdb(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     names = sorted(df.columns)
