@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, byte_column, mix, span_names
+from .common import blocks, byte_column, mix, span_names, tidy
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The contractions that the pattern cuts off, in its order.
@@ -283,7 +283,7 @@ def _encode(path: str, text_col: str, out_col: str, packed: bool):
                 else:
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out_col])
-    return run
+    return tidy(run)
 
 
 def _decode(path: str, ids_col: str, out_col: str):
@@ -299,7 +299,7 @@ def _decode(path: str, ids_col: str, out_col: str):
                 rows = (x.as_py() or [] for x in column)
             out = pa.array([b"".join([tokens[i] for i in row]) for row in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
-    return run
+    return tidy(run)
 
 
 def default_path() -> str:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,14 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a fresh local one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, a fresh one for a session on one machine, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow. When its task ends, the Python worker, which lives on, gives back the memory that it no longer uses."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
@@ -69,7 +99,8 @@ def blocks(offsets: np.ndarray, size: int):
         at = min(to, n)
 
 
-_POW_N = 1 << 16
+#: Powers that a worker keeps; those of longer data are made anew.
+_POW_N = 1 << 20
 _BASE = 0x5851F42D4C957F2D
 _TABLE = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64)
 
@@ -80,18 +111,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS: dict[str, np.ndarray] = {}
+@functools.cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, _POW_N), _powers(pow(_BASE, -1, 2**64), _POW_N)
 
 
 def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit names of byte spans, from running sums of a polynomial modulo 2**64, then mixed with the length."""
     n = len(data)
-    if "p" not in _POWERS or len(_POWERS["p"]) < n + 1:
-        size = max(n + 1, _POW_N)
-        _POWERS["p"], _POWERS["i"] = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
+    up, down = _kept_powers() if n < _POW_N else (_powers(_BASE, n + 1), _powers(pow(_BASE, -1, 2**64), n + 1))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _POWERS["p"][:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _POWERS["i"][starts], (ends - starts).astype(np.uint64))
+    np.cumsum(_TABLE[data] * up[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts], (ends - starts).astype(np.uint64))
 
 
 # --- joining on counted keys --------------------------------------------------------------------------------

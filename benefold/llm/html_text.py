@@ -2,7 +2,7 @@
 
 A page is cut into flat blocks at block-level tags; of each block the tree sees its number of words and its link
 density, those of the blocks before and after it, and whether it lies in an article or in page furniture (elements and names
-of classes that say so). The tree is grown on the small labelled table below.
+of classes that say so, but not those of ``html`` and ``body`` nor of wrappers of most of the page). The tree is grown on the small labelled table below.
 
 Defined results: a null or empty page, or one without content blocks, has an empty text; scripts, styles, comments, forms and hidden
 elements are no text; of these, one that is left open ends with what it lies in, or where a block starts that it can't hold (scripts and
@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from .common import tidy
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture")
 #: The labelled table the tree is grown on: the features of a block, and 1 for content.
 TABLE = (
@@ -58,6 +60,10 @@ STICKY = frozenset("comment comments respond reply replies discussion disqus".sp
 NAMES = STICKY | frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert sidebar side menu nav navbar navigation "
     "breadcrumb breadcrumbs footer header masthead topbar share sharing social related recommended newsletter subscribe signup login popup modal toolbar pagination pager widget".split())
+#: Parts of class names that say something of what lies elsewhere: has-sidebar, no-footer.
+_SAID_OF = frozenset("has have with without no not is hide show hidden toggle layout theme template".split())
+#: Share of a page's words from which on an element is the page's wrapper, whatever its class.
+WRAPPER = 0.7
 _OPEN = re.compile(r"<(?=[!?/a-zA-Z])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -105,27 +111,37 @@ def is_hidden(attributes: str) -> bool:
     return any((name := m[1].lower()) == "hidden" or (name == "style" and _NO_DISPLAY.search(m[2] or m[3] or m[4] or "")) for m in _ATTRIBUTE.finditer(attributes))
 
 
-def _place(name: str, attributes: str, outer: tuple[int, int, int]) -> tuple[int, int, int]:
-    """(article, furniture, sticky) inside of an element, from those outside of it."""
-    article, furniture, sticky = outer
-    parts = {p for m in _NAMED.finditer(attributes) for p in _PART.split((m[1] or m[2] or m[3] or "").lower())} if attributes else set()
+def _place(name: str, attributes: str, outer: tuple[int, int, int, int], named: list[tuple[int, int]]) -> tuple[int, int, int, int]:
+    """(article, furniture, sticky, by) inside of an element, from those outside of it.
+
+    by: the innermost element that is furniture by its class, id or role only, as a number in ``named``, which keeps what it lies in; 0: none.
+    """
+    article, _, sticky, by = outer
+    parts = {p for m in _NAMED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split() if not _SAID_OF.intersection(x := _PART.split(t)) for p in x} if attributes else set()
+    if name in ("html", "body"):
+        return outer
     if name in ARTICLE and not parts & STICKY:
-        return (1, 0, 0) if not sticky else outer
+        return (1, 0, 0, 0) if not sticky else outer
     if name in FURNITURE or parts & STICKY:
-        return 0, 1, 1
+        return 0, 1, 1, 0
     if name == "header" and not article:
-        return 0, 1, sticky
-    named = parts & NAMES
-    if named and not (article and named <= {"header", "side"}):
-        return 0, 1, sticky
-    return article, furniture, sticky
+        return 0, 1, sticky, 0
+    names = parts & NAMES
+    if names and not (article and names <= {"header", "side"}) and not sticky:
+        named.append((by, article))
+        return article, 1, sticky, len(named) - 1
+    return outer
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, article, furniture) of each flat block with text, in page order."""
-    out: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, tuple[int, int, int]]] = []
-    here, links, linked = (0, 0, 0), 0, 0
+    """(text, words, words in links, article, furniture) of each flat block with text, in page order.
+
+    An element that is furniture by name only, and holds ``WRAPPER`` of the page's words or more, is the page's wrapper and no furniture.
+    """
+    out: list[tuple[str, int, int, tuple[int, int, int, int]]] = []
+    stack: list[tuple[str, tuple[int, int, int, int]]] = []
+    named: list[tuple[int, int]] = [(0, 0)]
+    here, links, linked = (0, 0, 0, 0), 0, 0
     pieces: list[str] = []
 
     def close() -> None:
@@ -133,7 +149,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if pieces:
             words = "".join(pieces).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), here[0], here[1]))
+                out.append((" ".join(words), len(words), min(linked, len(words)), here))
             pieces.clear()
         linked = 0
 
@@ -202,9 +218,20 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if name in ONE and stack and stack[-1][0] == name:
                 here = stack.pop()[1]  # these close one of their own kind
             stack.append((name, here))
-            here = _place(name, attributes, here)
+            here = _place(name, attributes, here, named)
     close()
-    return out
+    return _without_wrappers(out, named)
+
+
+def _without_wrappers(found: list[tuple], named: list[tuple[int, int]]) -> list[tuple[str, int, int, int, int]]:
+    words = [0] * len(named)
+    for _, n, _, (_, _, _, by) in found:
+        words[by] += n
+    total = sum(words)
+    for k in range(len(named) - 1, 0, -1):  # inner ones have larger numbers
+        words[named[k][0]] += words[k] if named[k][0] else 0
+    wrapper = [k > 0 and words[k] >= WRAPPER * total for k in range(len(named))]
+    return [(text, n, links, article if not by or wrapper[by] else 0, furniture if not wrapper[by] else 0) for text, n, links, (article, furniture, _, by) in found]
 
 
 def _end_of(page: str, at: int, name: str, parent: str) -> int:
@@ -254,7 +281,7 @@ def _extract(batches: Iterator) -> Iterator:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_extract, "id long, url string, text string")
+    return rows.mapInArrow(tidy(_extract), "id long, url string, text string")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ are at most (mean number of distinct terms) / ``BAND[0]``; only these leave the
 
 Defined results: terms are runs of ASCII letters, digits and other characters above U+007F, with A-Z lower-cased; a text without
 a term of the lexicon is fingerprinted by all of its terms, one without terms by its bytes; a null text is empty; equal texts have equal
-fingerprints, and equal fingerprints have likeness 1; rows without id are left out; rows of one id follow each other by text; other columns are ignored.
+fingerprints, and equal fingerprints have likeness 1; rows without id follow the last id, in order of a hash of their texts; rows of one id follow
+each other by their packed text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, byte_column, mix, span_names
+from .common import blocks, byte_column, mix, span_names, tidy
 
 #: Document frequencies of the lexicon's terms, as shares of all documents.
 BAND = (0.0005, 0.005)
@@ -73,7 +74,7 @@ def _frequencies(batches: Iterator) -> Iterator:
 
 def lexicon(texts: DataFrame, n_docs: int, band=BAND) -> np.ndarray:
     """Sorted names of the terms in the band, from counts over all of ``texts`` (t)."""
-    counts = texts.select("t").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = texts.select("t").mapInArrow(tidy(_frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = counts.where((F.col("n") >= band[0] * n_docs) & (F.col("n") <= max(2, band[1] * n_docs))).select("term").toArrow()
     return np.sort(found.column("term").to_numpy().astype(np.int64).view(np.uint64))
 
@@ -138,31 +139,41 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a == b).all(axis=1), 1.0, near)
 
 
-def _bounds(texts: DataFrame, n: int, low: int, n_parts: int) -> list[int]:
-    """The first id of each stretch, of about equal numbers of ids. Each is an id of ``texts`` (no quantile: those go through doubles, which round ids beyond 2**53)."""
-    some = texts.select("id").where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // (n_parts * PER_STRETCH)))) == 0).distinct().toArrow()
-    ids = np.sort(some.column("id").to_numpy())
-    return sorted({low, *ids[len(ids) * np.arange(1, n_parts) // n_parts].tolist()}) if len(ids) else [low]
-
-
-def _deal(bounds: list[int]):
-    """Rows to their stretch of ids; the first row of a stretch also to the one before it, to be looked at."""
+def _bounds(texts: DataFrame, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first value of each stretch of about equal numbers of values, with and without id. Each is a value of ``texts`` (no quantile: those go through doubles, which round ids beyond 2**53)."""
+    kinds = {r["o"]: r for r in texts.groupBy("o").agg(F.count("*").alias("n"), F.min("v").alias("low")).collect()}
+    total = sum(r["n"] for r in kinds.values())
+    every = max(1, total // (n_parts * PER_STRETCH))
+    some = texts.select("o", "v").where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).distinct().toArrow() if total else None
+    out = []
+    for o in (False, True):
+        if o not in kinds:
+            out.append(np.zeros(0, np.int64))
+            continue
+        drawn = np.sort(some.column("v").to_numpy()[some.column("o").to_numpy(zero_copy_only=False) == o])
+        parts = max(1, round(n_parts * kinds[o]["n"] / total))
+        out.append(np.unique(np.concatenate([[kinds[o]["low"]], drawn[len(drawn) * np.arange(1, parts) // parts] if len(drawn) else []]).astype(np.int64)))
+    return out[0], out[1]
+
+
+def _deal(bounds: tuple[np.ndarray, np.ndarray]):
+    """Rows to their stretch; the first row of a stretch also to the one before it, to be looked at. Stretches without id come last."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
-        edges = np.array(bounds, np.int64)
+        edges = np.concatenate(bounds)
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            part = np.maximum(np.searchsorted(edges, ids, "right") - 1, 0)
+            o, v = batch.column("o").to_numpy(zero_copy_only=False), batch.column("v").to_numpy()
+            part = np.where(o, len(bounds[0]) + np.searchsorted(bounds[1], v, "right"), np.searchsorted(bounds[0], v, "right")) - 1
             packed = [pack(t.as_py() or b"") for t in batch.column("t")]
-            twice = np.flatnonzero(edges[part] == ids)
-            rows = pa.array(np.concatenate([np.arange(len(ids)), twice]))
+            twice = np.flatnonzero(edges[part] == v)
+            rows = pa.array(np.concatenate([np.arange(len(v)), twice]))
             parts = np.concatenate([part, (part[twice] - 1) % len(edges)])
-            look = np.arange(len(parts)) >= len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(look), batch.column("id").take(rows), pa.array(packed, pa.binary()).take(rows)], names=["part", "look", "id", "z"])
-    return run
+            look = np.arange(len(parts)) >= len(v)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(look), *(batch.column(c).take(rows) for c in ("id", "v")), pa.array(packed, pa.binary()).take(rows)], names=["part", "look", "id", "v", "z"])
+    return tidy(run)
 
 
 def _stream(words):
@@ -171,7 +182,7 @@ def _stream(words):
 
         unpack = zstandard.ZstdDecompressor().decompress
         prints = Fingerprints(*words.value)
-        rows: list[tuple[int, str, str]] = []  # id, text, text of the next
+        rows: list[tuple[int | None, str, str]] = []  # id, text, text of the next
         size, before = 0, None
         for batch in batches:
             for part, look, i, z in zip(*(batch.column(c).to_pylist() for c in ("part", "look", "id", "z")), strict=True):
@@ -185,10 +196,10 @@ def _stream(words):
                 before = part, look, i, text
         if rows:
             yield _block(prints, rows)
-    return run
+    return tidy(run)
 
 
-def _block(prints: Fingerprints, rows: list[tuple[int, str, str]]):
+def _block(prints: Fingerprints, rows: list[tuple[int | None, str, str]]):
     import pyarrow as pa
 
     own = [t.encode() for _, t, _ in rows]
@@ -207,16 +218,16 @@ def _block(prints: Fingerprints, rows: list[tuple[int, str, str]]):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band=BAND) -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each document in order of ids."""
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each document in order of ids, those without id last."""
     spark = docs.sparkSession
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    texts = texts.select("id", F.col("id").isNull().alias("o"), F.coalesce("id", F.xxhash64("t")).alias("v"), "t")
     n_parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = texts.agg(F.count("*").alias("n"), F.min("id").alias("low")).first()
-    bounds = _bounds(texts, count["n"], count["low"], n_parts) if count["n"] else [0]
-    words = lexicon(texts, count["n"], band)
+    bounds = _bounds(texts, n_parts)
+    words = lexicon(texts, texts.count(), band)
     words = spark.sparkContext.broadcast((words, memberships(words)))  # bounded, see above
-    dealt = texts.mapInArrow(_deal(bounds), "part int, look boolean, id long, z binary")
-    dealt = dealt.repartition(n_parts, "part").sortWithinPartitions("part", "look", "id", "z")
+    dealt = texts.mapInArrow(_deal(bounds), "part int, look boolean, id long, v long, z binary")
+    dealt = dealt.repartition(n_parts, "part").sortWithinPartitions("part", "look", "v", "z")
     return dealt.mapInArrow(_stream(words), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

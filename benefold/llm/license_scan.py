@@ -15,16 +15,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import stored
+
 # Fixed base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 # Further templates: label, words of the template, mandatory key phrase.
 TEMPLATES = (
+    ("agpl", "under the terms of the gnu affero general public license", "affero general public license"),
     ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("artistic", "under the terms of the artistic license", "artistic license"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("cc0", "released into the public domain under cc0", "public domain"),
+    ("bsd", "this software is released under the bsd license", "bsd license"),
+    ("cc-by-sa", "licensed under the creative commons attribution sharealike license", "creative commons attribution sharealike"),
+    ("cc-by", "licensed under the creative commons attribution license", "creative commons attribution license"),
+    ("cc0", "released into the public domain under cc0", "under cc0"),
+    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "is hereby granted"),
+    ("lgpl", "under the terms of the gnu lesser general public license", "lesser general public license"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
     ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
+    ("proprietary", "this software is proprietary and confidential unauthorized copying is strictly prohibited", "proprietary and confidential"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "permission is granted to anyone"),
 )
 #: Share of a template's weight that has to meet at one place.
 ENOUGH = 0.5
@@ -33,18 +48,16 @@ FLOOR = 0.01
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: Of each phrase (base or key) one word.
-NEEDED = ("cc", "license", "reserved", "binary", "domain", "hereby")
+#: Of each phrase (base or key) one word, as rare as there is.
+NEEDED = ("attribution", "binary", "cc", "cc0", "granted", "license", "proprietary", "reserved", "unencumbered")
 assert all(set(p.split()) & set(NEEDED) for p in [p for p, _ in BASE] + [k for _, _, k in TEMPLATES])
 
 
 def _lower(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(_lower(text), F.lit(WORD), 0)
+    """A-Z lowered. ``lower`` does it too, but turns two other characters into ASCII letters; those that it changes otherwise stay outside of ASCII, where no phrase is."""
+    text = F.coalesce(text, F.lit(""))
+    exact = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(text.contains("\u0130") | text.contains("\u212a"), exact).otherwise(F.lower(text))
 
 
 def vocabulary() -> list[str]:
@@ -52,26 +65,22 @@ def vocabulary() -> list[str]:
     return sorted({w for t in texts for w in t.split()})
 
 
-def possible(text: Column) -> Column:
-    """Whether a text has a word without which no phrase can stand in it: most texts need no places."""
-    return _lower(text).rlike(f"(?:^|{BREAK})(?:{'|'.join(NEEDED)})(?:{BREAK}|$)")
-
-
 def word_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_words, hits: array of (word, place) of the words in the index, for texts in which a phrase can stand)."""
-    text, words = F.col(text_col), vocabulary()
-    rows = docs.select(F.col(id_col).alias("id"), _words(text).alias("w"), possible(text).alias("possible"))
-    named = F.transform("w", lambda w, i: F.when(w.isin(words), F.struct(w.alias("word"), i.cast("long").alias("place"))))
+    """(id, n_words, seen: words of the index, hits: array of (word, place) of these, for texts in which a phrase can stand): each text is read once."""
+    words = F.array(*(F.lit(w) for w in vocabulary()))
+    rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(_lower(F.col(text_col)), F.lit(WORD), 0).alias("w"))
+    rows = rows.select("id", F.size("w").cast("long").alias("n_words"), F.array_intersect("w", words).alias("seen"), "w")
+    named = F.transform("w", lambda w, i: F.when(w.isin(vocabulary()), F.struct(w.alias("word"), i.cast("long").alias("place"))))
+    possible = F.arrays_overlap("seen", F.array(*(F.lit(w) for w in NEEDED)))
     none = F.array().cast("array<struct<word:string,place:bigint>>")
-    return rows.select("id", F.size("w").cast("long").alias("n_words"), F.when(F.col("possible"), F.array_compact(named)).otherwise(none).alias("hits"))
+    return rows.select("id", "n_words", "seen", F.when(possible, F.array_compact(named)).otherwise(none).alias("hits"))
 
 
-def rarity(docs: DataFrame, text_col: str) -> DataFrame:
+def rarity(places: DataFrame) -> DataFrame:
     """(word, idf) over all documents, a row for each word of the index."""
-    words = F.array(*(F.lit(w) for w in vocabulary()))
-    n = docs.select(F.count("*").alias("n_docs"))
-    seen = docs.select(F.explode(F.array_intersect(_words(F.col(text_col)), words)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    every = docs.sparkSession.createDataFrame([(w,) for w in vocabulary()], "word string")
+    n = places.select(F.count("*").alias("n_docs"))
+    seen = places.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    every = places.sparkSession.createDataFrame([(w,) for w in vocabulary()], "word string")
     every = every.join(seen, "word", "left").join(F.broadcast(n))
     return every.select("word", F.greatest(F.log((F.col("n_docs") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)), F.lit(FLOOR)).alias("idf"))
 
@@ -94,29 +103,31 @@ def _starts(phrase: str) -> Column:
     return out
 
 
-def _met(words: list[str]):
-    """The weight of the words that stand as in the template, if that starts at a place."""
-    order = F.array(*(F.lit(w) for w in words))
+def _met(words: list[str], starts: Column) -> Column:
+    """The most weight of words that stand as in the template, of the given starts: each word votes for the starts it fits, and votes are added up in order of the starts."""
+    votes = [F.transform(F.array_intersect(starts, _back(F.transform(_of(w), lambda h: h["place"]), k)), lambda at, w=w: F.struct(at.alias("at"), F.element_at("idf", w).alias("w"))) for k, w in enumerate(words)]
+    none = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def add(a: Column, v: Column) -> Column:
+        total = F.when(a["at"] == v["at"], a["sum"]).otherwise(0.0) + v["w"]
+        return F.struct(v["at"].alias("at"), total.alias("sum"), F.greatest(a["best"], total).alias("best"))
 
-    def at(start: Column) -> Column:
-        mine = F.filter("hits", lambda h: h["place"].between(start, start + len(words) - 1))
-        return F.aggregate(mine, F.lit(0.0), lambda a, h: a + F.when(F.get(order, (h["place"] - start).cast("int")) == h["word"], F.element_at("idf", h["word"])).otherwise(0.0))
-    return at
+    return F.aggregate(F.array_sort(F.concat(*votes)), none, add)["best"]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, base_places: per base phrase, label_weights: label to best weight met, base_labels, labels, score)."""
-    places = word_places(docs, id_col, text_col)
-    idf = rarity(docs, text_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("idf"))  # as long as the vocabulary
+    places = stored(word_places(docs, id_col, text_col))
+    idf = rarity(places).agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("idf"))  # as long as the vocabulary
     rows = places.join(F.broadcast(idf))
-    rows = rows.withColumns({f"b{k}": F.when(F.size("hits") > 0, _starts(p)).otherwise(F.array().cast("array<bigint>")) for k, (p, _) in enumerate(BASE)})
+    there = lambda phrase: (F.size("hits") > 0) & (F.size(F.array_except(F.array(*(F.lit(w) for w in phrase.split())), F.col("seen"))) == 0)
+    rows = rows.withColumns({f"b{k}": F.when(there(p), _starts(p)).otherwise(F.array().cast("array<bigint>")) for k, (p, _) in enumerate(BASE)})
     met = []
     for label, text, key in TEMPLATES:
         words = text.split()
         total = sum(F.col("idf")[w] for w in words)
         # without the key phrase at its place no template counts, so votes are only taken for those places
-        weight = F.array_max(F.transform(_back(_starts(key), len(text[: text.index(key)].split())), _met(words)))
-        share = F.when(F.size("hits") > 1, weight / total)
+        share = F.when(there(key), _met(words, _back(_starts(key), len(text[: text.index(key)].split()))) / total)
         met.append((label, F.coalesce(share, F.lit(0.0))))
     rows = rows.withColumns({f"m{k}": F.least(share, F.lit(1.0)) for k, (_, share) in enumerate(met)})
     base = [F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]

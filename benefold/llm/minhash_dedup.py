@@ -5,18 +5,24 @@ registers, and a register keeps the shingle that arrives first. The generation o
 shingle's next one comes later than the document's fullest register. Two documents agree in a register with
 probability J_P, the probability Jaccard similarity of their weights.
 
+A document in which some shingle is more frequent than another gets a second signature, with all weights one: two of these
+agree in a register with the Jaccard similarity of the shingle sets. Where all weights are equal both are the same, so
+all signatures share their buckets, and pairs are found by either similarity.
+
 Signatures are cut into bands; documents that agree in a whole band share a bucket. In each bucket every document
 is verified against one centre (the document that meets most others), so a bucket of n costs n pairs. Documents
 of a bucket that are then still in another component than most of its members (the odd ones) are verified against all of
-its members outside their own component, in tiles of the bucket, and give one link for each component they belong to: no
-link between documents that meet in a bucket is lost, and large groups of copies don't make squares of rows.
+its members outside their own component, and give one link for each component they belong to: no
+link between documents that meet in a bucket is lost. For that, tiles of the odd ones meet tiles of all members: a member is sent
+once for each ``TILE`` odd members of its bucket, so that large groups of copies with few odd members don't make squares of rows.
 
 Verified similarity: the larger of J_P and the Jaccard similarity of the shingle sets, ``threshold`` or more.
 
 Defined results: words are separated by white space and lower-cased; a document of one to four words is one
-shingle; documents without words (null or empty too) link with nothing; equal word sequences are one class, of
-which the smallest id stands for all; rows of one id are one document, its smallest text (as a hash) speaks for
-it; rows without id link with nothing; other columns are ignored.
+shingle; documents without words (null or empty too) link with nothing; equal word sequences are one class, whatever their ids;
+every row has its own result, by its text: a component is named by its smallest id, and the row of that id (of several with other texts
+the one whose word sequence has the smallest hash) is kept, with all its repetitions; rows without id link with nothing and are kept;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +33,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import blocks, byte_column, join_keys, mix, span_names, stored
+from .common import blocks, byte_column, join_keys, mix, span_names, stored, tidy
 from .graph import components
 
 BANDS, ROWS = 28, 7
@@ -37,6 +44,7 @@ TILE = 256
 _ONE = np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WHITE = "\t\n\x0b\x0c\r "
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5):
@@ -90,55 +98,80 @@ def prob_minhash(doc: np.ndarray, name: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def _kind(text: bytes) -> bytes:
+    """Name of a word sequence."""
     return hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest()
 
 
+def _bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    keys = np.empty((len(sig), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(sig), b + 1, np.uint64)
+        for r in range(rows):
+            key = mix(key, sig[:, b * rows + r])
+        keys[:, b] = key
+    return keys
+
+
+def signed_bands(doc: np.ndarray, name: np.ndarray, weight: np.ndarray, n_docs: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the bands, documents x 2 bands: by weights and as a set; whether the weights are uneven)."""
+    by_weight = _bands(prob_minhash(doc, name, weight, n_docs, bands * rows), bands, rows)
+    first = np.searchsorted(doc, np.arange(n_docs))
+    uneven = np.maximum.reduceat(weight, first) > np.minimum.reduceat(weight, first)
+    as_set = by_weight.copy()
+    if uneven.any():
+        mine, own = uneven[doc], np.cumsum(uneven) - 1
+        as_set[uneven] = _bands(prob_minhash(own[doc[mine]], name[mine], np.ones(int(mine.sum())), int(uneven.sum()), bands * rows), bands, rows)
+    return np.concatenate([by_weight, as_set], axis=1), uneven
+
+
 def _sign(bands: int, rows: int, words: int):
+    """Every row with the name of its word sequence and its bands, 2 x ``bands`` if its weights are uneven; neither without words or id."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = byte_column(batch.column("t"))
+            known = np.asarray(batch.column("id").is_valid())
             for r0, r1 in blocks(offsets, 1 << 19):
                 part, o = data[offsets[r0]: offsets[r1]], offsets[r0: r1 + 1] - offsets[r0]
                 doc, name, weight = shingles(part, o, words)
                 there = np.unique(doc)
-                if not len(there):
-                    continue
-                sig = prob_minhash(np.searchsorted(there, doc), name, weight, len(there), bands * rows)
-                keys = np.empty((len(there), bands), np.uint64)
-                for b in range(bands):
-                    key = np.full(len(there), b + 1, np.uint64)
-                    for r in range(rows):
-                        key = mix(key, sig[:, b * rows + r])
-                    keys[:, b] = key
-                raw = part.tobytes()
-                kind = [_kind(raw[o[i]: o[i + 1]]) for i in there.tolist()]
+                kinds: list[bytes | None] = [None] * (r1 - r0)
+                values, size = np.zeros(0, np.uint64), np.zeros(r1 - r0, np.int64)
+                if len(there):
+                    keys, uneven = signed_bands(np.searchsorted(there, doc), name, weight, len(there), bands, rows)
+                    asked = known[r0 + there]
+                    values = keys[np.repeat([[True, False]], bands, axis=1) & asked[:, None] | (uneven & asked)[:, None]]
+                    size[there] = bands * (asked + (uneven & asked).astype(int))
+                    raw = part.tobytes()
+                    for i in there[asked].tolist():
+                        kinds[i] = _kind(raw[o[i]: o[i + 1]])
+                ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").take(pa.array(r0 + there)), pa.array(kind, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
+                    batch.column("id").slice(r0, r1 - r0), pa.array(kinds, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64))),
                 ], names=["id", "kind", "bands"])
-    return run
+    return tidy(run)
 
 
 def _shingle_lists(words: int):
+    """Shingles and counts of the texts that are the asked word sequence."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = byte_column(batch.column("t"))
-            for r0, r1 in blocks(offsets, 1 << 20):
+            for r0, r1 in blocks(offsets, 1 << 19):
                 part, o = data[offsets[r0]: offsets[r1]], offsets[r0: r1 + 1] - offsets[r0]
                 doc, name, weight = shingles(part, o, words)
                 ends = pa.array(np.searchsorted(doc, np.arange(r1 - r0 + 1)), pa.int32())
                 raw, asked = part.tobytes(), batch.column("kind").slice(r0, r1 - r0).to_pylist()
                 right = pa.array([_kind(raw[x:y]) == k for x, y, k in zip(o.tolist(), o.tolist()[1:], asked, strict=False)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(r0, r1 - r0), batch.column("bands").slice(r0, r1 - r0),
+                    batch.column("kind").slice(r0, r1 - r0), batch.column("bands").slice(r0, r1 - r0),
                     pa.ListArray.from_arrays(ends, pa.array(name.view(np.int64))),
                     pa.ListArray.from_arrays(ends, pa.array(weight, pa.int32())),
-                ], names=["id", "bands", "sh", "w"]).filter(right)
-    return run
+                ], names=["kind", "bands", "sh", "w"]).filter(right)
+    return tidy(run)
 
 
 def similarity(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray) -> float:
@@ -182,73 +215,110 @@ def _verify(threshold: float):
                     value.append(v)
             take = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take), pa.array(value, pa.float64())], names=["a", "b", "similarity"])
-    return run
+    return tidy(run)
 
 
-def _odd_links(threshold: float):
-    """Links of a bucket's odd members to members of other components: one for each member and component."""
+def _odd_links(threshold: float, n_bands: int):
+    """Links of a tile's odd members to members of other components: one for each member and component."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        key, lo, hi = key
-        ids, root, own, odd = (rows[c].to_numpy() for c in ("rep", "root", "own", "odd"))
-        sh, w, bands = rows["sh"].tolist(), rows["w"].tolist(), np.stack(rows["bands"].tolist())
-        band = int(np.flatnonzero(bands[0] == key)[0])
+        key = key[0]
+        kinds, root, as_odd, own, odd = (rows[c].to_numpy() for c in ("kind", "root", "as_odd", "own", "odd"))
+        sh, w = rows["sh"].tolist(), rows["w"].tolist()
+        first = np.stack([x[:n_bands] for x in rows["bands"]])
+        last = np.stack([x[-n_bands:] for x in rows["bands"]])  # the same where weights are even
+        band = int(np.flatnonzero((first[0] == key) | (last[0] == key))[0])
+        at = np.flatnonzero(~as_odd)
         found = []
-        for i in np.flatnonzero(odd).tolist():
-            others = (root != root[i]) & (~odd | (ids > ids[i])) & ((own != own[i]) | (lo == hi))
-            others &= ~(bands[:, :band] == bands[i, :band]).any(axis=1)  # a pair is looked at where it meets first
+        for i in np.flatnonzero(as_odd).tolist():
+            a, b = first[i, :band], last[i, :band]
+            met = ((first[at, :band] == a) | (first[at, :band] == b) | (last[at, :band] == a) | (last[at, :band] == b)).any(axis=1)
             linked = set()
-            for j in np.flatnonzero(others).tolist():
+            for j in at[(root[at] != root[i]) & ~met].tolist():  # a pair is looked at in the band where it meets first
+                if odd[j] and kinds[j] <= kinds[i]:
+                    continue  # and of two odd ones by the smaller
                 if root[j] not in linked and similarity(sh[i], w[i], sh[j], w[j]) >= threshold:
                     linked.add(root[j])
-                    found.append((ids[i], ids[j]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    found.append((kinds[i], kinds[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
     return run
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """(id, component, kept) for every distinct id: the smallest id linked to it, and whether that is itself."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("t"))
-    good = texts.where("id is not null and t is not null")
-    signed = stored(good.mapInArrow(_sign(bands, rows, words), "id long, kind binary, bands array<long>"))
-    member = signed.groupBy("id").agg(F.min(F.struct("kind", "bands")).alias("x")).select("id", "x.*")
-    member = stored(member)
-    reps = member.groupBy("kind").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    keys = reps.select("rep", F.explode("bands").alias("key"))
+    """(id, kind, component, kept) for every row: the name of its word sequence, the smallest id of its class, and whether the row stands for the class."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("t"))
+    signed = stored(texts.mapInArrow(_sign(bands, rows, words), "id long, kind binary, bands array<long>"))
+    reps = signed.where("kind is not null").groupBy("kind").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    reps = stored(reps)
+    keys = reps.select("kind", F.explode(F.array_distinct("bands")).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     meet = stored(join_keys(keys, shared, ["key"]))
-    score = meet.groupBy("rep").agg(F.sum("n").alias("score"))
-    meet = stored(meet.join(score, "rep").select("key", "rep", "score"))
-    centre = meet.groupBy("key").agg((-F.max(F.struct("score", (-F.col("rep")).alias("neg")))["neg"]).alias("centre"))
-    pairs = join_keys(meet, centre, ["key"]).where("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
+    score = meet.groupBy("kind").agg(F.sum("n").alias("score"))
+    meet = stored(meet.join(score, "kind").select("key", "kind", "score"))
+    centre = meet.groupBy("key").agg(F.max_by("kind", F.struct("score", "kind")).alias("centre"))
+    pairs = join_keys(meet, centre, ["key"]).where("kind <> centre").select(F.greatest("kind", "centre").alias("a"), F.least("kind", "centre").alias("b"))
 
-    wanted = reps.select(F.col("rep").alias("id"), "kind", "bands").join(meet.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    lists = stored(good.join(wanted, "id").mapInArrow(_shingle_lists(words), "id long, bands array<long>, sh array<long>, w array<int>"))
+    wanted = reps.join(meet.select("kind").distinct(), "kind", "left_semi")
+    lists = texts.join(wanted, "id").mapInArrow(_shingle_lists(words), "kind binary, bands array<long>, sh array<long>, w array<int>")
+    lists = stored(lists.dropDuplicates(["kind"]))  # an id may have several rows of one word sequence
 
     def verified(found: DataFrame) -> DataFrame:
         found = found.distinct()
-        found = found.join(lists.drop("bands").withColumnsRenamed({"id": "b", "sh": "sb", "w": "wb"}), "b")
-        found = found.join(lists.drop("bands").withColumnsRenamed({"id": "a", "sh": "sa", "w": "wa"}), "a")
-        return found.mapInArrow(_verify(threshold), "a long, b long, similarity double")
+        found = found.join(lists.select(F.col("kind").alias("b"), F.col("sh").alias("sb"), F.col("w").alias("wb")), "b")
+        found = found.join(lists.select(F.col("kind").alias("a"), F.col("sh").alias("sa"), F.col("w").alias("wa")), "a")
+        return found.mapInArrow(_verify(threshold), "a binary, b binary, similarity double")
 
     links = stored(verified(pairs))
     root = components(links)
-    placed = meet.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = meet.join(root.withColumnRenamed("node", "kind"), "kind", "left").select("key", "kind", F.coalesce("root", "kind").alias("root"))
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    most = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"))
-    split = join_keys(placed, most.where("parts > 1"), ["key"])
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    split = split.select("key", "rep", "root", (F.col("root") != F.col("most")).alias("odd"), F.pmod(F.hash("rep"), tiles).alias("own"), tiles.alias("tiles"))
-    split = split.join(lists.withColumnRenamed("id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    split = split.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "tiles")
-    more = stored(split.groupBy("key", "lo", "hi").applyInPandas(_odd_links(threshold), "a long, b long"))
+    most = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    most = most.where("parts > 1").select("key", F.col("x.root").alias("most"), F.ceil((F.col("n") - F.col("x.n")) / TILE).cast("int").alias("odd_tiles"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    split = stored(join_keys(placed, most, ["key"]).select("key", "kind", "root", (F.col("root") != F.col("most")).alias("odd"), "odd_tiles", "tiles"))
+    dealt = lambda n: F.pmod(F.xxhash64("kind", F.lit(3)), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_odd = split.where("odd").select("key", "kind", "root", "odd", F.lit(True).alias("as_odd"), dealt(F.col("odd_tiles")).alias("tile"), upto("tiles").alias("own"))
+    as_any = split.select("key", "kind", "root", "odd", F.lit(False).alias("as_odd"), dealt(F.col("tiles")).alias("own"), upto("odd_tiles").alias("tile"))
+    tiles = as_odd.unionByName(as_any).join(lists, "kind")
+    more = stored(tiles.groupBy("key", "tile", "own").applyInPandas(_odd_links(threshold, bands), "a binary, b binary"))
     root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))
 
-    known = member.select("id", "kind").transform(join_keys, reps.select("kind", "rep"), ["kind"])
-    known = known.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component"))
-    rest = texts.select("id").distinct().join(known, "id", "left")
-    return rest.select("id", F.coalesce("component", "id").alias("component"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    placed = stored(reps.select("kind", "id").join(root.withColumnRenamed("node", "kind"), "kind", "left").select("kind", "id", F.coalesce("root", "kind").alias("root")))
+    named = placed.groupBy("root").agg(F.min(F.struct("id", "kind")).alias("x"))
+    named = join_keys(placed, named, ["root"]).select("kind", F.col("x.id").alias("component"), F.col("x.kind").alias("keeper"))
+    known = join_keys(signed.select("id", "kind"), named, ["kind"], "left")
+    kept = F.coalesce((F.col("component") == F.col("id")) & (F.col("keeper") == F.col("kind")), F.lit(True))
+    return known.select("id", "kind", F.coalesce("component", "id").alias("component"), kept.alias("kept"))
+
+
+def _keepers(batches: Iterator) -> Iterator:
+    """Rows that stand for their class, with the name of their word sequence; rows without words or without id, with null."""
+    import pyarrow as pa
+
+    for batch in batches:
+        kinds, right = [], []
+        for i, t, asked in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "kinds")), strict=True):
+            kind = _kind(t.encode()) if i is not None and t.strip(_WHITE) else None
+            kinds.append(kind)
+            right.append(kind is None or kind in (asked or ()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kinds, pa.binary()), batch.column("row")], names=["id", "kind", "row"]).filter(pa.array(right, pa.bool_()))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stand for their class in :func:`near_duplicates`, one of each; rows without words or without id all stay.
+
+    Of rows with one id and one word sequence the smallest stays (in order of the columns, which have to be orderable), so reruns agree.
+    """
+    known = near_duplicates(docs, id_col, text_col, threshold)
+    kept = known.where("kept and kind is not null").groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("t"), F.struct("*").alias("row"))
+    rows = join_keys(rows, kept, ["id"], "left").select("id", "t", "kinds", "row")
+    schema = StructType([StructField("id", LongType()), StructField("kind", BinaryType()), rows.schema["row"]])
+    rows = rows.mapInArrow(tidy(_keepers), schema)
+    one = rows.groupBy("id", "kind", F.when(F.col("kind").isNull(), F.col("row")).alias("other")).agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    times = F.when(F.col("kind").isNull(), F.col("n")).otherwise(1)
+    return one.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

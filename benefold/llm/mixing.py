@@ -4,9 +4,10 @@ Documents are counted by source and exact length in words. A source's target is
 rest, smaller than the source. The rest is fitted over the lengths: each length first gives its even share (rounded
 down), the words then missing are less than a pass over the distinct lengths; they are given length by length from
 the longest down until little is left, and a bounded-knapsack dynamic programme over the lengths still in stock finds the
-subset whose sum comes nearest. Of each length the documents with the smallest seeded hashes are taken.
+subset whose sum comes nearest. Of each length the documents with the smallest seeded hashes (of id and text) are taken.
 
-The programme sees lengths and counts, never documents: one task has the distinct lengths of one source. Ranking
+The programme sees lengths and counts, never documents: one task has the distinct lengths of one source, and sums up to twice what is
+left to fit. Targets see one row for each source (a label of the corpus, not something that grows with its documents). Ranking
 within a length is done in hash ranges, so a length shared by very many documents isn't ranked in one task.
 
 Defined results: a null text has size 0, is never taken and adds nothing; a null source is a source of its own (the last);
@@ -78,7 +79,7 @@ def fit_lengths(budget: int, stock: dict[int, int]) -> dict[int, int]:
         k = min(take[n], GIVEN_BACK, max(0, SUMS - left) // n)
         take[n] -= k
         left += n * k
-    top = left + max(stock)  # a sum just above may be nearer
+    top = left + min(left, max(stock))  # a sum just above may be nearer; one farther off than none at all can't be
     reach, steps = 1, []
     for n in sorted(stock):
         room, size = min(stock[n] - take[n], top // n), 1
@@ -117,9 +118,9 @@ def words(text) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
         weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(id, size, source_size, target, copies) for every row: copies is how often the mix has the document (0, 1, 2)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
-    rows = stored(rows.withColumns({"h": F.xxhash64(F.lit(seed), "id"), "range": F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(RANGES)).cast("int")}))
+    """(id, source, size, source_size, target, copies) for every row: copies is how often the mix has the document (0, 1, 2)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"))
+    rows = stored(rows.withColumn("range", F.pmod(F.xxhash64(F.lit(seed), "h"), F.lit(RANGES)).cast("int")))
     ranges = stored(rows.groupBy("source", "size", "range").agg(F.count("*").alias("n")))
     lengths = ranges.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -136,8 +137,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     place = F.row_number().over(Window.partitionBy("no", "size", "range").orderBy("h", "id"))
     ranked = rows.select("*", numbered).withColumn("place", place).join(quota, ["no", "size", "range"], "left")
     copies = F.coalesce(F.col("passes") + (F.col("place") <= F.col("room")).cast("int"), F.lit(0))
-    known = F.broadcast(plan.select("no", "source_size", "target")) if plan.count() <= 10_000 else plan.select("no", "source_size", "target")
-    return ranked.select("id", "no", "size", copies.alias("copies")).join(known, "no").select("id", "size", "source_size", "target", "copies")
+    known = plan.select("no", "source", "source_size", "target")
+    known = F.broadcast(known) if plan.count() <= 10_000 else known
+    return ranked.select("id", "no", "size", copies.alias("copies")).join(known, "no").select("id", "source", "size", "source_size", "target", "copies")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

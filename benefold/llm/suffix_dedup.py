@@ -19,30 +19,30 @@ does. Rounds:
 Every name is counted only within its class of equal anchor names, so two different strings are confused only if
 two independent 64-bit names agree. No bucket, group or round is capped.
 
-Defined results: a null text is empty; texts shorter than ``min_len`` keep every byte; rows are told apart by
-(id, text), so a repeated row is a copy of itself and all of its long strings go; a null id is a value as any
-other; extra columns are ignored.
+Defined results: a null text is empty; texts shorter than ``min_len`` keep every byte; rows are told apart by a
+128-bit name of (id, text), so a repeated row is a copy of itself and all of its long strings go; a null id is a value as
+any other; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, byte_column, join_keys, mix, stored
+from .common import blocks, byte_column, join_keys, mix, stored, tidy
 
 GRAM = 40
 BLOCK = 16
 _AT_BITS = 24
-_PIECE = 1 << 22
+_PIECE = 1 << 19
 
-REF = ["id", "th", "at", "hi", "lo"]
-_REF = "id long, th int, at int, hi int, lo int"
+#: A row by the two halves of its name, an anchor's place in it, and its farthest and nearest window before that.
+ROW = ["r1", "r2"]
+REF = [*ROW, "at", "hi", "lo"]
+_REF = "r1 long, r2 long, at int, hi int, lo int"
 
 
 def _name(data: bytes) -> int:
@@ -101,10 +101,9 @@ def _scan(min_len: int):
 
         for batch in batches:
             data, offsets = byte_column(batch.column("t"))
-            ids, hashes = batch.column("id").to_numpy(zero_copy_only=False), batch.column("th").to_numpy()
-            missing = np.asarray(batch.column("id").is_null())
-            for r0, r1 in blocks(offsets, 1 << 20):
-                for base, starts, ends, rows, part in _pieces(data, offsets, r0, r1, min_len):
+            r1, r2 = (batch.column(c).to_numpy() for c in ROW)
+            for b0, b1 in blocks(offsets, 1 << 19):
+                for base, starts, ends, rows, part in _pieces(data, offsets, b0, b1, min_len):
                     if not len(starts):
                         continue
                     anchor, gram, first, last = _anchors(part, starts, ends, min_len)
@@ -112,12 +111,11 @@ def _scan(min_len: int):
                     raw = part.tobytes()
                     span = [_name(raw[p:q]) for p, q in zip(first.tolist(), (last + min_len).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(ids[row], pa.int64(), mask=missing[row]), pa.array(hashes[row], pa.int32()),
-                        pa.array(anchor + base - offsets[row], pa.int32()),
+                        pa.array(r1[row]), pa.array(r2[row]), pa.array(anchor + base - offsets[row], pa.int32()),
                         pa.array(anchor - first, pa.int32()), pa.array(anchor - last, pa.int32()),
                         pa.array(gram.view(np.int64)), pa.array(span, pa.int64()),
-                    ], names=["id", "th", "at", "hi", "lo", "gram", "span"])
-    return run
+                    ], names=[*REF, "gram", "span"])
+    return tidy(run)
 
 
 def _pieces(data, offsets, r0, r1, min_len):
@@ -139,16 +137,16 @@ def _snippets(min_len: int):
 
         for batch in batches:
             out = {k: [] for k in (*REF, "gram", "need", "bytes")}
-            for d, th, text, todo in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "t", "todo")), strict=True):
+            for r1, r2, text, todo in zip(*(batch.column(c).to_pylist() for c in (*ROW, "t", "todo")), strict=True):
                 for x in todo:
-                    for k, v in (("id", d), ("th", th), ("at", x["at"]), ("hi", x["hi"]), ("lo", x["lo"]), ("gram", x["gram"]), ("need", x["need"])):
+                    for k, v in (("r1", r1), ("r2", r2), ("at", x["at"]), ("hi", x["hi"]), ("lo", x["lo"]), ("gram", x["gram"]), ("need", x["need"])):
                         out[k].append(v)
                     out["bytes"].append(text[x["at"] - x["hi"]: x["at"] - x["lo"] + min_len])
             yield pa.RecordBatch.from_arrays([
-                pa.array(out["id"], pa.int64()), *(pa.array(out[k], pa.int32()) for k in ("th", "at", "hi", "lo")),
+                *(pa.array(out[k], pa.int64()) for k in ROW), *(pa.array(out[k], pa.int32()) for k in ("at", "hi", "lo")),
                 pa.array(out["gram"], pa.int64()), pa.array(out["need"], pa.bool_()), pa.array(out["bytes"], pa.binary()),
             ], names=list(out))
-    return run
+    return tidy(run)
 
 
 def _block_names(min_len: int):
@@ -171,7 +169,7 @@ def _block_names(min_len: int):
                 *(pa.array(at[:, k], pa.int32()) for k in (1, 2, 3)),
                 pa.array(common, pa.int64()), pa.array(span, pa.int64()),
             ], names=[*REF, "gram", "need", "block", "far", "near", "common", "span"])
-    return run
+    return tidy(run)
 
 
 def _window_names(min_len: int):
@@ -188,10 +186,10 @@ def _window_names(min_len: int):
             at = np.array(rows, np.int64).reshape(-1, 3)
             take = pa.array(at[:, 0])
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(c).take(take) for c in ("id", "th", "at", "gram")),
+                *(batch.column(c).take(take) for c in (*ROW, "at", "gram")),
                 pa.array(at[:, 2] > 0), pa.array(at[:, 1], pa.int32()), pa.array(names, pa.int64()),
-            ], names=["id", "th", "at", "gram", "need", "back", "name"])
-    return run
+            ], names=[*ROW, "at", "gram", "need", "back", "name"])
+    return tidy(run)
 
 
 def _repeated(df: DataFrame, *keys: str) -> DataFrame:
@@ -199,13 +197,8 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
 
 
-def _same(*cols: str):
-    """Equal to the columns of the same name with _ before; only an id may be null."""
-    return functools.reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "id" else F.col(c) == F.col(f"_{c}") for c in cols))
-
-
 def repeated_spans(texts: DataFrame, min_len: int = 200) -> DataFrame:
-    """texts: (id long, th int, t binary). Windows that also start elsewhere, as (id, th, first, last) ranges."""
+    """texts: (r1 long, r2 long, t binary). Windows that also start elsewhere, as (r1, r2, first, last) ranges."""
     if min_len < 2 * GRAM:
         raise ValueError(f"min_len must be {2 * GRAM} at least")
     anchors = stored(texts.mapInArrow(_scan(min_len), f"{_REF}, gram long, span long"))
@@ -218,8 +211,8 @@ def repeated_spans(texts: DataFrame, min_len: int = 200) -> DataFrame:
     seen = spans.join(rest.select("gram").distinct(), "gram", "left_semi").select("w.*", "gram", F.lit(False).alias("need"))
     # round 3: blocks of windows
     todo = rest.select(*REF, "gram", F.lit(True).alias("need")).union(seen)
-    todo = todo.groupBy("id", "th").agg(F.collect_list(F.struct("at", "hi", "lo", "gram", "need")).alias("todo"))
-    docs = texts.join(todo.withColumnsRenamed({"id": "_id", "th": "_th"}), _same("id", "th")).select("id", "th", "t", "todo")
+    todo = todo.groupBy(*ROW).agg(F.collect_set(F.struct("at", "hi", "lo", "gram", "need")).alias("todo"))  # as sets: a repeated row's are there once
+    docs = texts.join(todo, ROW).select(*ROW, "t", "todo")
     parts = stored(docs.mapInArrow(_snippets(min_len), f"{_REF}, gram long, need boolean, bytes binary"))
     named = parts.mapInArrow(_block_names(min_len), f"{_REF}, gram long, need boolean, block int, far int, near int, common long, span long")
     named = stored(join_keys(named, _repeated(named, "gram", "block", "common"), ["gram", "block", "common"]))
@@ -232,11 +225,11 @@ def repeated_spans(texts: DataFrame, min_len: int = 200) -> DataFrame:
     seen = named.where("not (need and all is null)").groupBy(*kind, "far", "near", "span").agg(F.min(F.struct(*REF)).alias("w"))
     seen = seen.join(rest.select(*kind).distinct(), kind, "left_semi").select("w.*", "far", "near", F.lit(False).alias("need"))
     todo = rest.select(*REF, "far", "near", "need").union(seen)
-    todo = todo.groupBy(*REF).agg(F.collect_list(F.struct("far", "near", "need")).alias("todo"))
-    single = parts.drop("need").join(todo.withColumnsRenamed({c: f"_{c}" for c in REF}), _same(*REF)).select(*REF, "gram", "bytes", "todo")
-    single = stored(single.mapInArrow(_window_names(min_len), "id long, th int, at int, gram long, need boolean, back int, name long"))
+    todo = todo.groupBy(*REF).agg(F.collect_set(F.struct("far", "near", "need")).alias("todo"))
+    single = parts.drop("need").join(todo, REF).select(*REF, "gram", "bytes", "todo")
+    single = stored(single.mapInArrow(_window_names(min_len), "r1 long, r2 long, at int, gram long, need boolean, back int, name long"))
     twice = join_keys(single.where("need"), _repeated(single, "gram", "back", "name"), ["gram", "back", "name"])
-    cols = lambda far, near: ["id", "th", (F.col("at") - far).alias("first"), (F.col("at") - near).alias("last")]
+    cols = lambda far, near: [*ROW, (F.col("at") - far).alias("first"), (F.col("at") - near).alias("last")]
     return (
         some.where("all").select(*cols(F.col("hi"), F.col("lo")))
         .union(named.where("need and all").select(*cols(F.col("far"), F.col("near"))))
@@ -244,7 +237,7 @@ def repeated_spans(texts: DataFrame, min_len: int = 200) -> DataFrame:
     )
 
 
-def _cut(min_len: int):
+def _cut(min_len: int, as_text: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -263,31 +256,27 @@ def _cut(min_len: int):
                     at = b
                 kept.append(b"".join([*left, text[at:]]))
                 spans.append([{"first": a, "stop": b} for a, b in out])
-            names = [n for n in batch.schema.names if n != "windows"]
+            names = [n for n in batch.schema.names if n not in ("windows", *(["t"] if as_text else []))]
             kind = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*names, "spans", "kept"])
-    return run
+            kept = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(spans, kind), kept], names=[*names, "spans", "kept"])
+    return tidy(run)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, t: the text's bytes, rest: the columns ``carry``, spans: removed runs as byte ranges, kept: the other bytes) for every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(id, t: the text's bytes, rest: the columns ``carry``, spans: removed runs as byte ranges, kept: the other bytes) for every row.
+
+    With ``as_text`` there is no t, and kept is UTF-8 text; of a character that was cut through nothing stays.
+    """
     rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"), rest.alias("rest"))
-    rows = rows.select("id", F.hash("t").alias("th"), "t", "rest")
-    windows = repeated_spans(rows.select("id", "th", "t"), min_len).groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
-    both = rows.join(windows.withColumnsRenamed({"id": "_id", "th": "_th"}), _same("id", "th"), "left").select("id", "t", "rest", "windows")
+    first = F.xxhash64("t").bitwiseXOR(F.coalesce("id", F.lit(0))).bitwiseXOR(F.col("id").isNull().cast("long"))
+    rows = rows.select("id", first.alias("r1"), F.xxhash64(F.lit(1), "t", F.lit(2)).alias("r2"), "t", "rest")
+    windows = repeated_spans(rows.select(*ROW, "t"), min_len).groupBy(*ROW).agg(F.collect_set(F.struct("first", "last")).alias("windows"))
+    both = rows.join(windows, ROW, "left").select("id", "t", "rest", "windows")
     kind = both.schema["rest"].dataType.simpleString()
-    return both.mapInArrow(_cut(min_len), f"id long, t binary, rest {kind}, spans array<struct<first: int, stop: int>>, kept binary")
-
-
-def decoded(column: str):
-    """Column: bytes as UTF-8 text; of a character that was cut through nothing stays."""
-
-    @F.pandas_udf("string")
-    def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: b.decode("utf-8", "ignore"))
-
-    return run(column)
+    t, kept = ("", "string") if as_text else ("t binary, ", "binary")
+    return both.mapInArrow(_cut(min_len, as_text), f"id long, {t}rest {kind}, spans array<struct<first: int, stop: int>>, kept {kept}")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

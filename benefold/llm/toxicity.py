@@ -1,13 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Every word of a clause has a class: insult, verb of harm, modal, target, negation, report, quote mark or other. Five
-small transducers (threat, target, negation, reported speech, insult) rewrite the classes and add weights; their
-composition reads a clause once and says of each match how it was meant: aimed at somebody, negated, reported or
+Every word of a clause has a class: insult, verb of harm, modal, target, negation, report, quote mark or other. Small
+transducers (threat, target, negation, quotes, reported speech) rewrite the classes and add weights. Their
+composition reads a clause once, and that of two more (targets and reports that come after what they are about) and the insult transducer
+reads what it wrote once backwards; what comes out says of each match how it was meant: aimed at somebody, negated, reported or
 plain. A document's score is a logistic function of the weights that its clauses collect by meaning.
 
 Insults are a short list and what is learned: word stems whose documents are toxic, chosen one after the other by how many toxic documents
 they explain that none before does. The logistic weights are learned too. Both use a bounded sample of labelled
-rows, ``SAMPLE`` of each label at most (smallest hashes of the id), equal texts once; rows held out are never
+rows, ``SAMPLE`` of each label at most (smallest hashes of the id, then of the text), equal texts once; rows held out are never
 in it. Everything else covers all rows and whole texts.
 
 Defined results: null and empty texts get the score of a text without matches; a null id is not held out; without
@@ -16,6 +17,7 @@ labels nothing is learned and every score is low; labels, language, source and i
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -34,7 +36,7 @@ REPORTS = "said says say told wrote writes called calls claimed quoted alleged a
 MODALS = "will gonna going shall must should werde wirst wird vais vas va voy vas va"
 THREATS = "kill hurt destroy beat burn shoot stab crush punish töten schlagen vernichten tuer frapper détruire matar golpear destruir"
 INSULTS = "idiot moron stupid imbecile loser scum trash pathetic worthless disgusting dumbass bastard dummkopf trottel abschaum arschloch connard salaud abruti idiota imbécil estúpido escoria basura"
-CLASSES = {w: c for c, words in (("modal", MODALS), ("harm", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words.split()}
+CLASSES = {w: c for c, words in (("modal", MODALS), ("harm", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("quote", "\" “ ” « »")) for w in words.split()}
 MEANINGS = ("insult", "insult@target", "insult@negated", "insult@reported", "threat", "threat@negated", "threat@reported")
 _WORD = re.compile(r"[^\W\d_]+|[\"“”«»]")
 _BREAK = re.compile(r"[.!?;\n|]")
@@ -73,15 +75,35 @@ def _fading(opens: str, reach: int, rewrite: dict[str, tuple[str, float]]) -> Tr
     return Transducer(0, arcs, lambda k: max(0, k - 1))
 
 
-def grammar() -> Transducer:
+_TOLD = {"insult": ("insult@reported", -0.5), "insult@target": ("insult@reported", -0.5), "threat!": ("threat@reported", -0.5)}
+
+
+def parts() -> tuple[list[Transducer], list[Transducer]]:
+    """The transducers that read a clause, and those that read it backwards, each in order."""
     threat = _fading("modal", 3, {"harm": ("threat!", 1.0)})
     target = _fading("target", 6, {"insult": ("insult@target", 0.5)})
     negated = {"insult": "insult@negated", "insult@target": "insult@negated", "threat!": "threat@negated"}
     negation = _fading("negation", 2, {a: (b, -0.5) for a, b in negated.items()})
-    told = {"insult": "insult@reported", "insult@target": "insult@reported", "threat!": "threat@reported"}
-    report = _fading("report", 8, {a: (b, -0.5) for a, b in told.items()})
+    quotes = Transducer(0, {(0, "quote"): (1, "quote", 0.0), (1, "quote"): (0, "quote", 0.0)} | {(1, a): (1, b, w) for a, (b, w) in _TOLD.items()}, lambda k: k)
+    report = _fading("report", 8, _TOLD)
     final = {(0, m): (0, m, 1.0) for m in MEANINGS} | {(0, "threat!"): (0, "threat", 1.0)}
-    return threat.then(target).then(negation).then(report).then(Transducer(0, final, lambda k: k))
+    back = [_fading("target", 3, {"insult": ("insult@target", 0.5)}), _fading("report", 4, _TOLD), Transducer(0, final, lambda k: k)]
+    return [threat, target, negation, quotes, report], back
+
+
+def grammar() -> tuple[Transducer, Transducer]:
+    """The two compositions."""
+    return tuple(functools.reduce(lambda a, b: a.then(b), x) for x in parts())
+
+
+def read(machine: Transducer, symbols: list[str]) -> tuple[list[str], list[float]]:
+    """What a machine writes, and the weights that it adds."""
+    state, out, weights = machine.start, [], []
+    for symbol in symbols:
+        state, written, w = machine.step(state, symbol)
+        out.append(written)
+        weights.append(w)
+    return out, weights
 
 
 class Scorer:
@@ -92,7 +114,7 @@ class Scorer:
         words = sorted([*stems, *(f"{w}" for w in THREATS.split())], key=len, reverse=True)
         self.find = re.compile("|".join(map(re.escape, words)))
         self.sizes = sorted({len(s) for s in stems}, reverse=True)
-        self.machine = grammar()
+        self.forth, self.back = grammar()
 
     def _stem(self, word: str) -> float:
         return max((self.stems[word[:k]] for k in self.sizes if word[:k] in self.stems), default=0.0)
@@ -109,24 +131,26 @@ class Scorer:
             a = max((text.rfind(c, 0, i) for c in ".!?;\n|"), default=-1) + 1
             b = _BREAK.search(text, i)
             at = b.start() if b else len(text)
-            state = self.machine.start
-            for word in _WORD.findall(text, a, at):
-                stem = self._stem(word)
-                kind = "insult" if stem else CLASSES.get(word, "other")
-                state, out, w = self.machine.step(state, kind)
+            words = _WORD.findall(text, a, at)
+            stems = [self._stem(word) for word in words]
+            once, w1 = read(self.forth, ["insult" if stem else CLASSES.get(word, "other") for word, stem in zip(words, stems, strict=True)])
+            twice, w2 = read(self.back, once[::-1])
+            for out, x, y, stem in zip(twice[::-1], w1, w2[::-1], stems, strict=True):
                 if out in found:
-                    found[out] += max(w, 0.25) * (stem or 1.0)
+                    found[out] += max(x + y, 0.25) * (stem or 1.0)
         return [np.log1p(found[m]) for m in MEANINGS]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """(id, text, toxic) of the bounded sample."""
+    """(_id, _text, _toxic) of the bounded sample."""
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
-    rows = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (held != 0).alias("fit"), F.col("toxic").cast("int").alias("_toxic")).where("fit")
+    rows = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (held != 0)).select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     rows = [rows.where(f"_toxic = {k}").orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
     rows = F.broadcast(rows[0].union(rows[1]).groupBy("_id").agg(F.max("_toxic").alias("_toxic")))
-    found = docs.join(rows, docs[id_col] == F.col("_id")).select("_id", "_toxic", F.col(text_col).alias("_text"))
-    return found.groupBy(F.xxhash64("_text").alias("h"), F.md5("_text").alias("m")).agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"), F.first("_text").alias("_text")).drop("h", "m")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(rows, "_id")
+    found = found.groupBy(F.xxhash64("_text").alias("h"), F.md5("_text").alias("m")).agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"), F.first("_text").alias("_text"))
+    found = [found.where(f"_toxic = {k}").orderBy(F.xxhash64("_id"), "_id", "h", "m").limit(sample).drop("h", "m") for k in (0, 1)]  # an id may have many texts
+    return found[0].union(found[1])
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:

@@ -1,15 +1,19 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Equal vectors are one class with a count. In each pass a vector gets ``HASHES`` random hashes (widths of a random
-projection); vectors are ordered lexicographically by label and concatenated hashes, and a neighbour window of that order is the run
-of vectors that share a prefix of the hashes: the shortest of the prefixes ``PREFIXES`` whose run is no longer than
-``BLOCK``, or the longest. All vectors of a window are compared by cosine in double precision, and the
-links of all passes are united. A run that is longer even with all hashes (a large group of near copies) isn't cut off: it is
-dealt into blocks by a hash of the id, and every pair of blocks is compared in a task of its own.
+Equal vectors are one class with a count. In each pass a vector gets several random hashes (widths of a random
+projection); the vectors of a label are ordered lexicographically by the concatenated hashes, and neighbours in that order are
+compared: a window is the next ``WINDOW`` vectors, or a few more, since vectors with all hashes equal stay together. The links of all
+passes are united. A run of equal hashes that is longer than ``TILE`` (a large group of near copies) isn't cut off: it is
+dealt into tiles by a hash of the id, and every pair of tiles is compared by itself.
 
-A pair is counted in the first pass in which it meets, so counts need no list of pairs; what leaves a task is, per
-vector, its new links and the root of its group there. At the threshold one hash separates two vectors with
-probability 0.07, so all hashes of a pass agree with 0.57 and a link is missed in all passes with 1e-6.
+The order is made of the distinct hashes with their counts, so that a large group is one row of it. The number of hashes grows with
+the logarithm of the largest label, so that a run of strangers stays shorter than a window, and the number of passes with it: at the
+threshold one hash separates two vectors with probability 0.067, a pair surely meets where all hashes of a pass agree, and
+passes are added until a pair at the threshold is missed in all of them with probability ``MISS`` at most (mostly less: neighbours
+needn't agree in all hashes, and pairs above the threshold agree more often).
+
+A pair is counted in the first pass in which it meets, so counts need no list of pairs; what leaves a window is, per
+vector, its new links and the root of its group there.
 
 Defined results: vectors that are null, empty, all zero or hold nulls or non-finite components, and rows without label,
 link with nothing; the rows of one id are one vector (the smallest label, then the smallest vector); a null id is one row that links
@@ -18,117 +22,178 @@ with nothing; vectors of different lengths don't link; other columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import count_keys, join_keys, mix, stored
+from .common import join_keys, stored, tidy
 from .graph import components
 
-PASSES, HASHES, PREFIXES, BLOCK = 16, 8, (0, 3, 6, 8), 2048
-#: Width of a hash in distances of unit vectors at the threshold.
-WIDTH = 12.0
+WINDOW, TILE, MISS = 64, 1024, 1e-4
+#: Width of a hash in distances of unit vectors at the threshold; then two vectors at the threshold agree in a hash as often as AGREE, and strangers as often as BY_CHANCE.
+WIDTH, AGREE, BY_CHANCE = 12.0, 0.933, 0.56
+
+
+def plan(largest: int) -> tuple[int, int]:
+    """(hashes, passes) for labels of up to so many vectors."""
+    hashes = 2 + max(2, math.ceil(math.log(max(1, largest / WINDOW)) / -math.log(BY_CHANCE)))
+    return hashes, math.ceil(math.log(MISS) / math.log(1 - AGREE**hashes))
 
 
-def _hashes(threshold: float, passes: int, seed: int = 7):
-    """For each vector and pass the names of the prefixes of its concatenated hashes."""
+def _codes(threshold: float, passes: int, hashes: int, seed: int = 7):
+    """For each vector and pass its concatenated hashes, as bytes in order."""
     width = WIDTH * float(np.sqrt(2 - 2 * threshold))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            column, label = batch.column("v"), batch.column("label").to_numpy().astype(np.int64)
+            column = batch.column("v")
             o, flat = column.offsets.to_numpy(), column.values.to_numpy()
             sizes = np.diff(o)
-            names = np.zeros((batch.num_rows, passes, len(PREFIXES)), np.uint64)
+            codes = np.zeros((batch.num_rows, passes * hashes), ">u2")
             for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
                 x = flat[(o[:-1][at][:, None] + np.arange(d))].astype(np.float64)
                 x /= np.abs(x).max(axis=1)[:, None]
                 x /= np.linalg.norm(x, axis=1)[:, None]
                 random = np.random.default_rng((seed, d))
-                plane, shift = random.standard_normal((d, passes * HASHES)), random.random(passes * HASHES)
-                code = np.floor(x @ plane / width + shift).astype(np.int64).view(np.uint64).reshape(len(at), passes, HASHES)
-                for p in range(passes):
-                    name = mix(label[at].view(np.uint64), np.uint64(p * 65_537 + d))
-                    for k in range(HASHES + 1):
-                        if k in PREFIXES:
-                            names[at, p, PREFIXES.index(k)] = name
-                        if k < HASHES:
-                            name = mix(name, code[:, p, k])
-            ends = pa.array(np.arange(0, names.size + 1, passes * len(PREFIXES)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(ends, pa.array(names.reshape(-1).view(np.int64)))], names=["rep", "names"])
-    return run
+                plane, shift = random.standard_normal((d, passes * hashes)), random.random(passes * hashes)
+                codes[at] = np.clip(np.floor(x @ plane / width + shift), -30_000, 30_000) + 32_768
+            raw, size = codes.tobytes(), 2 * hashes
+            ends = pa.array(np.arange(0, batch.num_rows * passes + 1, passes), pa.int32())
+            cut = pa.array([raw[k: k + size] for k in range(0, len(raw), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(ends, cut)], names=["rep", "codes"])
+    return tidy(run)
+
+
+def _windows(batches: Iterator) -> Iterator:
+    """Windows of runs in sorted order: (p, label, d, code, n) to (p, label, d, code, window, size)."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 40
+    group, runs, size = None, [], 0
+
+    def close():
+        nonlocal number, runs, size
+        number += 1
+        rows, runs, size, total = runs, [], 0, size
+        p, label, d, code = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([
+            pa.array(p, pa.int32()), pa.array(label, pa.int64()), pa.array(d, pa.int32()), pa.array(code, pa.binary()),
+            pa.array([number] * len(rows), pa.int64()), pa.array([total] * len(rows), pa.int64())], names=["p", "label", "d", "code", "window", "size"])
+
+    for batch in batches:
+        for p, label, d, code, n in zip(*(batch.column(c).to_pylist() for c in ("p", "label", "d", "code", "n")), strict=True):
+            if runs and (group != (p, label, d) or size >= WINDOW):
+                yield close()
+            group = p, label, d
+            runs.append((p, label, d, code))
+            size += n
+    if runs:
+        yield close()
+
+
+def _links(x: np.ndarray, weight: np.ndarray, windows: np.ndarray, side: np.ndarray | None, threshold: float):
+    """(root: first row of each row's group; links: weight of the rows that it is linked with and has met in no earlier pass)."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    norm = np.sqrt((x * x).sum(axis=1))
+    cos = (x @ x.T) / norm[:, None] / norm
+    for i, j in np.argwhere(np.abs(cos - threshold) < 1e-12).tolist():  # the product's order of sums isn't fixed: at the threshold sum in order
+        cos[i, j] = (x[i] * x[j]).sum() / (norm[i] * norm[j])
+    near = (cos >= threshold) & (cos.T >= threshold)
+    np.fill_diagonal(near, False)
+    if side is not None:
+        near &= side[:, None] != side
+    root = np.arange(len(x))
+    if not near.any():
+        return root, np.zeros(len(x), np.int64)
+    while True:
+        low = np.minimum(root, np.where(near, root, len(x)).min(axis=1, initial=len(x)))
+        if (low == root).all():
+            break
+        root = low
+    i, j = np.nonzero(near)
+    new = np.empty(len(i), bool)
+    for a in range(0, len(i), 1 << 16):
+        b = slice(a, a + (1 << 16))
+        new[b] = ~(windows[i[b]] == windows[j[b]]).any(axis=1)
+    return root, np.bincount(i[new], weights=weight[j[new]], minlength=len(x)).astype(np.int64)
 
 
 def _compare(threshold: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        p, same = int(key[0]), key[2] == key[3]
-        x = np.stack(rows["v"].to_list()).astype(np.float64)
-        x /= np.abs(x).max(axis=1)[:, None]
-        norm = np.sqrt((x * x).sum(axis=1))
-        cos = (x @ x.T) / norm[:, None] / norm
-        edge = np.argwhere(np.abs(cos - threshold) < 1e-12)
-        for i, j in edge.tolist():  # the product's order of sums isn't fixed: at the threshold sum in order
-            cos[i, j] = (x[i] * x[j]).sum() / (norm[i] * norm[j])
-        near = (cos >= threshold) & (cos.T >= threshold)
-        np.fill_diagonal(near, False)
-        if not same:
-            side = rows["own"].to_numpy()
-            near &= side[:, None] != side
-        root = np.arange(len(x))
-        while True:
-            low = np.minimum(root, np.where(near, root, len(x)).min(axis=1, initial=len(x)))
-            if (low == root).all():
-                break
-            root = low
-        ids, weight = rows["rep"].to_numpy(), rows["n"].to_numpy()
-        i, j = np.nonzero(near)
-        if p and len(i):
-            cells = np.stack(rows["cells"].to_list())[:, :p]
-            new = np.empty(len(i), bool)
-            for a in range(0, len(i), 1 << 18):
-                b = slice(a, a + (1 << 18))
-                new[b] = ~(cells[i[b]] == cells[j[b]]).any(axis=1)
-            i, j = i[new], j[new]
-        links = np.bincount(i, weights=weight[j], minlength=len(x)).astype(np.int64)
-        keep = (links > 0) | (root != np.arange(len(x)))
-        return pd.DataFrame({"rep": ids[keep], "root": ids[root][keep], "links": links[keep]})
-    return run
-
-
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, passes: int = PASSES) -> DataFrame:
+    """Rows sorted by (window, lo, hi); each of these groups is compared."""
+    def groups(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            if not batch.num_rows:
+                continue
+            w, lo, hi = (batch.column(c).to_numpy() for c in ("window", "lo", "hi"))
+            cut = np.flatnonzero((w[1:] != w[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], cut.tolist(), strict=False):
+                yield batch.slice(a, b - a)
+            rest = batch.slice(int(cut[-1]) if len(cut) else 0)
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for rows in groups(batches):
+            if rows.num_rows < 2:
+                continue
+            x = rows.column("v").flatten().to_numpy().astype(np.float64).reshape(rows.num_rows, -1)
+            windows = rows.column("windows").flatten().to_numpy().reshape(rows.num_rows, -1)[:, : rows.column("p")[0].as_py()]
+            lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+            root, links = _links(x, rows.column("n").to_numpy(), windows, None if lo == hi else rows.column("own").to_numpy(), threshold)
+            keep = (links > 0) | (root != np.arange(len(root)))
+            if keep.any():
+                ids = rows.column("rep").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root][keep]), pa.array(links[keep])], names=["rep", "root", "links"])
+    return tidy(run)
+
+
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
     """(id, n_links, component, kept) for every id."""
-    v = F.col(vector_col).cast("array<double>")
-    every = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), v.alias("v"))
+    kind = "array<float>" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    every = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast(kind).alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", bad)
     good = every.where(fine).groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.*")
     good = stored(good.withColumn("kind", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)))
     reps = stored(good.groupBy("label", "kind").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
-
-    chains = reps.select("rep", "label", "v").mapInArrow(_hashes(threshold, passes), "rep long, names array<long>")
-    cells = stored(chains.select("rep", F.posexplode("names").alias("at", "cell")))
-    cells = join_keys(cells, count_keys(cells, "cell"), ["cell"])
-    level, p = F.col("at") % len(PREFIXES), F.floor(F.col("at") / len(PREFIXES)).cast("int")
-    fits = (F.col("_n") <= BLOCK) | (level == len(PREFIXES) - 1)
-    cells = cells.where(fits).groupBy("rep", p.alias("p")).agg(F.min(F.struct(level.alias("level"), "cell", "_n")).alias("x"))
-    cells = cells.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("x"))  # ``passes`` entries
-    ready = reps.join(cells, "rep").select("rep", "n", "v", F.col("x.x.cell").alias("cells"), F.posexplode("x").alias("p", "y"))
-    parts = F.ceil(F.col("y.x._n") / BLOCK).cast("int")
-    own = F.pmod(F.hash("rep"), parts)
-    ready = ready.where("y.x._n > 1").select("rep", "n", "v", "cells", "p", F.col("y.x.cell").alias("cell"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    ready = ready.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    found = stored(ready.groupBy("p", "cell", "lo", "hi").applyInPandas(_compare(threshold), "rep long, root long, links long"))
+    hashes, passes = plan(reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
+
+    codes = reps.select("rep", "v").mapInArrow(_codes(threshold, passes, hashes), "rep long, codes array<binary>")
+    shape = reps.select("rep", "label", F.size("v").alias("d"))
+    codes = stored(shape.join(codes, "rep").select("rep", "label", "d", F.posexplode("codes").alias("p", "code")))
+    key = ["p", "label", "d", "code"]
+    runs = codes.groupBy(*key).agg(F.count("*").alias("n"))
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartitionByRange(n_parts, *key).sortWithinPartitions(*key)
+    windows = stored(runs.mapInArrow(tidy(_windows), "p int, label long, d int, code binary, window long, size long"))
+    placed = join_keys(codes, windows, key).select("rep", "p", "window", "size")
+    placed = stored(placed.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("p", "window", "size"))).alias("x")))  # an entry for each pass
+    ready = reps.select("rep", "n", "v").join(placed, "rep").select("rep", "n", "v", F.col("x.window").alias("windows"), F.explode("x").alias("y"))
+    ready = ready.select("rep", "n", "v", "windows", "y.*").where("size > 1")
+    parts = F.ceil(F.col("size") / TILE).cast("int")
+    ready = ready.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    ready = ready.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "size")
+    ready = ready.repartition("window", "lo", "hi").sortWithinPartitions("window", "lo", "hi", "rep")
+    found = stored(ready.mapInArrow(_compare(threshold), "rep long, root long, links long"))
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     root = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = reps.select("label", "kind", "rep", "n").join(links, "rep", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("label", "kind", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))
-    known = good.select("id", "label", "kind").join(known, ["label", "kind"]).select("id", "links", "root")
+    known = join_keys(good.select("id", "label", "kind"), known, ["label", "kind"]).select("id", "links", "root")
     out = every.select("id").distinct().join(known, "id", "left")
     return out.select("id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("component"), F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"))
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir
+from .common import shared_dir, tidy
 
 LEAST = 1000
 CHUNK = 1 << 14
@@ -88,7 +88,7 @@ def _records(chunk: int, segment: int):
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-    return run
+    return tidy(run)
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, chunk: int = CHUNK, segment: int = SEGMENT) -> None:
@@ -165,7 +165,7 @@ def _payloads(batches: Iterator) -> Iterator:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page, type, refers_to, digest, payload: bytes, null for revisits): the records of the archives under ``path``."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInArrow(_parse, "page long, type string, origin string, number int, total long, refers_to long, digest string, block binary")
+    records = files.mapInArrow(tidy(_parse), "page long, type string, origin string, number int, total long, refers_to long, digest string, block binary")
     whole = records.where("number is null").select("page", "type", "refers_to", "digest", "block")
     cut = records.where("number is not null").groupBy("origin").agg(
         F.max("page").alias("page"), F.max(F.when(F.col("type") != "continuation", F.col("type"))).alias("type"), F.max("refers_to").alias("refers_to"),
@@ -173,7 +173,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     block = F.aggregate("x.block", F.lit(b""), lambda a, b: F.concat(a, b))
     complete = (F.octet_length(block) == F.col("total")) & (F.size("x") == F.array_max("x.number"))
     checked = F.when(complete, block).otherwise(F.raise_error(F.concat(F.lit("segments missing: "), "origin")))
-    return whole.union(cut.select("page", "type", "refers_to", "digest", checked.alias("block"))).mapInArrow(_payloads, "page long, type string, refers_to long, digest string, payload binary")
+    return whole.union(cut.select("page", "type", "refers_to", "digest", checked.alias("block"))).mapInArrow(tidy(_payloads), "page long, type string, refers_to long, digest string, payload binary")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ Every stage works on all that the one before kept. Stages one to four return the
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from benefold.llm import bpe, common, minhash_dedup, mixing, suffix_dedup, toxicity
 
@@ -17,29 +18,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar doesn't reject."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return docs.withColumn("_toxic", toxicity.score(model)).where("_toxic < 0.5").select(*COLUMNS)
+    return docs.select(*COLUMNS).withColumn("_toxic", toxicity.score(model)).where("_toxic < 0.5").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Rows without id stay."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept and id is not null").select(F.col("id").alias("_id"))
-    one = docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each near-duplicate group: the one with the smallest id. Rows without id or words stay; rows of one id are told apart by their texts."""
+    return minhash_dedup.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of strings of 200 bytes that also start elsewhere."""
-    out = suffix_dedup.remove_repeats(docs, carry=("lang", "source"))
-    out = out.select(F.col("id").alias("doc_id"), suffix_dedup.decoded("kept").alias("text"), "rest.lang", "rest.source")
+    out = suffix_dedup.remove_repeats(docs, carry=("lang", "source"), as_text=True)
+    out = out.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), "rest.lang", "rest.source")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. Rows without id but of one size share a decision."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("id", "size").agg(F.max("copies").alias("_copies"))
-    taken = taken.select(F.col("id").alias("_id"), F.col("size").alias("_size"), "_copies")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (mixing.words(F.col("text")) == F.col("_size"))
-    out = docs.join(taken, same)
+    """Documents as often as the mix takes them. Rows of one id, source and size are alike to the mix; its decisions on them are dealt out in order of their texts."""
+    same = ["_id", "_source", "_size", "_k"]
+    alike = Window.partitionBy("_id", "_source", "_size")
+    taken = mixing.mix(docs).select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    taken = taken.withColumn("_k", F.row_number().over(alike.orderBy(F.desc("_copies")))).where("_copies > 0")
+    rows = docs.select(*COLUMNS, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), mixing.words(F.col("text")).alias("_size"))
+    rows = rows.withColumn("_k", F.row_number().over(alike.orderBy(F.xxhash64("text"), "text")))
+    taken = taken.withColumnsRenamed({c: f"{c}2" for c in same})
+    out = rows.join(taken, functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}2")) for c in same)))
     return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
