@@ -6,7 +6,8 @@ one). Tier two, for the misses: the merges run over a linked list of the bytes w
 Each distinct miss is merged once per block of text and kept in a bounded memory.
 
 Defined results: a null or empty text has no tokens; ids decode to exactly the UTF-8 bytes of the text; special
-tokens are ordinary text; repeated rows and null ids stay as they are; other columns are carried along.
+tokens are ordinary text; repeated rows and null ids stay as they are; other columns are carried along, but one that has the
+name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import blocks, byte_column, mix, span_names, tidy
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: The contractions that the pattern cuts off, in its order.
+#: The pattern that ``pretoken_starts`` follows, and the contractions that it cuts off, in its order.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 BLOCK_BYTES = 1 << 18
 #: Misses remembered in each of two generations.
@@ -305,23 +307,26 @@ def _decode(path: str, ids_col: str, out_col: str):
 def default_path() -> str:
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the rank files belong to another pattern than the one built here")
     return public_tokenizers.path(RANKS)
 
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str | None = None, packed: bool = False) -> DataFrame:
     """``df`` with the token ids of ``text_col``: an array of int, or packed as little-endian unsigned 32-bit integers."""
-    kind = "binary" if packed else "array<int>"
+    df, kind = df.drop(out_col), "binary" if packed else "array<int>"
     return df.mapInArrow(_encode(path or default_path(), text_col, out_col, packed), f"{_schema(df)}, `{out_col}` {kind}")
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the bytes of the ids of ``ids_col`` (an array, or packed) in ``out_col`` (binary)."""
+    df = df.drop(out_col)
     return df.mapInArrow(_decode(path or default_path(), ids_col, out_col), f"{_schema(df)}, `{out_col}` binary")
 
 
 def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded", path: str | None = None, packed: bool = False) -> DataFrame:
     """:func:`encode`, then :func:`decode`, in one Python process a task instead of two."""
-    path, kind = path or default_path(), "binary" if packed else "array<int>"
+    df, path, kind = df.drop(ids_col, out_col), path or default_path(), "binary" if packed else "array<int>"
     there, back = _encode(path, text_col, ids_col, packed), _decode(path, ids_col, out_col)
     return df.mapInArrow(lambda batches: back(there(batches)), f"{_schema(df)}, `{ids_col}` {kind}, `{out_col}` binary")
 

@@ -28,3 +28,21 @@ def test_pipeline(spark, tmp_path):
     assert len(got) == 123 and not any(passage in t for t in got.values()) and got[1] == docs[1][1]
     out = C.run(spark, at)
     assert out.where("not round_trip").count() == 0 and out.count() > 100 and {*C.COLUMNS} < {*out.columns}
+
+
+def test_pipeline_of_repeated_ids_and_empty_tables(spark, tmp_path):
+    r = random.Random(4)
+    docs = [(i % 20, " ".join(f"w{r.randrange(5000)}" for _ in range(60)), None, [None, "a"][i % 2], 0) for i in range(60)] * 2
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    rows.repartition(4).write.parquet(str(tmp_path / "a/documents.parquet"))
+    rows.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    for k in "ab":
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / k / "labels.parquet"))
+    d, at = spark.read.parquet(str(tmp_path / "a/documents.parquet")), str(tmp_path / "a")
+    assert C.drop_toxic(spark, d, at).count() == 120
+    one = C.drop_near_duplicates(spark, d, at)
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(set(docs), key=str)  # ids repeat, texts don't
+    once = spark.createDataFrame(one.collect(), rows.schema)
+    mixed = [sorted(map(tuple, C.mix_sources(spark, x, at).collect()), key=str) for x in (once, once.repartition(7))]
+    assert mixed[0] == mixed[1] and set(mixed[0]) <= set(docs) and 70 <= len(mixed[0]) <= 100
+    assert C.run(spark, str(tmp_path / "b")).count() == 0
