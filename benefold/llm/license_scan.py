@@ -103,9 +103,13 @@ def _starts(phrase: str) -> Column:
     return out
 
 
+def _votes(places: Column, word: str) -> Column:
+    return F.transform(places, lambda at: F.struct(at.alias("at"), F.col("idf")[word].alias("w")))
+
+
 def _met(words: list[str], starts: Column) -> Column:
     """The most weight of words that stand as in the template, of the given starts: each word votes for the starts it fits, and votes are added up in order of the starts."""
-    votes = [F.transform(F.array_intersect(starts, _back(F.transform(_of(w), lambda h: h["place"]), k)), lambda at, w=w: F.struct(at.alias("at"), F.element_at("idf", w).alias("w"))) for k, w in enumerate(words)]
+    votes = [_votes(F.array_intersect(starts, _back(F.transform(_of(w), lambda h: h["place"]), k)), w) for k, w in enumerate(words)]
     none = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
     def add(a: Column, v: Column) -> Column:
