@@ -6,7 +6,8 @@ continuations. The records of all pages are dealt over the files, so the segment
 
 Reading: files are parsed record by record by their Content-Length; continuations are grouped with their first
 segment by the origin's identifier, ordered by segment number, checked against the total length and joined; whole records
-need no grouping. Then the HTTP head is cut off and the chunked framing decoded. Revisits take what they refer to.
+need no grouping. Then the HTTP head of responses and requests is cut off and the chunked framing decoded; other records are payload as
+they are. Revisits take what they refer to. Files are unpacked as they are read, so a worker holds a file as it is packed and 16 MB of its records.
 
 Defined results: a null payload is empty; every row is a record with an id of its own, also rows that repeat a page id or have none; of
 equal payloads those of the largest page id are responses and those of other page ids revisits, which refer to that page id and the payload's digest
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +31,8 @@ LEAST = 1000
 CHUNK = 1 << 14
 #: Bytes of a segment, and records of a file at most: together they bound a file.
 SEGMENT, PER_FILE = 1 << 18, 1000
+#: Bytes of blocks that a batch of read records has before it is handed on.
+BATCH = 1 << 24
 _END = "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -106,33 +110,37 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
+def _stream(content: bytes):
+    """An archive's bytes, unpacked as they are read (of one gzip member, or of one for each record)."""
+    return gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+
+
 def _parse(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     kind = pa.schema([("page", pa.int64()), ("type", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("block", pa.binary())])
     for batch in batches:
         for content in batch.column("content").to_pylist():
-            data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-            at, rows = 0, []
-            while at < len(data):
-                end = data.index(b"\r\n\r\n", at)
-                lines = data[at:end].decode("utf-8").split("\r\n")
-                if not lines[0].startswith("WARC/"):
-                    raise ValueError(f"no WARC record at byte {at}")
-                head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-                size = int(head["content-length"])
-                block = data[end + 4: end + 4 + size]
-                at = end + 4 + size + 4
-                number = head.get("warc-segment-number")
+            file, rows, size = _stream(content), [], 0
+            while line := file.readline():
+                if not line.startswith(b"WARC/"):
+                    raise ValueError(f"no WARC record where one should start: {line[:40]!r}")
+                head = {}
+                while line := file.readline().rstrip(b"\r\n").decode("utf-8"):
+                    name, _, value = line.partition(":")
+                    head[name.strip().lower()] = value.strip()
+                long = {k: int(head[k]) if k in head else None for k in ("content-length", "warc-segment-number", "warc-segment-total-length", "x-page", "x-refers-to-page")}
+                block = file.read(long["content-length"])
+                if len(block) < long["content-length"] or file.read(4) != b"\r\n\r\n":
+                    raise ValueError("a WARC record doesn't end where its length says")
                 rows.append({
-                    "page": int(head["x-page"]) if "x-page" in head else None, "type": head["warc-type"], "origin": head.get("warc-segment-origin-id", head["warc-record-id"]),
-                    "number": int(number) if number else None, "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None,
-                    "refers_to": int(head["x-refers-to-page"]) if "x-refers-to-page" in head else None,
-                    "digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "block": block,
+                    "page": long["x-page"], "type": head["warc-type"], "origin": head.get("warc-segment-origin-id", head["warc-record-id"]), "number": long["warc-segment-number"],
+                    "total": long["warc-segment-total-length"], "refers_to": long["x-refers-to-page"], "digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "block": block,
                 })
-                if len(rows) == 256:
+                size += len(block)
+                if len(rows) == 256 or size > BATCH:
                     yield pa.RecordBatch.from_pylist(rows, kind)
-                    rows = []
+                    rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, kind)
 
 
@@ -156,8 +164,11 @@ def _payloads(batches: Iterator) -> Iterator:
     for batch in batches:
         out = []
         for kind, block in zip(batch.column("type").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            if kind not in ("response", "request"):
+                out.append(None if kind == "revisit" else block)  # no HTTP message
+                continue
             head, _, body = block.partition(b"\r\n\r\n")
-            out.append(None if kind == "revisit" else dechunk(body) if b"\r\ntransfer-encoding: chunked" in head.lower() else body)
+            out.append(dechunk(body) if b"\r\ntransfer-encoding: chunked" in head.lower() else body)
         keep = [batch.column(c) for c in ("page", "type", "refers_to", "digest")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.binary())], names=["page", "type", "refers_to", "digest", "payload"])
 

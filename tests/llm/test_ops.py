@@ -342,6 +342,19 @@ def test_warc_of_repeated_rows_against_sql(spark, tmp_path):
     assert len(own) == len(set(own)) and len(to) == 3 and set(to) <= set(own)  # big2 and mid2 (twice) are of one record
 
 
+def test_warc_of_a_gzip_member_for_each_record(spark, tmp_path):
+    import gzip
+
+    record = lambda k, body: b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nX-Page: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, k, len(body), body)
+    bodies = [b"", b"\r\n\r\nWARC/1.0\r\n", b"x" * 70_000]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(k, b)) for k, b in enumerate(bodies)))
+    got = {x["page"]: bytes(x["payload"]) for x in warc.read(spark, str(tmp_path / "a.warc.gz")).collect()}
+    assert got == dict(enumerate(bodies))  # a resource has no HTTP head
+    (tmp_path / "b.warc").write_bytes(record(1, b"x")[:-5])
+    with pytest.raises(Exception, match="doesn't end where"):
+        warc.read(spark, str(tmp_path / "b.warc")).collect()
+
+
 def test_lost_segment_is_an_error(spark):
     block = b"HTTP/1.1 200 OK\r\n\r\nx"
     text = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nX-Page: 1\r\nWARC-Segment-Number: 1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block.decode())
