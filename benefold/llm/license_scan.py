@@ -13,6 +13,8 @@ Defined results: a null text is empty and has no words, labels or places, score
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
@@ -85,63 +87,48 @@ def rarity(places: DataFrame) -> DataFrame:
     return every.select("word", F.greatest(F.log((F.col("n_docs") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)), F.lit(FLOOR)).alias("idf"))
 
 
-def _of(word: str) -> Column:
-    return F.filter("hits", lambda h: h["word"] == word)
+# Formulas over ``hits`` and ``idf``, as SQL: they are long, and Spark reads a text faster than thousands of calls. Words of the index are of a-z and 0-9.
 
 
-def _back(places: Column, k: int) -> Column:
-    return F.transform(places, lambda p: p - k)
+def _starts(word: str, k: int) -> str:
+    """Where a phrase would start that has the word at place k: each hit's place, k back."""
+    return f"transform(filter(hits, h -> h.word = '{word}'), h -> h.place - {k})"
 
 
-def _starts(phrase: str) -> Column:
-    """All places where the words of the phrase stand one after the other."""
+def _phrase(phrase: str, k: int = 0) -> str:
+    """All places k before those where the words of the phrase stand one after the other; none without reading hits where one of the words isn't seen."""
     words = phrase.split()
-    at = [_back(F.transform(_of(w), lambda h: h["place"]), k) for k, w in enumerate(words)]
-    out = at[0]
-    for more in at[1:]:
-        out = F.array_intersect(out, more)
-    return out
-
-
-def _votes(places: Column, word: str) -> Column:
-    return F.transform(places, lambda at: F.struct(at.alias("at"), F.col("idf")[word].alias("w")))
-
-
-def _met(words: list[str], starts: Column) -> Column:
-    """The most weight of words that stand as in the template, of the given starts: each word votes for the starts it fits, and votes are added up in order of the starts."""
-    votes = [_votes(F.array_intersect(starts, _back(F.transform(_of(w), lambda h: h["place"]), k)), w) for k, w in enumerate(words)]
-    none = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    there = f"size(hits) > 0 AND size(array_except(array({', '.join(map(repr, words))}), seen)) = 0"
+    at = functools.reduce(lambda a, b: f"array_intersect({a}, {b})", [_starts(w, k + i) for i, w in enumerate(words)])
+    return f"CASE WHEN {there} THEN {at} ELSE array() END"
 
-    def add(a: Column, v: Column) -> Column:
-        total = F.when(a["at"] == v["at"], a["sum"]).otherwise(0.0) + v["w"]
-        return F.struct(v["at"].alias("at"), total.alias("sum"), F.greatest(a["best"], total).alias("best"))
 
-    return F.aggregate(F.array_sort(F.concat(*votes)), none, add)["best"]
+def _met(words: list[str], starts: str) -> str:
+    """The share of a template's weight whose words stand as in it, at the best of the given starts: each word votes for the starts it fits, and votes are added up in order of the starts."""
+    votes = [f"transform(array_intersect({starts}, {_starts(w, k)}), p -> named_struct('at', p, 'w', idf['{w}']))" for k, w in enumerate(words)]
+    total = "IF(a.at = v.at, a.sum, 0D) + v.w"
+    best = f"""aggregate(array_sort(concat({", ".join(votes)})), named_struct('at', CAST(NULL AS BIGINT), 'sum', 0D, 'best', 0D),
+      (a, v) -> named_struct('at', v.at, 'sum', {total}, 'best', greatest(a.best, {total}))).best"""
+    weight = " + ".join(f"idf['{w}']" for w in words)
+    return f"CASE WHEN size({starts}) > 0 THEN least(({best}) / ({weight}), 1D) ELSE 0D END"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, base_places: per base phrase, label_weights: label to best weight met, base_labels, labels, score)."""
+    """(id, n_words, base_places: all places of base phrases, base_labels, labels, score) for every row."""
     places = stored(word_places(docs, id_col, text_col))
     idf = rarity(places).agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("idf"))  # as long as the vocabulary
     rows = places.join(F.broadcast(idf))
-    there = lambda phrase: (F.size("hits") > 0) & (F.size(F.array_except(F.array(*(F.lit(w) for w in phrase.split())), F.col("seen"))) == 0)
-    rows = rows.withColumns({f"b{k}": F.when(there(p), _starts(p)).otherwise(F.array().cast("array<bigint>")) for k, (p, _) in enumerate(BASE)})
-    met = []
-    for label, text, key in TEMPLATES:
-        words = text.split()
-        total = sum(F.col("idf")[w] for w in words)
-        # without the key phrase at its place no template counts, so votes are only taken for those places
-        share = F.when(there(key), _met(words, _back(_starts(key), len(text[: text.index(key)].split()))) / total)
-        met.append((label, F.coalesce(share, F.lit(0.0))))
-    rows = rows.withColumns({f"m{k}": F.least(share, F.lit(1.0)) for k, (_, share) in enumerate(met)})
-    base = [F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]
-    more = [F.when(F.col(f"m{k}") >= ENOUGH, F.lit(label)) for k, (label, _) in enumerate(met)]
-    every = F.concat(*(F.col(f"b{k}") for k in range(len(BASE))))
-    return rows.select(
-        "id", "n_words", every.alias("base_places"),
-        F.array_join(F.array_sort(F.array_compact(F.array(*base))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*base, *more)))), ",").alias("labels"),
-        F.greatest(F.when(F.size(every) > 0, 1.0).otherwise(0.0), *(F.col(f"m{k}") for k in range(len(met)))).alias("score"),
+    # without the key phrase at its place no template counts, so votes are only taken for those starts
+    keys = {f"s{k}": F.expr(_phrase(key, len(text[: text.index(key)].split()))) for k, (_, text, key) in enumerate(TEMPLATES)}
+    rows = rows.withColumns({f"b{k}": F.expr(_phrase(p)) for k, (p, _) in enumerate(BASE)} | keys)
+    rows = rows.withColumns({f"m{k}": F.expr(_met(text.split(), f"s{k}")) for k, (_, text, _) in enumerate(TEMPLATES)})
+    base = [f"IF(size(b{k}) > 0, '{label}', NULL)" for k, (_, label) in enumerate(BASE)]
+    more = [f"IF(m{k} >= {ENOUGH}, '{label}', NULL)" for k, (label, _, _) in enumerate(TEMPLATES)]
+    every = f"concat({', '.join(f'b{k}' for k in range(len(BASE)))})"
+    joined = lambda labels: f"array_join(array_sort(array_distinct(array_compact(array({', '.join(labels)})))), ',')"
+    return rows.selectExpr(
+        "id", "n_words", f"{every} AS base_places", f"{joined(base)} AS base_labels", f"{joined([*base, *more])} AS labels",
+        f"greatest(IF(size({every}) > 0, 1D, 0D), {', '.join(f'm{k}' for k in range(len(TEMPLATES)))}) AS score",
     )
 
 
