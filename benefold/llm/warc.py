@@ -112,7 +112,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 def _stream(content: bytes):
     """An archive's bytes, unpacked as they are read (of one gzip member, or of one for each record)."""
-    return gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    return io.BufferedReader(gzip.open(io.BytesIO(content)), 1 << 18) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
 
 def _parse(batches: Iterator) -> Iterator:
