@@ -52,11 +52,11 @@ def give_back() -> None:
         trim(0)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, imatch, license_scan, minhash_dedup, mixing, suffix_dedup, toxicity, vector_dedup, warc
+from . import ball_clusters, bpe, filter_audit, html_text, imatch, license_scan, minhash_dedup, mixing, quality_votes, suffix_dedup, toxicity, vector_dedup, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash_dedup.op1,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_html_text": html_text.op9,
     "op10_byte_bpe": bpe.op10,
+    "op11_quality_votes": quality_votes.op11,
+    "op12_filter_audit": filter_audit.op12,
+    "op13_centroid_clusters": ball_clusters.op13,
 }
 
 #: The others are estimates, learned, not unique, or byte by byte; they are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_centroid_clusters": ball_clusters.sql(),
     "op2_vector_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 good AS (SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
