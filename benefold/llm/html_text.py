@@ -1,12 +1,13 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into flat blocks at block-level tags; of each block the tree sees its number of words and its link
-density, those of the blocks before and after it, and whether it lies in an article or in page furniture (elements and names
-of classes that say so, but not those of ``html`` and ``body`` nor of wrappers of most of the page). The tree is grown on the small labelled table below.
+A page is cut into flat blocks at block-level tags. Blocks in page furniture (elements and names of classes that say so, but not those of
+``html`` and ``body`` nor of wrappers of most of the page) are left out; of each other block the tree sees its number of words and its link
+density, those of the blocks before and after it, and whether it is a heading or lies in an article. The tree is grown on the small labelled table
+below, down to pure leaves. A page is read once, in time that grows with its length.
 
 Defined results: a null or empty page, or one without content blocks, has an empty text; scripts, styles, comments, forms and hidden
 elements are no text; of these, one that is left open ends with what it lies in, or where a block starts that it can't hold (scripts and
-styles: with the page), and a head has no text but that of a body it runs into; hidden is what has an attribute of this name or a style that displays
+styles: with the page), and a head has no text but that of a body it runs into; a link without end tag ends with its block; hidden is what has an attribute of this name or a style that displays
 none; character references are decoded once; white space (no-break too) becomes one space; broken or unclosed
 tags never raise; repeated rows stay; other columns are ignored.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,27 +25,39 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import tidy
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture")
-#: The labelled table the tree is grown on: the features of a block, and 1 for content.
-TABLE = (
-    # menus and link lists, in and out of marked elements
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0, 1, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0),
-    (1, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (9, 1.0, 8, 1.0, 7, 1.0, 0, 0, 0), (6, 0.8, 5, 1.0, 40, 0.0, 0, 0, 0), (14, 0.7, 6, 1.0, 9, 0.9, 0, 0, 0),
-    # adverts, notices, forms, footers, sidebars, comments: often like prose
-    (8, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0), (25, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0), (60, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0), (12, 0.1, 120, 0.0, 0, 0.0, 0, 1, 0),
-    (35, 0.0, 30, 0.0, 45, 0.0, 0, 1, 0), (110, 0.0, 90, 0.0, 70, 0.0, 0, 1, 0), (4, 0.0, 20, 0.0, 3, 0.0, 0, 1, 0), (18, 0.3, 15, 0.2, 11, 0.5, 0, 1, 0),
-    (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (4, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0), (3, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0), (6, 0.2, 90, 0.0, 4, 1.0, 0, 0, 0),
-    # article text, long and short, with few or many links
-    (90, 0.0, 7, 0.0, 80, 0.0, 1, 0, 1), (45, 0.1, 90, 0.0, 1, 0.0, 1, 0, 1), (1, 0.0, 60, 0.0, 1, 0.0, 1, 0, 1), (1, 0.0, 1, 0.0, 50, 0.0, 1, 0, 1),
-    (7, 0.0, 12, 0.0, 70, 0.0, 1, 0, 1), (3, 0.0, 30, 0.0, 6, 0.1, 1, 0, 1), (20, 0.6, 40, 0.0, 30, 0.0, 1, 0, 1), (2, 1.0, 50, 0.1, 60, 0.0, 1, 0, 1),
-    (9, 0.0, 6, 1.0, 40, 0.0, 1, 0, 1), (150, 0.02, 9, 0.0, 0, 0.0, 1, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 1, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
-    # pages without marked elements
-    (70, 0.05, 4, 1.0, 60, 0.0, 0, 0, 1), (40, 0.0, 70, 0.0, 50, 0.1, 0, 0, 1), (130, 0.1, 6, 0.0, 4, 1.0, 0, 0, 1), (22, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1),
-    (16, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1), (55, 0.2, 60, 0.0, 70, 0.0, 0, 0, 1), (8, 0.0, 45, 0.0, 70, 0.0, 0, 0, 1), (18, 0.1, 22, 0.0, 3, 1.0, 0, 0, 1),
-    (3, 0.0, 18, 0.0, 17, 0.0, 0, 0, 1), (6, 0.0, 25, 0.0, 19, 0.0, 0, 0, 1), (2, 0.0, 60, 0.0, 30, 0.0, 0, 0, 1), (4, 0.0, 16, 0.0, 90, 0.0, 0, 0, 1),
-    (19, 0.0, 17, 0.0, 0, 0.0, 0, 0, 1), (21, 0.0, 3, 0.0, 4, 0.0, 0, 0, 1), (30, 0.0, 5, 0.0, 2, 1.0, 0, 0, 1), (17, 0.0, 2, 1.0, 20, 0.0, 0, 0, 1),
-    (3, 0.0, 9, 1.0, 2, 1.0, 0, 0, 0), (7, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0), (4, 0.5, 5, 0.0, 6, 0.0, 0, 0, 0), (2, 0.0, 5, 0.0, 3, 0.0, 0, 0, 0),
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "heading")
+#: Neighbours in the labelled table: none, a short line, a text, a link; (words, link density) of some.
+_BESIDE = {"N": ((0, 0.0),) * 3, "S": ((4, 0.0), (1, 0.0), (9, 0.1)), "T": ((60, 0.0), (16, 0.1), (200, 0.3)), "L": ((2, 1.0), (9, 0.8), (40, 1.0))}
+_ALL = "NN NS NT NL SN SS ST SL TN TS TT TL LN LS LT LL"
+#: The labelled table the tree is grown on: words, link density, article, heading; the neighbours with which it is content, and those with which it isn't.
+LABELLED = (
+    # text outside of marked elements, with few links or some
+    (15, 0.0, 0, 0, _ALL, ""), (22, 0.1, 0, 0, _ALL, ""), (40, 0.0, 0, 0, _ALL, ""), (70, 0.3, 0, 0, _ALL, ""), (150, 0.05, 0, 0, _ALL, ""), (30, 0.4, 0, 0, _ALL, ""), (18, 0.0, 0, 1, _ALL, ""),
+    # menus, lists of links, teasers, short or long
+    (1, 1.0, 0, 0, "", _ALL), (2, 0.7, 0, 0, "", _ALL), (5, 0.5, 0, 0, "", _ALL), (6, 0.8, 0, 0, "", _ALL), (12, 1.0, 0, 0, "", _ALL), (14, 0.7, 0, 0, "", _ALL), (40, 0.9, 0, 0, "", _ALL), (200, 1.0, 0, 0, "", _ALL),
+    (3, 1.0, 0, 1, "", _ALL), (9, 0.7, 0, 1, "", _ALL), (40, 0.6, 0, 0, "", _ALL),
+    # short lines: with text beside them they belong to it, others are labels, dates, buttons; one that ends the page is its foot
+    (1, 0.0, 0, 0, "NT ST TS TT TL LT", "NN NS NL SN SS SL TN LN LS LL"), (4, 0.0, 0, 0, "NT ST TS TT TL LT", "NN NS NL SN SS SL TN LN LS LL"),
+    (8, 0.1, 0, 0, "NT ST TN TS TT TL LT", "NN NS NL SN SS SL LN LS LL"), (11, 0.0, 0, 0, "NT ST TN TS TT TL LT", "NN NS NL SN SS SL LN LS LL"),
+    (3, 0.0, 0, 1, "NT ST TS TT TL LT", "NN NS NL SN SS SL TN LN LS LL"), (9, 0.0, 0, 1, "NT ST TN TS TT TL LT", "NN NS NL SN SS SL LN LS LL"),
+    # in an article: all text, whatever lies beside it
+    (1, 0.0, 1, 0, _ALL, ""), (4, 0.3, 1, 0, _ALL, ""), (12, 0.6, 1, 0, _ALL, ""), (60, 0.0, 1, 0, _ALL, ""), (150, 0.5, 1, 0, _ALL, ""), (6, 0.0, 1, 1, _ALL, ""),
+    # in an article: headings that are links, a linked line in the text; but lists of links are menus
+    (2, 1.0, 1, 1, _ALL, ""), (12, 1.0, 1, 1, _ALL, ""), (1, 1.0, 1, 0, "NN NS NT SN SS ST TN TS TT", "NL SL TL LN LS LT LL"), (5, 0.8, 1, 0, "NN NS NT SN SS ST TN TS TT", "NL SL TL LN LS LT LL"),
+    (12, 1.0, 1, 0, "NN NS NT SN SS ST TN TS TT", "NL SL TL LN LS LT LL"), (60, 0.9, 1, 0, "NN NS NT SN SS ST TN TS TT", "NL SL TL LN LS LT LL"),
 )
+
+
+def labelled_table() -> list[tuple]:
+    """Rows of ``FEATURES`` and 1 for content: the labelled blocks beside each of their neighbours."""
+    rows = []
+    for words, links, article, heading, *said in LABELLED:
+        for content, pairs in zip((1, 0), said, strict=True):
+            for before, after in pairs.split():
+                rows += [(words, links, *_BESIDE[before][i], *_BESIDE[after][j], article, heading, content) for i in range(3) for j in range(3)]
+    return rows
+
+
 # Fixed names.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,20 +78,22 @@ NAMES = STICKY | frozenset(
 _SAID_OF = frozenset("has have with without no not is hide show hidden toggle layout theme template".split())
 #: Share of a page's words from which on an element is the page's wrapper, whatever its class.
 WRAPPER = 0.7
-_OPEN = re.compile(r"<(?=[!?/a-zA-Z])")
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"=\s*([\"'])|>")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-_HIDDEN, _NO_DISPLAY = re.compile(r"hidden|display", re.I), re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-_NEXT = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.S)
+_HIDDEN, _NO_DISPLAY, _HREF = re.compile(r"hidden|display", re.I), re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I), re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements whose content is no markup, up to their end tag; without one the first two end with the page.
+RAW = ("script", "style", "title", "textarea", "iframe")
+TEXT, START, END = 0, 1, 2
 
 
-def grow(table: np.ndarray, depth: int = 6) -> tuple:
-    """A decision tree by Gini impurity: (share of content,) or (feature, limit, at most, above)."""
+def grow(table: np.ndarray) -> tuple:
+    """A decision tree by Gini impurity, down to leaves of one label: (share of content,) or (feature, limit, at most, above)."""
     y = table[:, -1]
-    if depth == 0 or y.min() == y.max():
+    if y.min() == y.max():
         return (float(y.mean()),)
     best = None
     for f in range(table.shape[1] - 1):
@@ -90,12 +106,12 @@ def grow(table: np.ndarray, depth: int = 6) -> tuple:
     if best is None:
         return (float(y.mean()),)
     _, f, limit, low = best
-    return f, limit, grow(table[low], depth - 1), grow(table[~low], depth - 1)
+    return f, limit, grow(table[low]), grow(table[~low])
 
 
 @functools.cache
 def tree() -> tuple:
-    return grow(np.array(TABLE, float))
+    return grow(np.array(labelled_table(), float))
 
 
 def is_content(features: tuple) -> bool:
@@ -133,141 +149,191 @@ def _place(name: str, attributes: str, outer: tuple[int, int, int, int], named:
     return outer
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, article, furniture) of each flat block with text, in page order.
+def tokens(page: str) -> list[tuple[int, str, str]]:
+    """(kind, text or name, attributes) of a page's texts and tags, in one forward pass.
+
+    A quote opens a value after an equals sign only; a tag whose value isn't closed ends at its first ``>``. Marks that led nowhere
+    once are remembered, so no part of a page is read again for each tag before it.
+    """
+    out: list[tuple[int, str, str]] = []
+    lead_nowhere: set[int] = set()
+    lacking: set[str] = set()
+    at, n, last = 0, len(page), page.rfind(">")
+
+    def tag_end(at: int) -> int:
+        start, path = at, []
+        while (m := _MARK.search(page, at)) and m.start() not in lead_nowhere:
+            if not m[1]:
+                return m.start()
+            path.append(m.start())
+            close = page.find(m[1], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        lead_nowhere.update(path)
+        return page.find(">", start)
+
+    while at < n:
+        k = page.find("<", at)
+        if k != at:
+            out.append((TEXT, page[at: n if k < 0 else k], ""))
+        if k < 0:
+            break
+        at = k
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            at = n if end < 0 else end + 3
+            continue
+        if at > last:
+            out.append((TEXT, page[at:], ""))
+            break
+        m = _TAG.match(page, at)
+        if m is None:
+            if page[at + 1: at + 2] in ("!", "?", "/"):
+                at = page.find(">", at) + 1
+            else:
+                out.append((TEXT, "<", ""))
+                at += 1
+            continue
+        end, name = tag_end(m.end()), m[2].lower()
+        out.append((END if m[1] else START, name, page[m.end():end]))
+        at = end + 1
+        if not m[1] and name in RAW and name not in lacking and page[end - 1] != "/":
+            stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            if stop:
+                at = stop.start()
+            elif name in RAW[:2]:
+                break
+            else:
+                lacking.add(name)
+    return out
+
+
+def end_tags(found: list[tuple[int, str, str]]) -> dict[int, int]:
+    """Place of the end tag of each start tag that has one, elements of the same name nested."""
+    of: dict[int, int] = {}
+    left: dict[str, list[int]] = {}
+    for k, (kind, name, attributes) in enumerate(found):
+        if kind == START and not attributes.endswith("/"):
+            left.setdefault(name, []).append(k)
+        elif kind == END and left.get(name):
+            of[left[name].pop()] = k
+    return of
+
+
+def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
+    """(text, words, words in links, article, furniture, heading) of each flat block with text, in page order.
 
     An element that is furniture by name only, and holds ``WRAPPER`` of the page's words or more, is the page's wrapper and no furniture.
     """
-    out: list[tuple[str, int, int, tuple[int, int, int, int]]] = []
+    out: list[tuple[str, int, int, tuple[int, int, int, int], int]] = []
     stack: list[tuple[str, tuple[int, int, int, int]]] = []
+    open_names: Counter[str] = Counter()
     named: list[tuple[int, int]] = [(0, 0)]
     here, links, linked = (0, 0, 0, 0), 0, 0
     pieces: list[str] = []
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, links
         if pieces:
             words = "".join(pieces).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), here))
+                out.append((" ".join(words), len(words), min(linked, len(words)), here, int(any(x in HEADINGS for x, _ in stack[-2:]))))
             pieces.clear()
         linked = 0
-
-    def add(raw: str) -> None:
-        nonlocal linked
-        text = entities.unescape(raw) if "&" in raw else raw
-        pieces.append(text)
-        if links:
-            linked += len(text.split())
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _OPEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at: m.start()])
-        at = m.start()
-        if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            at = n if end < 0 else end + 3
+        links = links if links == 2 else 0  # a link left open ends with its block
+
+    found = tokens(page)
+    ends = end_tags(found)
+    at = 0
+    while at < len(found):
+        kind, name, attributes = found[at]
+        at += 1
+        if kind == TEXT:
+            text = entities.unescape(name) if "&" in name else name
+            pieces.append(text)
+            if links:
+                linked += len(text.split())
             continue
-        if page[at + 1] in "!?":
-            end = page.find(">", at)
-            at = n if end < 0 else end + 1
-            continue
-        m = _TAG.match(page, at) or _LOOSE.match(page, at)
-        if m is None:
-            if page[at + 1] == "/" and not page[at + 2: at + 3].isalpha():
-                end = page.find(">", at)
-                at = n if end < 0 else end + 1
-            else:
-                add(page[at])
-                at += 1
-            continue
-        at = m.end()
-        closing, name, attributes = m[1], m[2].lower(), m[3]
         if name == "br":
             pieces.append(" ")
             continue
         if name == "head":
             close()
             continue
-        if not closing and (name in NO_TEXT or (name not in VOID and attributes and is_hidden(attributes))):
+        if kind == START and (name in NO_TEXT or (name not in VOID and attributes and is_hidden(attributes))):
             if name not in INLINE:
                 close()
             if not attributes.endswith("/"):
-                at = _end_of(page, at, name, stack[-1][0] if stack else "")
+                if at - 1 in ends:
+                    at = ends[at - 1] + 1
+                elif name in NO_TEXT:
+                    at = _open_end(found, at, name, stack[-1][0] if stack else "")
             continue
         if name == "a":
-            links = 0 if closing else 1
+            links = 0 if kind == END or not _HREF.search(attributes) else 2 if at - 1 in ends else 1
             continue
         if name in INLINE:
             continue
         close()
         if name in VOID:
             continue
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    here = stack[k][1]
-                    del stack[k:]
-                    break
+        if kind == END:
+            if open_names[name]:
+                while True:
+                    last, here = stack.pop()
+                    open_names[last] -= 1
+                    if last == name:
+                        break
         else:
             if name in ONE and stack and stack[-1][0] == name:
                 here = stack.pop()[1]  # these close one of their own kind
+                open_names[name] -= 1
             stack.append((name, here))
+            open_names[name] += 1
             here = _place(name, attributes, here, named)
     close()
     return _without_wrappers(out, named)
 
 
-def _without_wrappers(found: list[tuple], named: list[tuple[int, int]]) -> list[tuple[str, int, int, int, int]]:
+def _without_wrappers(found: list[tuple], named: list[tuple[int, int]]) -> list[tuple[str, int, int, int, int, int]]:
     words = [0] * len(named)
-    for _, n, _, (_, _, _, by) in found:
+    for _, n, _, (_, _, _, by), _ in found:
         words[by] += n
     total = sum(words)
     for k in range(len(named) - 1, 0, -1):  # inner ones have larger numbers
         words[named[k][0]] += words[k] if named[k][0] else 0
     wrapper = [k > 0 and words[k] >= WRAPPER * total for k in range(len(named))]
-    return [(text, n, links, article if not by or wrapper[by] else 0, furniture if not wrapper[by] else 0) for text, n, links, (article, furniture, _, by) in found]
-
-
-def _end_of(page: str, at: int, name: str, parent: str) -> int:
-    """After the end tag of an element whose content is no text; elements of the same name may lie in it."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else name not in ("script", "style", "textarea", "title") and not m[0].endswith("/>")
-        if depth == 0:
-            return m.end()
-    if name in ("script", "style"):
-        return len(page)
-    return _open_end(page, at, name, parent) if name in NO_TEXT else at
+    return [(text, n, links, article if not by or wrapper[by] else 0, furniture if not wrapper[by] else 0, heading) for text, n, links, (article, furniture, _, by), heading in found]
 
 
-def _open_end(page: str, at: int, name: str, parent: str) -> int:
+def _open_end(found: list[tuple[int, str, str]], at: int, name: str, parent: str) -> int:
     """Where an element whose content is no text ends if it has no end tag: with what it lies in, or before a block that it can't hold."""
     inside: list[str] = []
-    while m := _NEXT.search(page, at):
-        at, tag = m.end(), (m[2] or "").lower()
-        if m[1]:
-            if tag not in inside:
-                return m.start()
-            del inside[len(inside) - 1 - inside[::-1].index(tag):]
-        elif tag in ("script", "style"):
-            at = _end_of(page, at, tag, name)
-        elif name in FLAT and (tag in BLOCK or tag == name) or not inside and tag in ONE and tag == parent:
-            return m.start()
-        elif tag and tag not in VOID and not m[0].endswith("/>"):
-            inside.append(tag)
-    return len(page)
+    names: Counter[str] = Counter()
+    for k in range(at, len(found)):
+        kind, tag, attributes = found[k]
+        if kind == END:
+            if not names[tag]:
+                return k
+            while True:
+                last = inside.pop()
+                names[last] -= 1
+                if last == tag:
+                    break
+        elif kind == START:
+            if name in FLAT and (tag in BLOCK or tag == name) or not inside and tag in ONE and tag == parent:
+                return k
+            if tag not in VOID and not attributes.endswith("/"):
+                inside.append(tag)
+                names[tag] += 1
+    return len(found)
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    shape = [(0, 0.0), *((w, k / w) for _, w, k, _, _ in found), (0, 0.0)]
-    return " ".join(b[0] for i, b in enumerate(found, 1) if is_content((*shape[i], *shape[i - 1], *shape[i + 1], b[3], b[4])))
+    found = [b for b in blocks(page or "") if not b[4]]  # furniture is no neighbour
+    shape = [(0, 0.0), *((b[1], b[2] / b[1]) for b in found), (0, 0.0)]
+    return " ".join(b[0] for i, b in enumerate(found, 1) if is_content((*shape[i], *shape[i - 1], *shape[i + 1], b[3], b[5])))
 
 
 def _extract(batches: Iterator) -> Iterator:

@@ -1,8 +1,10 @@
 """The operators against brute force, exact round trips or held-out accuracy, with nulls, ties, repeats, empty tables and clashing names."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -555,6 +557,51 @@ def test_html_scripts_left_open():
     assert html_text.main_text(f"<article><p>{WORDS}</p><div><script>var x = 1;</div><p>no</p></article>") == WORDS
 
 
+@pytest.mark.parametrize("page", [
+    "<article><h2><a href=x>@</a></h2><p>@</p></article>", "<article><div><a href=x>one line</a></div><p>no link: @</p><p>ok</p></article>".replace("one line", "@"),
+    "<article><p>@</p><p><a href=x>@</a></p><p>@</p></article>", "<article><p><a name=x>@</p><p>@</p></article>", "<article><p><a href=x>More<p>@</p></article>".replace("More", "@"),
+])
+def test_html_links_in_an_article(page):
+    assert html_text.main_text(page.replace("@", WORDS)).replace("no link: ", "").replace(" ok", "") == " ".join([WORDS] * page.count("@"))
+
+
+@pytest.mark.parametrize("page", [
+    f"<p>{WORDS}</p><div><a href=x>{'no ' * 12}</a></div><p>{WORDS}</p>", f"<article><p>{WORDS}</p><ul><li><a href=x>no</a><li><a href=y>no no</a></ul><p>{WORDS}</p></article>",
+    f"<div><a href=x>{'no ' * 50}</a></div><div><a href=x>{'no ' * 50}</a></div><p>{WORDS}</p><div class=ad><p>no</p></div><p>{WORDS}</p>",
+])
+def test_html_lists_of_links_are_no_text(page):
+    assert html_text.main_text(page) == f"{WORDS} {WORDS}"
+
+
+def test_html_tree_over_a_grid_of_features():
+    """What a block is, for all of a grid: by its own link density first, then by place, words and neighbours."""
+    sizes, shares = (0, 1, 4, 9, 12, 13, 16, 40, 300), (0, 0.2, 0.5, 0.8, 1)
+    for w in (1, 3, 8, 12, 14, 15, 20, 50, 300):
+        for k in (0, 0.1, 0.3, 0.5, 0.6, 0.7, 0.8, 1):
+            for wb, lb, wa, la, article, heading in itertools.product(sizes, shares, sizes, shares, (0, 1), (0, 1)):
+                content = html_text.is_content((w, k, wb, lb, wa, la, article, heading))
+                if article and (k <= 0.6 or heading or (lb <= 0.5 and la <= 0.5)) or not article and k <= 0.3 and w >= 15:
+                    assert content
+                if not article and k >= 0.7 or article and not heading and k >= 0.9 and (wb and lb >= 0.8 or wa and la >= 0.8):
+                    assert not content
+    assert html_text.FEATURES[html_text.tree()[0]] == "links"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div hidden>", "<div></x>", "<a '<a >' ", '<a x="', "<svg>", "<object>", "<select>", "<title>", "<textarea>", "<!--", "<a x='>", "<", "< >", "</", "<p title='x ", '<a ="', "<video><li>", "<button><p>", "<script>", "&amp; ", "<b>x"])
+def test_html_time_grows_with_the_page(part):
+    """Odd pages of 300 KB; quadratic time would be minutes."""
+    began = time.time()
+    html_text.main_text(part * (300_000 // len(part)))
+    assert time.time() - began < 5
+
+
+def test_html_of_a_long_page_and_of_no_pages(spark):
+    long = "<nav><a href=x>no</a></nav><article>" + f"<p>{WORDS}</p>" * 7000 + "</article>"
+    df = spark.createDataFrame([(1, None, long), (None, "u", "<p>" + WORDS)], "page_id long, url string, html string")
+    got = {x["id"]: x["text"] for x in html_text.extract(df).collect()}
+    assert got == {1: " ".join([WORDS] * 7000), None: WORDS} and html_text.extract(df.limit(0)).count() == 0
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
