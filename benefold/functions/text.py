@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used; expressions inside of lambdas share nothing by themselves."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def call(function: str, value: Column, body: str, *more: Column) -> Column:
+    """A higher-order function with a lambda in SQL text. Rules of many parts are put together as text, which is parsed at once, not as thousands of calls of the driver."""
+    return F.call_function(function, value, *more, F.expr(body))
+
+
+def let_sql(value: Column, body: str) -> Column:
+    """:func:`let` with a lambda in SQL text, such as ``t -> upper(t)``."""
+    return F.get(call("transform", F.array(value), body), F.lit(0))
+
+
 def first_present(*columns: str | Column) -> Column:
     """The first of several columns that is neither null nor the empty string."""
     return F.coalesce(*(F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns))
@@ -111,17 +128,20 @@ LINK = (
 
 def split_links(c: Column) -> Column:
     """struct(links: array of (title, uri), plain): the links of ``title;uri`` in a text, and the text without addresses."""
-    titles, uris = F.regexp_extract_all(c, F.lit(LINK), 1), F.regexp_extract_all(c, F.lit(LINK), 2)
-    pairs = F.transform(F.arrays_zip(titles.alias("t"), uris.alias("u")), lambda x: F.struct(
-        F.when(~x["t"].rlike(r"^https?://\S*$"), clean_text(x["t"])).alias("title"), x["u"].alias("uri")))
-    plain = clean_text(F.regexp_replace(c, LINK, "$1$3"))
-    return F.when(c.contains(";http"), F.struct(pairs.alias("links"), plain.alias("plain"))).otherwise(
-        F.struct(F.array().cast("array<struct<title:string,uri:string>>").alias("links"), clean_text(c).alias("plain")))
+    def linked(t: Column) -> Column:
+        titles, uris = F.regexp_extract_all(t, F.lit(LINK), 1), F.regexp_extract_all(t, F.lit(LINK), 2)
+        pairs = F.transform(F.arrays_zip(titles.alias("t"), uris.alias("u")), lambda x: F.struct(
+            F.when(~x["t"].rlike(r"^https?://\S*$"), clean_text(x["t"])).alias("title"), x["u"].alias("uri")))
+        return F.struct(pairs.alias("links"), clean_text(F.regexp_replace(t, LINK, "$1$3")).alias("plain"))
+
+    bare = lambda t: F.struct(F.array().cast("array<struct<title:string,uri:string>>").alias("links"), clean_text(t).alias("plain"))
+    return let(c, lambda t: F.when(t.contains(";http"), linked(t)).otherwise(bare(t)))
 
 
 def dedupe_links(links: Column) -> Column:
     """One link per uri, the first one, in order."""
-    return F.filter(links, lambda x, i: F.array_position(links["uri"], x["uri"]) == i + 1)
+    first = lambda v: F.filter(v["links"], lambda x, i: F.array_position(v["uris"], x["uri"]) == i + 1)
+    return let(links, lambda v: let(F.struct(v.alias("links"), v["uri"].alias("uris")), first))
 
 
 def normalize_links(links: Column) -> Column:

@@ -1,7 +1,8 @@
 """The whole job: read a registry, build the tables, check them, and let them hold only if nothing is wrong.
 
-The new version is written beside the one that holds and checked as written, so nothing is built twice; a version that fails stays
-aside and the old one goes on holding. The version before is the snapshot, which can be restored until it expires.
+The tables are written one after the other beside the version that holds, and each is read back for those derived from it: the registry is read once for
+``benefits`` and once for tags and documents. What was written is checked; a version that fails stays aside and the old one goes on holding. A version that another
+job publishes meanwhile is compared with before this one follows. The version before is the snapshot, which can be restored until it expires.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import quality
 from ..sources import publish as P, registry as R
-from ..sources.schema import EDGES, typed
+from ..sources.schema import EDGES, KEYS, typed
 from .rows import build_tables
 
 
@@ -30,24 +31,31 @@ def row_counts(spark: SparkSession, root: str, names: list[str], version: str |
 
 
 def verify(tables: dict[str, DataFrame]) -> None:
-    """Raise if an edge's end is no node."""
-    wrong = quality.integrity(tables, EDGES).where("n > 0").collect()
+    """Raise if a key is null or stands in several rows, or an edge's end is no node."""
+    wrong = quality.integrity(tables, EDGES, KEYS).orderBy("table", "column", "problem").collect()  # a row a problem
     if wrong:
-        raise QualityError("\n".join(f"{r['table']}.{r['column']}: {r['n']} rows meet no node" for r in wrong))
+        raise QualityError("\n".join(f"{r['table']}.{r['column']}: {r['problem']}, {r['n']} rows" for r in wrong))
 
 
 def publish_records(spark: SparkSession, records: DataFrame, root: str, now: datetime | None = None) -> str:
     """The version made of the records (with record_seq); QualityError, with the old version holding, if the gate or the integrity check finds something."""
-    tables = {name: typed(name, df) for name, df in build_tables(records).items()}
-    version = P.stage(tables, root, now)
-    staged = {name: P.read(spark, root, name, version) for name in tables}
-    before = row_counts(spark, root, list(tables)) if P.is_published(spark, root) else None
-    problems = quality.check_tables(spark, staged, before).collect()
-    if problems:
-        raise QualityError("\n".join(f"{r['table']} {r['check']} {r['column']}: {r['value']} (limit {r['limit']})" for r in problems))
-    verify(staged)
-    P.release(spark, root, version, list(tables), now)
-    return version
+    version = P.new_version(now)
+    staged = build_tables(records, lambda name, df: P.stage_table(typed(name, df), root, version, name))
+    sound = False
+    while True:
+        seen = P.last_entry(spark, root)
+        before = row_counts(spark, root, list(staged), P.current(spark, root, seen)) if seen else None
+        problems = quality.check_tables(spark, staged, before).collect()  # a row a problem
+        if problems:
+            raise QualityError("\n".join(f"{r['table']} {r['check']} {r['column']}: {r['value']} (limit {r['limit']})" for r in problems))
+        if not sound:
+            verify(staged)
+            sound = True
+        try:
+            P.release(spark, root, version, list(staged), now, seen)
+            return version
+        except P.Conflict:
+            continue
 
 
 def publish_registry(spark: SparkSession, path: str, root: str, layout: str = "jsonl", now: datetime | None = None) -> str:

@@ -192,10 +192,14 @@ def age_selectivity(spark, d):
     return serve.age_selectivity(benefits(spark, d), (0, 60, 120, 240))
 
 
-@query("overlapping_stages", cte("benefits") + "," + _STAGES + """SELECT stage, count(*) AS n FROM benefits JOIN stages ON stage <> 'prenatal'
-AND coalesce(effective_min_age_months, 0) <= s_hi AND s_lo <= coalesce(effective_max_age_months, 1000000) GROUP BY 1""")
+#: Stages, and ranges that begin before birth or are open.
+_RANGES = (*serve.STAGES[1:], ("before birth", -12, -1), ("from the third month before", -3, None), ("up to a year", None, 12), ("always", None, None), ("inverted", 30, 10))
+
+
+@query("overlapping_stages", cte("benefits") + ", stages(stage, s_lo, s_hi) AS (VALUES " + ", ".join(f"('{k}', {'NULL' if a is None else a}, {'NULL' if b is None else b})" for k, a, b in _RANGES) + """)
+SELECT stage, count(*) AS n FROM benefits JOIN stages ON coalesce(effective_min_age_months <= s_hi, true) AND coalesce(s_lo <= effective_max_age_months, true) GROUP BY 1""")
 def overlapping_stages(spark, d):
-    stages = spark.createDataFrame(serve.STAGES[1:], "stage string, s_lo int, s_hi int")
+    stages = spark.createDataFrame(_RANGES, "stage string, s_lo int, s_hi int")
     meet = P.ranges_overlap(F.col(serve.LO), F.col(serve.HI), F.col("s_lo"), F.col("s_hi"))
     return benefits(spark, d).join(F.broadcast(stages), meet).groupBy("stage").agg(F.count("*").alias("n"))
 
@@ -492,7 +496,7 @@ def quality_gate(spark, d):
 @query("age_contradictions", cte("rule_texts") + """SELECT id FROM (SELECT id, kind, CASE kind WHEN 0 THEN 0 WHEN 1 THEN a * 12 WHEN 2 THEN 0 WHEN 3 THEN a WHEN 4 THEN a * 12 WHEN 5 THEN 180 WHEN 6 THEN a * 12 WHEN 7 THEN 0 WHEN 8 THEN a END AS lo,
 coalesce(CASE kind WHEN 0 THEN a * 12 - 1 WHEN 1 THEN b * 12 + 11 WHEN 2 THEN 71 WHEN 3 THEN b WHEN 5 THEN 215 WHEN 6 THEN a * 12 + 11 WHEN 7 THEN a * 12 + 11 WHEN 8 THEN b END, 1000000) AS hi FROM rule_texts WHERE kind < 9) WHERE lo > 71 OR hi < 36""")
 def age_contradictions(spark, d):
-    rows = fixture(spark, d, "rule_texts").select("id", F.col("text").alias("title"), F.lit(36).alias("min_age_months"), F.lit(71).alias("max_age_months"))
+    rows = fixture(spark, d, "rule_texts").where("kind < 10").select("id", F.col("text").alias("title"), F.lit(36).alias("min_age_months"), F.lit(71).alias("max_age_months"))
     return quality.age_contradictions(rows).select("id")
 
 

@@ -29,8 +29,9 @@ def overlaps_stage(lo: Column, hi: Column, stage_lo: Column, stage_hi: Column, p
 
 
 def ranges_overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
-    """Ranges overlap; a missing bound is open."""
-    return (F.coalesce(lo1, F.lit(0)) <= F.coalesce(hi2, F.lit(10**6))) & (F.coalesce(lo2, F.lit(0)) <= F.coalesce(hi1, F.lit(10**6)))
+    """Ranges overlap; a missing bound is open, whatever the other one is."""
+    below = lambda lo, hi: lo.isNull() | hi.isNull() | (lo <= hi)
+    return below(lo1, hi2) & below(lo2, hi1)
 
 
 def title_like(title: Column, asked: str) -> Column:

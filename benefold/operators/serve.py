@@ -12,10 +12,10 @@ LABELS = {"single_parent": "ひとり親家庭", "disability": "障がいのあ
 RELATIONS = ("REQUIRES_BENEFIT", "SHARED_DOC", "NEXT_STEP")
 STAGES = (("prenatal", None, None), ("0y", 0, 11), ("1y", 12, 23), ("2y", 24, 35), ("3-5y", 36, 71), ("6-11y", 72, 143), ("12-14y", 144, 179), ("15-18y", 180, 227))
 PREFIX, STEPS, SALTS = 30, 80, 16
-#: Months are told apart from FIRST_MONTH on, 2**DEPTH of them.
-FIRST_MONTH, DEPTH = -1024, 12
-#: Lists beside those of ages (below FIRST_MONTH), and the place of benefits whatever their area.
-PRENATAL, ANY, EVERYWHERE = -100_001, -100_002, "*"
+#: Lists beside those of ages (no age is as large), and the place of benefits whatever their area.
+PRENATAL, ANY, EVERYWHERE = 1 << 40, (1 << 40) + 1, "*"
+#: Distinct bounds of ages up to which their codes are broadcast.
+MOST_CODES = 1 << 16
 LO, HI = "effective_min_age_months", "effective_max_age_months"
 
 
@@ -35,35 +35,31 @@ def search(benefits: DataFrame, q: str | None = None, category: str | None = Non
     return rows.orderBy(*order).limit(min(limit, 100))
 
 
-def _nodes(lo: Column, hi: Column) -> Column:
-    """Array of the ranges of months, each a power of two long and aligned, that together are ``lo`` to ``hi``: a few for each power."""
-    low = F.when(lo.isNull(), 0).otherwise(F.greatest(lo - FIRST_MONTH, F.lit(0)))
-    stop = F.when(hi.isNull(), 1 << DEPTH).otherwise(F.least(hi - FIRST_MONTH, F.lit((1 << DEPTH) - 1)) + 1)
+def _nodes(low: Column, stop: Column, depth: int) -> Column:
+    """Array of the ranges of codes, each a power of two long and aligned, that together are ``low`` up to ``stop``, which is left out: a few for each power."""
     parts = []
-    for k in range(DEPTH + 1):
+    for k in range(depth + 1):
         a, b = F.shiftright(low + ((1 << k) - 1), k), F.shiftright(stop, k)
-        parts += [F.when((a < b) & (a % 2 == 1), _node(k, a)), F.when((a < b) & (b % 2 == 1), _node(k, b - 1))]
+        parts += [F.when((a < b) & (a % 2 == 1), _node(k, a, depth)), F.when((a < b) & (b % 2 == 1), _node(k, b - 1, depth))]
     return F.array_compact(F.array(*parts))
 
 
-def _node(k: int, at: Column) -> Column:
-    return (at + (k << DEPTH + 1)).cast("int")
+def _node(k: int, at: Column, depth: int) -> Column:
+    return at + (k << depth + 1)
 
 
-def _above(month: Column) -> Column:
-    """Array of the ranges that hold a month; none outside of the months that are told apart."""
-    at = month - FIRST_MONTH
-    inside = (at >= 0) & (at < 1 << DEPTH)
-    return F.when(inside, F.array(*(_node(k, F.shiftright(at, k)) for k in range(DEPTH + 1)))).otherwise(F.array().cast("array<int>"))
+def _above(code: Column, depth: int) -> Column:
+    """Array of the ranges that hold a code."""
+    return F.array(*(_node(k, F.shiftright(code, k), depth) for k in range(depth + 1)))
 
 
 def match(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFrame:
     """For every profile its first benefits: (profile_id, rank, the benefit's columns, matched ages, attributes, reasons).
 
-    profiles: profile_id, area_code, ages (array of months, in request order; those outside of FIRST_MONTH and the 2**DEPTH months from it
-    match no age range), is_pregnant, is_single_parent, has_disability.
+    profiles: profile_id, area_code, ages (array of months, in request order), is_pregnant, is_single_parent, has_disability.
 
-    No profile is joined with all benefits of an area. A benefit is listed under the few aligned ranges of months that make up its age
+    No profile is joined with all benefits of an area. Months are coded by how many of the distinct bounds of all age ranges lie at or below them, so
+    no month is out of reach and a missing bound is the first or the last code. A benefit is listed under the few aligned ranges of codes that make up its age
     range (and under "prenatal" and "any"); of each area, range and order of attributes only the first ``limit`` stay. An asked age is
     looked up in the ranges that hold it, once for all profiles, and again only the first ``limit`` stay. A need (area, set of ages, flags) merges
     the lists of its ages for its area and for the region-wide code, and is ranked once for all of its profiles. Region-wide lists, which
@@ -71,18 +67,26 @@ def match(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFram
     """
     flags = ["sp_first", "dis_first"]
     code = lambda c: P.has_code(F.col("target_codes"), c)
+    bounds = benefits.select(F.explode(F.array(F.col(LO).cast("long"), F.col(HI).cast("long") + 1)).alias("month")).where("month is not null").distinct()
+    n_codes = bounds.count()
+    depth = n_codes.bit_length()
     rows = benefits.select("benefit_id", F.coalesce("area_code", F.lit("")).alias("area"), LO, HI, F.coalesce("is_prenatal", F.lit(False)).alias("is_prenatal"), "title",
                            P.source_rank(F.col("age_source")).alias("source"), code(SINGLE_PARENT).alias("sp"), code(DISABILITY).alias("dis"))
     first_needs = profiles.select(_need_id("area_code").alias("need_id"), F.col("area_code").alias("n_area"), F.array_sort(F.array_distinct("ages")).alias("n_ages"),
                                   F.coalesce("is_pregnant", F.lit(False)).alias("is_pregnant"), F.coalesce("is_single_parent", F.lit(False)).alias("sp_first"), F.coalesce("has_disability", F.lit(False)).alias("dis_first"))
     needs = first_needs.dropDuplicates(["need_id"])
     # what a need asks for: areas, and ages or one of the two other lists
-    pregnant = F.when(F.col("is_pregnant"), F.array(F.lit(PRENATAL))).otherwise(F.array().cast("array<int>"))
-    asks = F.concat(F.transform("n_ages", lambda m: m.cast("int")), pregnant)
+    pregnant = F.when(F.col("is_pregnant"), F.array(F.lit(PRENATAL))).otherwise(F.array().cast("array<long>"))
+    asks = F.concat(F.transform("n_ages", lambda m: m.cast("long")), pregnant)
     asks = F.when(F.size(asks) > 0, asks).otherwise(F.array(F.lit(ANY)))
     places = F.when(F.col("n_area").isNull(), F.array(F.lit(EVERYWHERE))).otherwise(F.array_distinct(F.array("n_area", F.lit(P.WIDE))))
     asked = needs.select("need_id", *flags, F.explode(places).alias("area"), asks.alias("asks")).withColumn("ask", F.explode("asks")).drop("asks")
     orders = asked.select("area", "ask", *flags).distinct()
+    # codes of bounds and of asked ages; a row for each distinct month
+    months = bounds.withColumn("bound", F.lit(1)).union(orders.select("ask", F.lit(0)).where(F.col("ask") < PRENATAL).distinct()).groupBy("month").agg(F.max("bound").alias("bound"))
+    codes = months.select("month", "bound", F.sum("bound").over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)).alias("code"))
+    of_bound = codes.where("bound = 1").select("month", "code")
+    of_bound = F.broadcast(of_bound) if n_codes <= MOST_CODES else of_bound
 
     order = [F.when(F.col("sp_first"), ~F.col("sp")).otherwise(False).alias("o1"), F.when(F.col("dis_first"), ~F.col("dis")).otherwise(False).alias("o2"), F.col("source").alias("o3"),
              F.col(LO).isNull().alias("o4"), F.col(LO).alias("o5"), F.col("title").alias("o6"), "benefit_id"]
@@ -92,13 +96,16 @@ def match(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFram
         return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("_rn") <= limit).drop("_rn")
 
     other = F.when(F.col("is_prenatal"), F.array(F.lit(PRENATAL), F.lit(ANY))).otherwise(F.array(F.lit(ANY)))
-    listed = rows.withColumn("node", F.explode(F.concat(_nodes(F.col(LO), F.col(HI)), other)))
+    coded = rows.join(of_bound.select(F.col("month").alias("_lo"), F.col("code").alias("_low")), F.col(LO) == F.col("_lo"), "left")
+    coded = coded.join(of_bound.select(F.col("month").alias("_hi"), F.col("code").alias("_stop")), F.col(HI).cast("long") + 1 == F.col("_hi"), "left").drop("_lo", "_hi")
+    listed = coded.withColumn("node", F.explode(F.concat(_nodes(F.coalesce("_low", F.lit(0)), F.coalesce("_stop", F.lit(n_codes + 1)), depth), other))).drop("_low", "_stop")
     listed = listed.withColumn("area", F.explode(F.array("area", F.lit(EVERYWHERE)))).where("area <> ''")
     listed = first(listed, ["area", "node", "sp", "dis"], ["source", F.col(LO).asc_nulls_last(), "title", "benefit_id"])
     each = orders.select("area", *flags).distinct()
     listed = first(listed.join(each, "area").select("area", "node", *flags, *order), ["area", "node", *flags], names)
-    above = F.when(F.col("ask") < FIRST_MONTH, F.array("ask")).otherwise(_above(F.col("ask")))
-    found = orders.withColumn("node", F.explode(above)).join(listed, ["area", "node", *flags])
+    of_ask = codes.select(F.col("month").alias("ask"), "code")
+    above = F.when(F.col("code").isNull(), F.array("ask")).otherwise(_above(F.col("code"), depth))
+    found = orders.join(of_ask, "ask", "left").withColumn("node", F.explode(above)).drop("code").join(listed, ["area", "node", *flags])
     found = first(found, ["area", "ask", *flags], names)
     salts = F.when(F.col("area").isin(P.WIDE, EVERYWHERE), SALTS).otherwise(1)
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
@@ -162,7 +169,8 @@ def next_steps(matches: DataFrame, edges: DataFrame, benefits: DataFrame, limit:
     """Outgoing edges of each profile's first matches with both titles, by relation and titles."""
     names = benefits.select("benefit_id", "title")
     first = matches.where(F.col("rank") <= PREFIX).select("profile_id", F.col("benefit_id").alias("from_benefit_id"))
-    rows = edges.join(names.select(F.col("benefit_id").alias("from_benefit_id"), F.col("title").alias("from_title")), "from_benefit_id")
+    rows = edges.join(first.select("from_benefit_id").distinct(), "from_benefit_id", "left_semi")  # edges of what was matched only
+    rows = rows.join(names.select(F.col("benefit_id").alias("from_benefit_id"), F.col("title").alias("from_title")), "from_benefit_id")
     rows = rows.join(names.select(F.col("benefit_id").alias("to_benefit_id"), F.col("title").alias("to_title")), "to_benefit_id")
     rank = F.coalesce(*(F.when(F.col("relation") == r, k) for k, r in enumerate(RELATIONS)), F.lit(len(RELATIONS)))
     rows = first.join(rows, "from_benefit_id")

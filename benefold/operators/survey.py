@@ -6,6 +6,8 @@ import functools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.refs import names_within
+
 
 def pattern_survey(df: DataFrame, text: Column, mention: str, patterns: dict[str, str]) -> DataFrame:
     """(label, n): rows that mention, rows of each labelled pattern among them (several may hold), and of none."""
@@ -94,11 +96,11 @@ HUB = "児童扶養手当"
 def references(benefits: DataFrame) -> DataFrame:
     """(benefit_id, area_code, area_name, title, name, resolved) for every reference: whether a title of the area contains the name, plainly.
 
-    Names are made distinct per area before they meet the area's titles.
+    The area's distinct titles give the names they contain, and these meet the references on (area, name).
     """
     refs = benefits.select("benefit_id", "area_code", "area_name", "title", F.explode(F.regexp_extract_all(_conditions(), F.lit(SURVEY_REQUIRES), 1)).alias("name")).where(~F.col("name").rlike(NO_NAME))
     titles = benefits.select("area_code", "title").distinct()
-    known = refs.select("area_code", "name").distinct().join(titles, "area_code").where(F.col("title").contains(F.col("name"))).select("area_code", "name", F.lit(True).alias("resolved")).distinct()
+    known = titles.select("area_code", F.explode(names_within(F.col("title"))).alias("name")).distinct().withColumn("resolved", F.lit(True))
     return refs.join(known, ["area_code", "name"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 

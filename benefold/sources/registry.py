@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import first_present, short_hash
 
@@ -34,26 +34,53 @@ SCHEMA = ", ".join([
 ])
 
 
+#: Splits of files up to which their table of first numbers is broadcast.
+MOST_SPLITS = 1 << 17
+_BROKEN = "_broken"
+
+
 def read_registry(spark: SparkSession, path: str, layout: str = "jsonl", partitions: int | None = None) -> DataFrame:
-    """Records with record_seq (their order). layout: jsonl (splittable), array, or envelope.
+    """Records with record_seq (their order: files by name, in a file lines or elements). layout: jsonl (splittable), array, or envelope.
 
-    A document that is one array or envelope is read by one task; its records are then dealt out once. Elements that are no
-    objects are dropped. In JSON lines the order is that of files and lines.
+    Lines and elements that are no objects are dropped, but are counted. A document that is one array or envelope is read by one task;
+    its records are then dealt out once.
     """
     if layout == "jsonl":
-        rows = spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
-        return numbered(rows)
-    text = spark.read.text(path, wholetext=True)
-    whole = F.from_json("value", f"ARRAY<STRING>") if layout == "array" else F.coalesce(*(F.from_json(F.get_json_object("value", f"$.{k}"), "ARRAY<STRING>") for k in ENVELOPE), F.array("value"))
-    rows = text.select(F.posexplode(whole).alias("record_seq", "raw"))
-    rows = rows.repartition(partitions or spark.sparkContext.defaultParallelism, "record_seq")
-    rows = rows.where(F.trim("raw").startswith("{"))
-    return rows.select(F.col("record_seq").cast("long").alias("record_seq"), F.from_json("raw", SCHEMA).alias("r")).select("record_seq", "r.*")
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """record_seq from file order and line order."""
-    return rows.withColumn("record_seq", F.monotonically_increasing_id())
+        rows = numbered(spark.read.text(path)).where(F.trim("value").startswith("{")).withColumnRenamed("value", "raw")
+    else:
+        text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+        whole = F.from_json("value", "ARRAY<STRING>") if layout == "array" else F.coalesce(*(F.from_json(F.get_json_object("value", f"$.{k}"), "ARRAY<STRING>") for k in ENVELOPE), F.array("value"))
+        rows = text.select("_file", F.posexplode(whole).alias("_at", "raw"))
+        sizes = text.select("_file", F.size(whole).alias("_n")).where("_n > 0")
+        rows = _shifted(rows, _first_numbers(sizes, ["_file"]), ["_file"], len(text.inputFiles())).select((F.col("_first") + F.col("_at")).alias("record_seq"), "raw")
+        rows = rows.repartition(partitions or spark.sparkContext.defaultParallelism, "record_seq").where(F.trim("raw").startswith("{"))
+    rows = rows.select("record_seq", F.from_json("raw", f"{SCHEMA}, {_BROKEN} STRING", {"columnNameOfCorruptRecord": _BROKEN}).alias("r"))
+    return rows.where(F.col(f"r.{_BROKEN}").isNull()).select("record_seq", "r.*").drop(_BROKEN)
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """record_seq and value of the rows of a file reader: numbers without gaps, by file name and place in the file.
+
+    Spark deals splits of files out by size, so neither partitions nor generated ids follow names. Rows of one split do follow each other; they are counted by split,
+    the counts are summed up over the splits in order of name and start, and a row's number is its split's first number plus its place in the split.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    rows = lines.select("value", *split, F.monotonically_increasing_id().alias("_id"))
+    sizes = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
+    most = len(lines.inputFiles()) + lines.rdd.getNumPartitions()  # whole splits fill a partition, and a file has one smaller one at most
+    rows = _shifted(rows, _first_numbers(sizes, ["_file", "_block"]), ["_file", "_block"], most)
+    return rows.select((F.col("_first") + F.col("_id") - F.col("_low")).alias("record_seq"), "value")
+
+
+def _first_numbers(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """The first number of each split: the sum of the sizes (_n) before it. A row for each split of a file, not for each record."""
+    before = F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.withColumn("_first", F.coalesce(before, F.lit(0).cast("long"))).drop("_n")
+
+
+def _shifted(rows: DataFrame, first: DataFrame, keys: list[str], splits: int) -> DataFrame:
+    """``rows`` with the first number of their split; of ``splits`` splits at most."""
+    return rows.join(F.broadcast(first) if splits <= MOST_SPLITS else first, keys)
 
 
 def benefit_id() -> Column:

@@ -1,12 +1,20 @@
 """Edges against brute force, matching, timeline, quality gate, publishing; each counter-test breaks a plausible mistake."""
 
+import json
 import random
+import re
+import threading
 from datetime import UTC, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from benefold.operators import edges, filters, nodes, quality, serve
+from benefold.jobs import publish_registry as J
+from benefold.jobs.rows import build_benefits, build_tables
+from benefold.functions import refs
+from benefold.operators import edges, filters, nodes, quality, serve, survey
 from benefold.sources import publish as P, registry as R
+from benefold.sources.schema import EDGES, KEYS, typed
 
 
 def benefits_of(spark, rows):
@@ -43,6 +51,28 @@ def test_shared_documents_against_brute_force(spark):
     assert {(e[0], e[1]): e["reason"] for e in got} == {k: f"同じ書類（{d}）が必要" for k, d in want.items()}
 
 
+def test_requires_edges_against_brute_force(spark):
+    """Names at places of a title, of any length, with the area's name before them or not."""
+    r = random.Random(12)
+    parts, ends = ["児童", "育成", "特別", "新", "中央区", "ひとり親", "A", "・", "（", " ", "の", "医療", "ァ", "受給"], ["手当", "給付金", "助成", "医療証", "受給者証"]
+    title = lambda: "".join(r.choice(parts + ends) for _ in range(r.randrange(1, 7)))
+    name = lambda: "".join(r.choice(["児童", "育成", "特別", "中央区", "医療", "ァ"]) for _ in range(r.randrange(1, 10)))[:18] + r.choice(ends)
+    rows, pool = [], [name() for _ in range(14)]
+    for i in range(300):
+        asked = r.choice(pool)
+        said = r.choice([f"{asked}を受けている方", f"{asked}または{r.choice(pool)}を受給している方", None, "区民の方"])
+        rows.append((f"b{i}", i, r.choice(["1", "2", None]), r.choice(["中央区", "港区", "", None]), r.choice([title(), asked, f"{asked}のご案内", f"新・{asked}", asked[2:], f"x{asked}"]), None, None, said, None))
+    df = benefits_of(spark, rows)
+    titles = df.select("area_code", F.col("benefit_id").alias("src"), "title")
+    asked = df.select(F.col("benefit_id").alias("dst"), "area_code", "area_name", F.explode(refs.required_names(F.col("conditions_text"))).alias("name"))
+    pairs = {(x["src"], x["dst"]) for x in asked.join(titles, "area_code").where("src <> dst").collect() for n in {x["name"], x["name"][len(x["area_name"]):] if x["area_name"] and x["name"].startswith(x["area_name"]) else x["name"]}
+             if len(n) >= 3 and re.search(rf"(?<![{refs.NAME_CHAR}]){re.escape(n)}", x["title"])}
+    assert {(x[0], x[1]) for x in edges.requires_edges(df).collect()} == pairs and len(pairs) > 30
+    found = {(x["benefit_id"], x["name"]): x["resolved"] for x in survey.references(df).collect()}
+    area = {x[0]: x[2] for x in rows}
+    assert found == {(b, n): area[b] is not None and any(x[2] == area[b] and n in x[4] for x in rows) for b, n in found} and True in found.values() and False in found.values()
+
+
 def test_requires_edges(spark):
     rows = [("a", 0, "1", "中央区", "児童扶養手当", None, None, None, None), ("b", 1, "1", "中央区", "訓練給付金", None, None, "児童扶養手当の支給を受けている方", None), ("c", 2, "1", "中央区", "特別児童扶養手当", None, None, "中央区児童育成手当を受給している方", None),
             ("d", 3, "2", "港区", "児童扶養手当", None, None, None, None), ("e", 4, "1", "中央区", "児童育成手当", None, None, "児童育成手当を受給していない方", None)]
@@ -60,6 +90,32 @@ def test_match_uses_effective_bounds_and_never_filters_by_attribute(spark):
     assert got == {1: [("x", [20]), ("y", [20, 50])], 2: [("x", [20]), ("z", [20]), ("y", [20])], 3: [("p", [])], 4: [("y", [])]}
 
 
+def test_match_has_no_limits_of_months(spark):
+    """Against brute force: months far out, negative ones, open and inverted ranges, repeated ages, no areas."""
+    r = random.Random(9)
+    far = [-2**31, -200_000, -1025, -1024, -5, -1, 0, 3, 11, 12, 3071, 3072, 3100, 100_001, 2**31 - 1]
+    b = [(f"b{i:03d}", r.choice(["1", "2", "130001", None, ""]), "区", r.choice([None, *far]), r.choice([None, *far]), r.choice(["explicit", "inferred", "unknown"]), r.random() < 0.2, r.choice([[], ["088"], ["090"], ["088", "090"], None]), r.choice("xyz")) for i in range(150)]
+    p = [(i, r.choice(["1", "2", "9", None]), r.choice([[], [r.choice(far)], [r.choice(far), r.choice(far)]]), *(r.random() < 0.4 for _ in range(3))) for i in range(80)]
+    benefits = spark.createDataFrame(b, "benefit_id string, area_code string, area_name string, effective_min_age_months int, effective_max_age_months int, age_source string, is_prenatal boolean, target_codes array<string>, title string")
+    profiles = spark.createDataFrame(p, "profile_id int, area_code string, ages array<int>, is_pregnant boolean, is_single_parent boolean, has_disability boolean")
+    got = {}
+    for x in sorted(serve.match(profiles, benefits, 9).collect(), key=lambda x: (x["profile_id"], x["rank"])):
+        got.setdefault(x["profile_id"], []).append(x["benefit_id"])
+    want = {}
+    for i, area, ages, pregnant, single, disability in p:
+        fits = []
+        for x in b:
+            lo, hi, codes = x[3], x[4], x[7] or []
+            if area is not None and x[1] not in (area, "130001"):
+                continue
+            ok = any((lo is None or lo <= a) and (hi is None or hi >= a) for a in ages) or (pregnant and x[6]) or (not ages and not pregnant)
+            if ok:
+                fits.append((single and "088" not in codes, disability and "090" not in codes, ["explicit", "inferred", "unknown"].index(x[5]), lo is None, lo or 0, x[8], x[0]))
+        if fits:
+            want[i] = [x[-1] for x in sorted(fits)[:9]]
+    assert got == want
+
+
 def test_timeline_excludes_unknown_bounds(spark):
     b = spark.createDataFrame([("x", 0, 11, "explicit", False, "t"), ("y", None, 11, "explicit", False, "t"), ("z", 0, 11, "explicit", True, "t")], "benefit_id string, effective_min_age_months int, effective_max_age_months int, age_source string, is_prenatal boolean, title string")
     assert {(r["stage"], r["benefit_id"]) for r in serve.timeline(b).collect()} == {("0y", "x"), ("prenatal", "z")}
@@ -94,6 +150,122 @@ def test_quality_gate(spark):
     assert {("schemes", "rows", ""), ("benefits", "blank", "title"), ("benefits", "unknown_age", "age_source"), ("benefits", "areas", "area_code"), ("benefits", "missing column", "summary"), ("documents", "missing table", ""), ("benefits", "fewer rows", "")} <= found
 
 
+def test_gate_reports_an_empty_table_once(spark):
+    """One problem each, no shares, no comparison, no crash; whether or not the table's columns are all there."""
+    good = healthy(spark)
+    before = spark.createDataFrame([(t, 100) for t in quality.MUST_HAVE], "table string, rows long")
+    assert problems(spark, {t: df.limit(0) for t, df in good.items()}, before) == {(t, "rows", "") for t in quality.MUST_HAVE}
+    assert problems(spark, good | {t: good[t].limit(0).select(F.lit(1).alias("other")) for t in ("benefits", "documents")}) == {("benefits", "rows", ""), ("documents", "rows", "")}
+
+
+def graph(spark, **changed):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    nodes_ = {"benefits": ("benefit_id", "b"), "statuses": ("status_id", "s"), "documents": ("doc_id", "d"), "schemes": ("scheme_id", "c")}
+    out = {t: one([(f"{p}{i}",) for i in range(3)], f"{c} string") for t, (c, p) in nodes_.items()}
+    out["benefit_requires_status"] = one([("b0", "s1"), ("b1", "s1")], "benefit_id string, status_id string")
+    out["benefit_requires_doc"] = one([("b0", "d1"), ("b0", "d2")], "benefit_id string, doc_id string")
+    out["benefit_in_scheme"] = one([("b0", "c1")], "benefit_id string, scheme_id string")
+    out["benefit_leads_to"] = one([("b0", "b1", "X"), ("b0", "b1", "Y")], "from_benefit_id string, to_benefit_id string, relation string")
+    return out | {t: one(rows, out[t].schema) for t, rows in changed.items()}
+
+
+def found(spark, **changed):
+    return {tuple(r) for r in quality.integrity(graph(spark, **changed), EDGES, KEYS).collect()}
+
+
+def test_keys_and_ends(spark):
+    assert found(spark) == set()
+    assert found(spark, statuses=[("s1",), ("s1",), ("s2",), (None,)]) == {("statuses", "status_id", "repeated key", 2), ("statuses", "status_id", "null", 1)}
+    assert found(spark, benefit_leads_to=[("b0", "b9", "X"), ("b0", "b9", "X"), ("b7", "b1", None)]) == {
+        ("benefit_leads_to", "from_benefit_id,to_benefit_id,relation", "repeated key", 2), ("benefit_leads_to", "to_benefit_id", "meets no node", 2), ("benefit_leads_to", "from_benefit_id", "meets no node", 1),
+        ("benefit_leads_to", "from_benefit_id,to_benefit_id,relation", "null", 1)}
+    assert found(spark, benefits=[]) >= {("benefit_requires_doc", "benefit_id", "meets no node", 2), ("benefit_in_scheme", "benefit_id", "meets no node", 1)}
+    assert found(spark, benefit_in_scheme=[("b0,c1", "c1"), (None, "c2")]) == {("benefit_in_scheme", "benefit_id", "meets no node", 1), ("benefit_in_scheme", "benefit_id", "null", 1), ("benefit_in_scheme", "benefit_id,scheme_id", "null", 1)}
+
+
+def record(i, **more):
+    return {"psid": f"p{i:03d}", "title": "児童扶養手当" if i < 60 else f"事業{i % 7}", "description": "説明", "summary": "概要", "area": {"areaCode": f"{131000 + i % 60};区{i % 60}"}, "institutionName": {"canonicalName": f"制度{i % 9}"},
+            "target": {"targetPersons": ["満3歳未満", "小学生", "区民"][i % 3], "conditions": ["児童扶養手当を受けている方", "所得が46万円以下"][i % 2]}, "tag": {"targetCode": ["088"]}, "documents": ["印鑑", "住民票\n申請書"][i % 2]} | more
+
+
+def written(tmp_path, name, records):
+    (tmp_path / name).write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in records), encoding="utf-8")
+    return str(tmp_path / name)
+
+
+def test_whole_publication(spark, tmp_path, monkeypatch):
+    """Built and read from what was written, refused by the gate and by keys with the old version holding, restored."""
+    root, now = str(tmp_path / "dev"), datetime(2024, 1, 1, tzinfo=UTC)
+    records = R.read_registry(spark, written(tmp_path, "a.json", [record(i) for i in range(120)])).cache()
+    read = spark.sparkContext.accumulator(0)
+
+    first = J.publish_records(spark, _counted(records, read), root, now)
+    assert read.value == 2 * 120  # benefits; tags and documents
+    counts = dict(map(tuple, J.row_counts(spark, root, list(quality.MUST_HAVE)).collect()))
+    assert {t: counts[t] for t in ("benefits", "schemes", "documents", "benefit_requires_doc", "benefit_in_scheme")} == {"benefits": 120, "schemes": 9, "documents": 3, "benefit_requires_doc": 180, "benefit_in_scheme": 120}
+    direct = build_tables(records)
+    for name in ("benefits", "benefit_requires_doc"):
+        a, b = (sorted(map(str, typed(name, x).collect())) for x in (direct[name], P.read(spark, root, name)))
+        assert a == b, name
+    few = R.read_registry(spark, written(tmp_path, "b.json", [record(i) for i in range(70)]))
+    with pytest.raises(J.QualityError, match="fewer rows"):
+        J.publish_records(spark, few, root, now + timedelta(days=1))
+    assert P.current(spark, root) == first and P.last_entry(spark, root) == 1
+    check, calls = quality.check_tables, []
+
+    def slow(spark, tables, previous=None):
+        if not calls:
+            P.release(spark, root, first, list(quality.MUST_HAVE))  # another job, meanwhile
+        calls.append(1)
+        return check(spark, tables, previous)
+
+    monkeypatch.setattr(quality, "check_tables", slow)
+    second = J.publish_registry(spark, written(tmp_path, "d.json", [record(i) for i in range(130)]), root, now=now + timedelta(days=2))
+    assert len(calls) == 2 and P.last_entry(spark, root) == 3 and P.current(spark, root) == second and P.read(spark, root, "benefits").count() == 130
+    J.restore_registry(spark, root, first, now + timedelta(days=3))
+    assert P.current(spark, root) == first and P.read(spark, root, "benefits").count() == 120
+    with pytest.raises(ValueError):
+        P.restore(spark, root, second, ["schemes2"])
+
+
+def _counted(records, read):
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return records.mapInArrow(run, records.schema)
+
+
+def test_two_publications_at_once(spark, tmp_path):
+    """Of two that saw the same state one is refused; a job that meets another one compares with it before it follows."""
+    root = str(tmp_path / "x")
+    first = P.publish(spark, {"a": spark.range(3)}, root)
+    staged = [P.stage({"a": spark.range(4 + k)}, root) for k in range(2)]
+    gate, done = threading.Barrier(2), []
+
+    def go(version):
+        gate.wait()
+        try:
+            done.append(P.release(spark, root, version, ["a"], after=1))
+        except P.Conflict:
+            done.append(None)
+
+    threads = [threading.Thread(target=go, args=(v,)) for v in staged]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(done, key=str) == [2, None] and P.current(spark, root) in staged and P.last_entry(spark, root) == 2
+    assert P.current(spark, root, 1) == first
+    third = P.publish(spark, {"a": spark.range(9)}, root)
+    assert P.current(spark, root) == third and P.read(spark, root, "a").count() == 9
+    (tmp_path / "x/_manifest/000000004.json").write_text("")  # created, never written
+    P.PATIENCE, kept = 0.3, P.PATIENCE
+    assert P.current(spark, root) == third and P.release(spark, root, staged[0], ["a"]) == 5 and P.current(spark, root) == staged[0]
+    P.PATIENCE = kept
+
+
 def test_publish_restore_clone(spark, tmp_path):
     root, now = str(tmp_path / "dev"), datetime(2024, 1, 1, tzinfo=UTC)
     first = P.publish(spark, {"a": spark.range(3), "b": spark.range(2)}, root, now)
@@ -112,14 +284,40 @@ def test_publish_restore_clone(spark, tmp_path):
     assert P.read(spark, str(tmp_path / "test"), "a").count() == 3
 
 
-def test_registry_layouts(spark, tmp_path):
-    import json
+def test_records_are_numbered_by_file_and_line(spark, tmp_path):
+    """Whatever the sizes of the files and of their splits, and in whatever order they were written."""
+    r = random.Random(6)
+    sizes = {"a": 1, "b": 900, "c": 0, "d": 40, "e/f": 300, "z": 2}
+    want = []
+    for name in sizes:
+        rows = [{"id": f"{name}{i}", "summary": "x" * r.choice([1, 900])} for i in range(sizes[name])]
+        want += [x["id"] for x in rows]
+        at = tmp_path / "in" / f"{name}.json"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text("".join(json.dumps(x) + "\n" for x in rows))
+    glob = [str(tmp_path / "in/*.json"), str(tmp_path / "in/*/*.json")]
+    for split in ("200", "5000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        got = [tuple(x) for x in R.read_registry(spark, glob).select("record_seq", "id").orderBy("record_seq").collect()]
+        assert got == list(enumerate(want)), split
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "x1.json").write_text('{"id": "same", "summary": "first"}\n')
+    (tmp_path / "x2.json").write_text('no json\n{"id": "same"\n[1]\n\n' + '{"id": "same", "summary": "later"}\n' * 3000)
+    rows = R.read_registry(spark, str(tmp_path / "x*.json"))
+    assert rows.count() == 3001 and build_benefits(rows).select("summary").collect()[0][0] == "first" and rows.where("record_seq = 0").first()["summary"] == "first"
 
+
+def test_registry_layouts(spark, tmp_path):
     records = [{"id": "x", "basicInformation": {"psid": "p"}, "belongings": "印鑑"}, "no object", {"basicInformation": {"psid": "q"}}]
     for name, text in (("array", json.dumps(records)), ("envelope", json.dumps({"items": records}))):
         (tmp_path / name).write_text(text)
         got = R.read_registry(spark, str(tmp_path / name), name)
         assert [tuple(r) for r in got.select("record_seq", R.benefit_id()).orderBy("record_seq").collect()] == [(0, "x"), (2, "q")]
+        (tmp_path / f"{name}2").write_text(text)
+        two = R.read_registry(spark, str(tmp_path / f"{name}*"), name)
+        assert [r[0] for r in two.select("record_seq").orderBy("record_seq").collect()] == [0, 2, 3, 5]
     (tmp_path / "lines").write_text("\n".join(json.dumps(r) for r in records if isinstance(r, dict)))
     assert R.read_registry(spark, str(tmp_path / "lines")).count() == 2
 
@@ -127,3 +325,5 @@ def test_registry_layouts(spark, tmp_path):
 def test_predicates_differ_on_missing_bounds(spark):
     r = spark.range(1).select(filters.age_in_range(F.lit(5), F.lit(None).cast("int"), F.lit(9)), filters.overlaps_stage(F.lit(None).cast("int"), F.lit(9), F.lit(0), F.lit(11), F.lit(False), F.lit(False)), filters.ranges_overlap(F.lit(None).cast("int"), F.lit(9), F.lit(5), F.lit(None).cast("int"))).first()
     assert tuple(r) == (True, False, True)
+    below = spark.createDataFrame([(None, -5, -7, None, True), (None, -5, -4, None, False), (-9, None, None, -10, False), (None, None, None, -10**6, True), (3, 1, None, None, True)], "a int, b int, c int, d int, ok boolean")
+    assert all(x["ok"] == x["got"] for x in below.select("ok", filters.ranges_overlap(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("got")).collect())
