@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir, tidy
+from .common import shared_dir, stored, tidy
 
 LEAST = 1000
 CHUNK = 1 << 14
@@ -163,7 +163,8 @@ def _payloads(batches: Iterator) -> Iterator:
 
     for batch in batches:
         out = []
-        for kind, block in zip(batch.column("type").to_pylist(), batch.column("block").to_pylist(), strict=True):
+        for kind, blocks in zip(batch.column("type").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+            block = b"".join(blocks)
             if kind not in ("response", "request"):
                 out.append(None if kind == "revisit" else block)  # no HTTP message
                 continue
@@ -174,21 +175,21 @@ def _payloads(batches: Iterator) -> Iterator:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(page, type, refers_to, digest, payload: bytes, null for revisits): the records of the archives under ``path``."""
+    """(page, type, refers_to, digest, payload: bytes, null for revisits): the records of the archives under ``path``, which are parsed once, into the shared folder."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInArrow(tidy(_parse), "page long, type string, origin string, number int, total long, refers_to long, digest string, block binary")
-    whole = records.where("number is null").select("page", "type", "refers_to", "digest", "block")
+    records = stored(files.mapInArrow(tidy(_parse), "page long, type string, origin string, number int, total long, refers_to long, digest string, block binary"))
+    whole = records.where("number is null").select("page", "type", "refers_to", "digest", F.array("block").alias("blocks"))
     cut = records.where("number is not null").groupBy("origin").agg(
         F.max("page").alias("page"), F.max(F.when(F.col("type") != "continuation", F.col("type"))).alias("type"), F.max("refers_to").alias("refers_to"),
-        F.max("digest").alias("digest"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("x"))
-    block = F.aggregate("x.block", F.lit(b""), lambda a, b: F.concat(a, b))
-    complete = (F.octet_length(block) == F.col("total")) & (F.size("x") == F.array_max("x.number"))
-    checked = F.when(complete, block).otherwise(F.raise_error(F.concat(F.lit("segments missing: "), "origin")))
-    return whole.union(cut.select("page", "type", "refers_to", "digest", checked.alias("block"))).mapInArrow(tidy(_payloads), "page long, type string, refers_to long, digest string, payload binary")
+        F.max("digest").alias("digest"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("x"))  # a record's segments
+    size = F.aggregate("x.block", F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b))
+    complete = (size == F.col("total")) & (F.size("x") == F.array_max("x.number"))
+    checked = F.when(complete, F.col("x.block")).otherwise(F.raise_error(F.concat(F.lit("segments missing: "), "origin")))
+    return whole.union(cut.select("page", "type", "refers_to", "digest", checked.alias("blocks"))).mapInArrow(tidy(_payloads), "page long, type string, refers_to long, digest string, payload binary")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    from .common import join_keys, stored, table
+    from .common import join_keys, table
 
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
