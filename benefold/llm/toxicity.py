@@ -7,7 +7,8 @@ reads what it wrote once backwards; what comes out says of each match how it was
 plain. A document's score is a logistic function of the weights that its clauses collect by meaning.
 
 Insults are a short list and what is learned: word stems whose documents are toxic, chosen one after the other by how many toxic documents
-they explain that none before does. The logistic weights are learned too. Both use a bounded sample of labelled
+they explain that none before does. Stems that other documents have now and then too, but toxic ones often, are learned besides; they count by how dense they stand
+in the text, not by themselves. The logistic weights are learned too. Both use a bounded sample of labelled
 rows, ``SAMPLE`` of each label at most (smallest hashes of the id, then of the text), equal texts once; rows held out are never
 in it. Everything else covers all rows and whole texts.
 
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 SAMPLE = 3000
 #: Toxic documents of the sample that a stem must add to be learned, and their share of the stem's documents.
 LEAST, PURE = 4, 0.97
+#: Of a stem that counts by density: words of text for each time it stands there, at most; the share of toxic documents among those that have it so dense; its mark.
+SPACING, MOSTLY, WEAK = 150, 0.8, 0.5
 
 # Fixed word lists of the grammar (English, German, French, Spanish).
 TARGETS = "you your yours he she they him her them his their du dich dir ihr euch er sie dein tu te toi vous il elle ils ton usted ustedes él ella ellos tus"
@@ -107,7 +110,7 @@ def read(machine: Transducer, symbols: list[str]) -> tuple[list[str], list[float
 
 
 class Scorer:
-    """Weights by meaning of a text's matched clauses."""
+    """Weights by meaning of a text's matched clauses: added up, and for dense stems in relation to the text's length."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
@@ -120,25 +123,28 @@ class Scorer:
         return max((self.stems[word[:k]] for k in self.sizes if word[:k] in self.stems), default=0.0)
 
     def features(self, text: str | None) -> list[float]:
-        found = dict.fromkeys(MEANINGS, 0.0)
+        found, dense = dict.fromkeys(MEANINGS, 0.0), dict.fromkeys(MEANINGS, 0.0)
         text = (text or "").lower()
-        at = 0
+        at = begin = read_to = 0
         while (m := self.find.search(text, at)) is not None:
             i = m.start()
             at = m.end()
             if i and (text[i - 1].isalpha()):
                 continue  # inside of a word
-            a = max((text.rfind(c, 0, i) for c in ".!?;\n|"), default=-1) + 1
+            for b in _BREAK.finditer(text, read_to, i):
+                begin = b.end()
+            read_to = i
             b = _BREAK.search(text, i)
             at = b.start() if b else len(text)
-            words = _WORD.findall(text, a, at)
+            words = _WORD.findall(text, begin, at)
             stems = [self._stem(word) for word in words]
             once, w1 = read(self.forth, ["insult" if stem else CLASSES.get(word, "other") for word, stem in zip(words, stems, strict=True)])
             twice, w2 = read(self.back, once[::-1])
             for out, x, y, stem in zip(twice[::-1], w1, w2[::-1], stems, strict=True):
                 if out in found:
-                    found[out] += max(x + y, 0.25) * (stem or 1.0)
-        return [np.log1p(found[m]) for m in MEANINGS]
+                    (dense if stem == WEAK else found)[out] += max(x + y, 0.25)
+        share = 1000 / (text.count(" ") + 50)
+        return [np.log1p(found[m]) for m in MEANINGS] + [np.log1p(share * dense[m]) for m in MEANINGS]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
@@ -154,22 +160,29 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sa
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Stems with weights, from a bounded sample (_id, _toxic, _text)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}{4,40}"), 0))
-    words = sample.select("_id", "_toxic", F.explode(words).alias("w"))
+    """Stems with weights (``WEAK``: by density), from a bounded sample (_id, _toxic, _text)."""
+    found = F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}{4,40}"), 0)
+    size = F.size(F.regexp_extract_all("_text", F.lit(r"\S+"), 0))
+    words = sample.select("_id", "_toxic", size.alias("size"), found.alias("w")).withColumn("w", F.explode("w")).groupBy("_id", "_toxic", "size", "w").agg(F.count("*").alias("n"))
     stems = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(4), F.lit(8)), lambda k: F.substring("w", F.lit(1), k)), F.array("w")))
-    seen = words.select("_id", "_toxic", F.explode(stems).alias("s")).distinct()
-    counts = seen.groupBy("s").agg(F.sum("_toxic").alias("t"), F.count("*").alias("n")).where((F.col("t") >= LEAST) & (F.col("t") >= PURE * F.col("n")))
-    rows = seen.where("_toxic = 1").join(counts.select("s"), "s").groupBy("s").agg(F.collect_list("_id").alias("ids")).collect()
-    left = {r["s"]: set(r["ids"]) for r in rows}
-    chosen = dict.fromkeys(INSULTS.split(), 1.0)
-    while left:
-        best = max(left, key=lambda s: (len(left[s]), len(s), s))
-        gain = left.pop(best)
-        if len(gain) < LEAST:
-            break
-        chosen[best] = 1.0
-        left = {s: rest for s, ids in left.items() if len(rest := ids - gain) >= LEAST}
+    seen = words.select("_id", "_toxic", "size", "n", F.explode(stems).alias("s")).groupBy("_id", "_toxic", "size", "s").agg(F.sum("n").alias("n"))
+    seen = seen.select("_id", "_toxic", "s", (F.col("n") * SPACING >= F.col("size")).alias("dense"))
+    toxic = F.col("_toxic") == 1
+    counts = seen.groupBy("s").agg(F.count_if(toxic).alias("t"), F.count("*").alias("n"), F.count_if(toxic & F.col("dense")).alias("td"), F.count_if("dense").alias("nd"))
+    pure, mostly = (F.col("t") >= LEAST) & (F.col("t") >= PURE * F.col("n")), (F.col("td") >= LEAST) & (F.col("td") >= MOSTLY * F.col("nd"))
+    counts = counts.where(pure | mostly).select("s", pure.alias("pure"), mostly.alias("mostly"), (F.col("nd") - F.col("td")).alias("others"))
+    ids = F.collect_list("_id").alias("ids"), F.collect_list(F.when(F.col("dense"), F.col("_id"))).alias("dense")
+    rows = seen.where(toxic).join(counts, "s").groupBy("s", "pure", "mostly", "others").agg(*ids).collect()  # stems of the sample's toxic rows
+    others = {r["s"]: r["others"] for r in rows}
+    chosen, explained = dict.fromkeys(INSULTS.split(), 1.0), set()
+    for weight, left in ((1.0, {r["s"]: set(r["ids"]) for r in rows if r["pure"]}), (WEAK, {r["s"]: set(r["dense"]) for r in rows if r["mostly"]})):
+        left = {s: rest for s, ids in left.items() if len(rest := ids - explained) >= LEAST}
+        while left:
+            best = max(left, key=lambda s: (len(left[s]) - (others[s] if weight == WEAK else 0), len(s), s))
+            gain = left.pop(best)
+            chosen.setdefault(best, weight)
+            explained |= gain
+            left = {s: rest for s, ids in left.items() if len(rest := ids - gain) >= LEAST}
     return chosen
 
 
@@ -199,14 +212,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = stored(_labelled(docs, labels, id_col, text_col, sample))
     stems = learn_stems(rows)
     cells = rows.select("_toxic", _features(stems)("_text").alias("f")).collect()  # SAMPLE rows of each label at most
-    x = np.array([r["f"] for r in cells]).reshape(-1, len(MEANINGS))
+    x = np.array([r["f"] for r in cells]).reshape(-1, 2 * len(MEANINGS))
     return stems, _logistic(x, np.array([r["_toxic"] for r in cells], float))
 
 
+@functools.lru_cache(4)
+def _scorer(stems: tuple[tuple[str, float], ...]) -> Scorer:
+    """A worker's scorer, made once and kept for all its batches."""
+    return Scorer(dict(stems))
+
+
 def _features(stems: dict[str, float]):
+    known = tuple(sorted(stems.items()))
+
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        scorer = Scorer(stems)
+        scorer = _scorer(known)
         return texts.map(scorer.features)
 
     return run
@@ -215,11 +236,12 @@ def _features(stems: dict[str, float]):
 def score(model, text_col: str = "text"):
     """Column: the score of ``text_col``, 0 to 1."""
     stems, weights = model
+    known = tuple(sorted(stems.items()))
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        scorer = Scorer(stems)
-        x = np.array([scorer.features(t) for t in texts]).reshape(-1, len(MEANINGS))
+        scorer = _scorer(known)
+        x = np.array([scorer.features(t) for t in texts]).reshape(-1, 2 * len(MEANINGS))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
 
     return run(text_col)

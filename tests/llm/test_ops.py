@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -487,6 +488,52 @@ def test_toxicity_of_odd_tables(spark):
     assert none.select(toxicity.score(toxicity.fit(none, lab))).count() == 0
 
 
+def test_toxicity_of_stems_that_clean_texts_have_too(spark):
+    """A stem that stands in every fifth clean text once, and in toxic ones time and again, counts by density."""
+    r = random.Random(16)
+    docs, labels = [], []
+    for i in range(700):
+        t, bad = words(r, 200), r.random() < 0.3
+        for _ in range(r.randrange(3, 9) if bad else r.random() < 0.2):
+            t[r.randrange(200)] = "glomb" + r.choice(["a", "en", "ix", "ure"]) + r.choice("bcdfghk") + r.choice("aeiou")
+        docs.append((i, " ".join(t)))
+        labels.append((i, int(bad)))
+    d = spark.createDataFrame(docs, DOCS)
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = {x["doc_id"]: x["s"] for x in d.select("doc_id", toxicity.score(model).alias("s")).collect()}
+    held = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(out[i] >= 0.5) == bool(labels[i][1]) for i in held]) > 0.95 and any(w == toxicity.WEAK and s.startswith("glomb") for s, w in model[0].items())
+
+
+def test_toxicity_time_grows_with_the_text():
+    scorer = toxicity.Scorer(dict.fromkeys(["idiot"], 1.0))
+    for text in ("you idiot " * 60_000, "you idiot. " * 60_000, "idiotidiot" * 60_000, "xidiot" * 80_000, "idiot\n" * 60_000):
+        began = time.time()
+        assert len(scorer.features(text)) == 2 * len(toxicity.MEANINGS)
+        assert time.time() - began < 20
+
+
+def test_clauses_are_those_between_breaks():
+    """Against looking back for the last break from each match."""
+    r = random.Random(17)
+    scorer = toxicity.Scorer(dict.fromkeys(["idiot", "moron"], 1.0))
+    for _ in range(300):
+        text = "".join(r.choice(["you ", "idiot ", "moron", ". ", "! ", "not ", "\n", "said ", "x", "kill ", "will ", "|", "\" "]) for _ in range(r.randrange(40)))
+        found = Counter()
+        for clause in re.split(r"[.!?;\n|]", text.lower()):
+            w = re.findall(r'[^\W\d_]+|[\"“”«»]', clause)
+            starts = [m.start() for m in scorer.find.finditer(clause) if not (m.start() and clause[m.start() - 1].isalpha())]
+            if not starts:
+                continue
+            stems = [scorer._stem(x) for x in w]
+            once, w1 = toxicity.read(scorer.forth, ["insult" if s else toxicity.CLASSES.get(x, "other") for x, s in zip(w, stems)])
+            twice, w2 = toxicity.read(scorer.back, once[::-1])
+            for out, a, b in zip(twice[::-1], w1, w2[::-1]):
+                if out in toxicity.MEANINGS:
+                    found[out] += max(a + b, 0.25)
+        assert np.allclose(scorer.features(text)[: len(toxicity.MEANINGS)], [np.log1p(found[m]) for m in toxicity.MEANINGS])
+
+
 def meant(clause):
     forth, back = toxicity.grammar()
     once, _ = toxicity.read(forth, clause.split())
