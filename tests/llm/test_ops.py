@@ -444,6 +444,48 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def brute_scan(texts):
+    """Base places, labels and scores by trying every template at every place of every text."""
+    lists = [re.findall(license_scan.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    idf = {w: max(np.log((len(texts) + 1) / (sum(w in set(x) for x in lists) + 1)), license_scan.FLOOR) for w in license_scan.vocabulary()}
+    out = []
+    for w in lists:
+        at = [(p, label) for phrase, label in license_scan.BASE for p in range(len(w)) if w[p: p + len(phrase.split())] == phrase.split()]
+        labels, best = {label for _, label in at}, float(bool(at))
+        for label, text, key in license_scan.TEMPLATES:
+            words, phrase = text.split(), key.split()
+            k = len(text[: text.index(key)].split())
+            for p in range(len(w)):
+                if w[p: p + len(phrase)] == phrase:
+                    share = sum(idf[x] for i, x in enumerate(words) if 0 <= p - k + i < len(w) and w[p - k + i] == x) / sum(idf[x] for x in words)
+                    best = max(best, share)
+                    labels |= {label} if share >= license_scan.ENOUGH else set()
+        out.append((len(w), sorted(p for p, _ in at), ",".join(sorted(labels)), best))
+    return out
+
+
+def test_license_scan_against_brute_force(spark):
+    r = random.Random(19)
+    pieces = [text for _, text, _ in license_scan.TEMPLATES] + [key for _, _, key in license_scan.TEMPLATES] + [p for p, _ in license_scan.BASE]
+    texts = []
+    for _ in range(160):
+        parts = []
+        for _ in range(r.randrange(0, 4)):
+            w = r.choice(pieces).split()
+            a = r.randrange(len(w)) if r.random() < 0.4 else 0
+            w = w[a: r.randrange(a, len(w)) + 1] if r.random() < 0.4 else w[a:]
+            for _ in range(r.choice([0, 0, 1, 4])):
+                w[r.randrange(len(w))] = r.choice(["foo", "the", "license", "of"])
+            parts += [" ".join(w), " ".join(r.choice(["the", "of", "is", "and", "license", "word", "software", "granted"]) for _ in range(r.randrange(12)))]
+        texts.append(r.choice([", ", " ", "-"]).join(parts).replace("software", "Software"))
+    texts += [None, "", texts[3], texts[3], "the of " * 20_000 + license_scan.MIT.upper() + " and is" * 20_000]
+    got = {x["id"]: x for x in license_scan.scan(spark.createDataFrame([*enumerate(texts)], DOCS).repartition(3)).collect()}
+    for i, (n, at, labels, score) in enumerate(brute_scan(texts)):
+        x = got[i]
+        assert (x["n_words"], sorted(x["base_places"]), x["labels"]) == (n, at, labels) and abs(x["score"] - score) < 1e-9, (i, texts[i], x)
+    assert got[len(texts) - 1]["labels"] == "mit" and len({x["labels"] for x in got.values()}) > 15
+
+
 def test_license_scan_votes_with_all_words(spark):
     texts = ["permission is hereby granted, free of charge, to any one getting a copy of this work"] + ["is hereby granted free of charge to any"] * 4 + ["other words"] * 16 + ["permission is hereby granted"]
     got = [x["labels"] for x in license_scan.scan(spark.createDataFrame([*enumerate(texts)], DOCS)).orderBy("id").collect()]
