@@ -2,15 +2,16 @@
 
 Equal vectors are one class with a count. In each pass a vector gets several random hashes (widths of a random
 projection); the vectors of a label are ordered lexicographically by the concatenated hashes, and neighbours in that order are
-compared: a window is the next ``WINDOW`` vectors, or a few more, since vectors with all hashes equal stay together. The links of all
-passes are united. A run of equal hashes that is longer than ``TILE`` (a large group of near copies) isn't cut off: it is
+compared: every vector meets those of its own block of ``WINDOW`` places and of the block before it, so all neighbours at most ``WINDOW`` places apart meet,
+wherever blocks are cut. Places are counted over the whole order: sums by range partition, then inside of it. Vectors with all hashes equal have one place and stay
+together. The links of all passes are united. A run of equal hashes that is longer than ``TILE`` (a large group of near copies) isn't cut off: it is
 dealt into tiles by a hash of the id, and every pair of tiles is compared by itself.
 
 The order is made of the distinct hashes with their counts, so that a large group is one row of it. The number of hashes grows with
-the logarithm of the largest label, so that a run of strangers stays shorter than a window, and the number of passes with it: at the
-threshold one hash separates two vectors with probability 0.067, a pair surely meets where all hashes of a pass agree, and
+the logarithm of the largest label, so that all strangers that share all hashes but the last are expected to be fewer than a block, and the number of passes with
+it: at the threshold one hash separates two vectors with probability 0.067, a pair meets where all hashes of a pass but the last agree, and
 passes are added until a pair at the threshold is missed in all of them with probability ``MISS`` at most (mostly less: neighbours
-needn't agree in all hashes, and pairs above the threshold agree more often).
+needn't agree even in those, and pairs above the threshold agree more often).
 
 A pair is counted in the first pass in which it meets, so counts need no list of pairs; what leaves a window is, per
 vector, its new links and the root of its group there.
@@ -26,12 +27,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import join_keys, stored, tidy
 from .graph import components
 
 WINDOW, TILE, MISS = 64, 1024, 1e-4
+#: Vectors of a block that has a next one, at most: the last run ends in the next.
+GUESTS = 3 * WINDOW
+#: What is compared together.
+GROUP = ("window", "p", "label", "d", "lo", "hi")
 #: Width of a hash in distances of unit vectors at the threshold; then two vectors at the threshold agree in a hash as often as AGREE, and strangers as often as BY_CHANCE.
 WIDTH, AGREE, BY_CHANCE = 12.0, 0.933, 0.56
 
@@ -39,7 +44,7 @@ WIDTH, AGREE, BY_CHANCE = 12.0, 0.933, 0.56
 def plan(largest: int) -> tuple[int, int]:
     """(hashes, passes) for labels of up to so many vectors."""
     hashes = 2 + max(2, math.ceil(math.log(max(1, largest / WINDOW)) / -math.log(BY_CHANCE)))
-    return hashes, math.ceil(math.log(MISS) / math.log(1 - AGREE**hashes))
+    return hashes, math.ceil(math.log(MISS) / math.log(1 - AGREE ** (hashes - 1)))
 
 
 def _codes(threshold: float, passes: int, hashes: int, seed: int = 7):
@@ -69,36 +74,22 @@ def _codes(threshold: float, passes: int, hashes: int, seed: int = 7):
     return tidy(run)
 
 
-def _windows(batches: Iterator) -> Iterator:
-    """Windows of runs in sorted order: (p, label, d, code, n) to (p, label, d, code, window, size)."""
+def _places(batches: Iterator) -> Iterator:
+    """Runs in sorted order, (p, label, d, code, n), with their partition and the number of vectors before them there."""
     import pyarrow as pa
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 40
-    group, runs, size = None, [], 0
+    part, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ends = np.cumsum(batch.column("n").to_numpy()) + before
+        starts = np.concatenate([[before], ends[:-1]])[: len(ends)]
+        before = int(ends[-1]) if len(ends) else before
+        more = [pa.array(np.full(len(ends), part), pa.int32()), pa.array(starts, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "part", "start"])
 
-    def close():
-        nonlocal number, runs, size
-        number += 1
-        rows, runs, size, total = runs, [], 0, size
-        p, label, d, code = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([
-            pa.array(p, pa.int32()), pa.array(label, pa.int64()), pa.array(d, pa.int32()), pa.array(code, pa.binary()),
-            pa.array([number] * len(rows), pa.int64()), pa.array([total] * len(rows), pa.int64())], names=["p", "label", "d", "code", "window", "size"])
 
-    for batch in batches:
-        for p, label, d, code, n in zip(*(batch.column(c).to_pylist() for c in ("p", "label", "d", "code", "n")), strict=True):
-            if runs and (group != (p, label, d) or size >= WINDOW):
-                yield close()
-            group = p, label, d
-            runs.append((p, label, d, code))
-            size += n
-    if runs:
-        yield close()
-
-
-def _links(x: np.ndarray, weight: np.ndarray, windows: np.ndarray, side: np.ndarray | None, threshold: float):
-    """(root: first row of each row's group; links: weight of the rows that it is linked with and has met in no earlier pass)."""
+def _links(x: np.ndarray, weight: np.ndarray, windows: np.ndarray, guest: np.ndarray, side: np.ndarray | None, threshold: float):
+    """(root: first row of each row's group; links: weight of the rows that it is linked with and has met in no earlier pass). Guests don't meet each other."""
     x = x / np.abs(x).max(axis=1)[:, None]
     norm = np.sqrt((x * x).sum(axis=1))
     cos = (x @ x.T) / norm[:, None] / norm
@@ -106,6 +97,7 @@ def _links(x: np.ndarray, weight: np.ndarray, windows: np.ndarray, side: np.ndar
         cos[i, j] = (x[i] * x[j]).sum() / (norm[i] * norm[j])
     near = (cos >= threshold) & (cos.T >= threshold)
     np.fill_diagonal(near, False)
+    near &= ~(guest[:, None] & guest)
     if side is not None:
         near &= side[:, None] != side
     root = np.arange(len(x))
@@ -120,12 +112,12 @@ def _links(x: np.ndarray, weight: np.ndarray, windows: np.ndarray, side: np.ndar
     new = np.empty(len(i), bool)
     for a in range(0, len(i), 1 << 16):
         b = slice(a, a + (1 << 16))
-        new[b] = ~(windows[i[b]] == windows[j[b]]).any(axis=1)
+        new[b] = ~(np.abs(windows[i[b]] - windows[j[b]]) <= 1).any(axis=1)
     return root, np.bincount(i[new], weights=weight[j[new]], minlength=len(x)).astype(np.int64)
 
 
 def _compare(threshold: float):
-    """Rows sorted by (window, lo, hi); each of these groups is compared."""
+    """Rows sorted by ``GROUP``; each of these groups is compared."""
     def groups(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -135,8 +127,8 @@ def _compare(threshold: float):
                 batch = pa.concat_batches([rest, batch])
             if not batch.num_rows:
                 continue
-            w, lo, hi = (batch.column(c).to_numpy() for c in ("window", "lo", "hi"))
-            cut = np.flatnonzero((w[1:] != w[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in GROUP])
+            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             for a, b in zip([0, *cut.tolist()], cut.tolist(), strict=False):
                 yield batch.slice(a, b - a)
             rest = batch.slice(int(cut[-1]) if len(cut) else 0)
@@ -152,7 +144,7 @@ def _compare(threshold: float):
             x = rows.column("v").flatten().to_numpy().astype(np.float64).reshape(rows.num_rows, -1)
             windows = rows.column("windows").flatten().to_numpy().reshape(rows.num_rows, -1)[:, : rows.column("p")[0].as_py()]
             lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-            root, links = _links(x, rows.column("n").to_numpy(), windows, None if lo == hi else rows.column("own").to_numpy(), threshold)
+            root, links = _links(x, rows.column("n").to_numpy(), windows, rows.column("guest").to_numpy(zero_copy_only=False), None if lo == hi else rows.column("own").to_numpy(), threshold)
             keep = (links > 0) | (root != np.arange(len(root)))
             if keep.any():
                 ids = rows.column("rep").to_numpy()
@@ -178,15 +170,26 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     runs = codes.groupBy(*key).agg(F.count("*").alias("n"))
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = runs.repartitionByRange(n_parts, *key).sortWithinPartitions(*key)
-    windows = stored(runs.mapInArrow(tidy(_windows), "p int, label long, d int, code binary, window long, size long"))
-    placed = join_keys(codes, windows, key).select("rep", "p", "window", "size")
-    placed = stored(placed.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("p", "window", "size"))).alias("x")))  # an entry for each pass
-    ready = reps.select("rep", "n", "v").join(placed, "rep").select("rep", "n", "v", F.col("x.window").alias("windows"), F.explode("x").alias("y"))
-    ready = ready.select("rep", "n", "v", "windows", "y.*").where("size > 1")
-    parts = F.ceil(F.col("size") / TILE).cast("int")
+    runs = stored(runs.mapInArrow(tidy(_places), "p int, label long, d int, code binary, n long, part int, start long"))
+    parts = runs.groupBy("part").agg(F.sum("n").alias("n"))  # a row a partition
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    runs = runs.join(F.broadcast(parts), "part").withColumn("window", F.floor((F.col("first") + F.col("start")) / WINDOW))
+    block = ["p", "label", "d", "window"]
+    sizes = runs.groupBy(*block).agg(F.sum("n").alias("size"))
+    after = sizes.select("p", "label", "d", (F.col("window") - 1).alias("window"), F.col("size").alias("size_after"))
+    windows = stored(runs.select(*key, "window").join(sizes, block).join(after, block, "left"))
+    placed = join_keys(codes, windows, key).select("rep", "p", "window", "size", "size_after")
+    placed = stored(placed.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("p", "window", "size", "size_after"))).alias("x")))  # an entry for each pass
+    one = ["rep", "label", "d", "n", "v"]
+    ready = reps.withColumn("d", F.size("v")).join(placed, "rep").select(*one, F.col("x.window").alias("windows"), F.explode("x").alias("y"))
+    at = lambda window, size, guest: F.struct(window.alias("window"), size.alias("size"), F.lit(guest).alias("guest"))
+    own, after = at(F.col("y.window"), F.col("y.size"), False), at(F.col("y.window") + 1, F.col("y.size_after"), True)
+    ready = ready.withColumn("z", F.explode(F.array_compact(F.array(own, F.when(F.col("y.size_after").isNotNull(), after)))))
+    ready = ready.select(*one, "windows", "y.p", "z.*")
+    parts = F.ceil((F.col("size") + GUESTS) / TILE).cast("int")
     ready = ready.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     ready = ready.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "size")
-    ready = ready.repartition("window", "lo", "hi").sortWithinPartitions("window", "lo", "hi", "rep")
+    ready = ready.repartition("window", "lo", "hi").sortWithinPartitions(*GROUP, "rep")
     found = stored(ready.mapInArrow(_compare(threshold), "rep long, root long, links long"))
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
