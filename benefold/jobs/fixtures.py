@@ -4,7 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_TEXT = lambda x: f"CAST({x} AS STRING)"
+_A, _B = "(o_custkey % 9 + 1)", "(o_custkey % 9 + 1 + o_orderkey % 4)"
+#: A text for each rule of ages, in SQL, with the bounds that it says (a, b: numbers in it) and the rule's name.
+AGE_KINDS = (
+    (f"{_TEXT(_A)} || '歳から' || {_TEXT(_B + ' + 1')} || '歳未満'", "a * 12", "b * 12 + 11", "range_years_exclusive"), (f"{_TEXT(_A)} || '歳〜' || {_TEXT(_B)} || '歳'", "a * 12", "b * 12 + 11", "range_years"),
+    (f"'生後' || {_TEXT(_A)} || 'か月から' || {_TEXT(_B)} || 'ヵ月'", "a", "b", "range_months"), (f"'生後' || {_TEXT(_A + ' * 30')} || '日から' || {_TEXT(_B + ' * 30')} || '日の赤ちゃん'", "a", "b", "range_days"),
+    (f"'小学校' || {_TEXT(_A)} || '年生から中学3年生'", "60 + a * 12", "179", "range_grades"), (f"'小学校' || {_TEXT(_A)} || '年生'", "60 + a * 12", "71 + a * 12", "single_grade"),
+    ("'義務教育就学期の児童'", "72", "191", "stage_compulsory_education"), ("'小学校入学前の幼児'", "0", "71", "stage_preschool"), ("'小・中学校'", "72", "179", "stage_elementary_juniorhigh"),
+    ("'中・高校'", "144", "215", "stage_juniorhigh_highschool"), ("'18歳に達する日以後の最初の3月31日まで'", "0", "227", "stage_until18fy"), (f"{_TEXT(_A)} || '歳になった年度末まで'", "0", "a * 12 + 11", "stage_until_fiscal_year_end"),
+    (f"'満' || {_TEXT(_A)} || '歳未満'", "0", "a * 12 - 1", "upper_years_exclusive"), (f"{_TEXT(_A)} || '歳まで'", "0", "a * 12 + 11", "upper_years"), (f"{_TEXT(_A)} || '歳以上の方'", "a * 12", "NULL", "lower_years"),
+    (f"'生後' || {_TEXT(_A)} || 'か月未満'", "0", "a - 1", "upper_months"), (f"{_TEXT(_A)} || '～' || {_TEXT(_B)} || 'か月児健診'", "a", "b", "range_months_child"),
+    (f"{_TEXT(_A)} || '～' || {_TEXT(_B)} || '歳児クラス'", "a * 12", "b * 12 + 11", "range_years_child"), (f"{_TEXT(_A)} || '歳6か月児健診'", "a * 12 + 6", "a * 12 + 11", "child_age_ym"),
+    (f"'おおむね' || {_TEXT(_A)} || 'か月のお子さん'", "a", "a + 2", "child_age_months"), (f"{_TEXT(_A)} || '歳児健康診査'", "a * 12", "a * 12 + 11", "child_age_years"), ("'高校生等'", "180", "215", "stage_highschool"),
+    ("'中学生'", "144", "179", "stage_juniorhigh"), ("'小学生'", "72", "143", "stage_elementary"), ("'新生児'", "0", "1", "stage_newborn"), ("'乳幼児'", "0", "71", "stage_infant_toddler"), ("'乳児'", "0", "11", "stage_infant"),
+    ("'幼児'", "12", "71", "stage_toddler"), (f"'生後' || {_TEXT(_A + ' * 30 + 1')} || '日以内の方'", "0", "a", "upper_days"), ("'区民の方'", "NULL", "NULL", "NULL"),
+)
 SQL = {
+    "age_texts": f"""
+        SELECT o_orderkey AS id, CAST(o_orderkey % {len(AGE_KINDS)} AS INT) AS kind, CAST({_A} AS INT) AS a, CAST({_B} AS INT) AS b,
+          CASE o_orderkey % {len(AGE_KINDS)} {' '.join(f'WHEN {k} THEN {text}' for k, (text, *_) in enumerate(AGE_KINDS))} END AS text
+        FROM orders""",
     "benefits": """
         SELECT 'psid-' || CAST(o_orderkey AS STRING) AS benefit_id, o_orderkey AS record_seq, o_custkey AS custkey,
           '13' || lpad(CAST(o_custkey % 63 AS STRING), 4, '0') AS area_code, '区' || CAST(o_custkey % 63 AS STRING) AS area_name,

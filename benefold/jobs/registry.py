@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import age, documents as D, income, refs, text as T
 from ..operators import edges, filters as P, nodes, quality, serve, survey
+from ..sources import publish
+from ..sources.registry import SCHEMA, read_registry
+from ..sources.shared import fresh_dir
 from . import explain
-from .fixtures import TEXTS, benefits, benefits_with_texts, cte, fixture, profiles
+from .fixtures import AGE_KINDS, TEXTS, benefits, benefits_with_texts, cte, fixture, profiles
 
 FLAGSHIP = "match"
 QUERIES: dict = {}
@@ -315,6 +320,16 @@ def age_clauses(spark, d):
     return texts.select("id", "text").join(known, "text").select("id", "x.lo", "x.hi", "x.rule")
 
 
+_EACH = lambda k, kind: "CAST(CASE kind " + " ".join(f"WHEN {i} THEN {x[k]}" for i, x in enumerate(AGE_KINDS)) + f" END AS {kind})"
+
+
+@query("age_rules_each", cte("age_texts") + f"SELECT id, {_EACH(1, 'INT')} AS lo, {_EACH(2, 'INT')} AS hi, CASE kind " + " ".join(f"WHEN {i} THEN '{x[3]}'" for i, x in enumerate(AGE_KINDS[:-1])) + " END AS rule FROM age_texts")
+def age_rules_each(spark, d):
+    texts = fixture(spark, d, "age_texts")
+    known = texts.select("text").distinct().withColumn("x", age.infer_age_clauses(F.col("text")))
+    return texts.select("id", "text").join(known, "text").select("id", "x.lo", "x.hi", "x.rule")
+
+
 @query("income_rules", cte("income_texts") + """SELECT id, CASE kind WHEN 0 THEN a * 10000 WHEN 1 THEN a * 1000 WHEN 2 THEN a * 10000 END AS max_yen, CASE kind WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true END AS max_inclusive,
 CASE kind WHEN 0 THEN 'income' WHEN 1 THEN 'tax_levy' WHEN 2 THEN 'salary' END AS basis, CASE kind WHEN 0 THEN 'threshold_upper' WHEN 1 THEN 'threshold_upper' WHEN 2 THEN 'threshold_lower_excluded' WHEN 3 THEN 'tax_non_taxable' WHEN 4 THEN 'welfare_required' WHEN 6 THEN 'welfare_excluded' END AS rule,
 coalesce(kind = 3, false) AS non_taxable, kind = 4 AS welfare FROM income_texts""")
@@ -576,10 +591,9 @@ def display_links(spark, d):
 @query("benefit_rows", """SELECT 'psid-' || o_orderkey AS benefit_id, '手当' || o_custkey % 100 AS title, '131016' AS area_code, '千代田区' AS area_name,
 CASE WHEN o_orderkey % 3 = 0 THEN CAST((o_custkey % 9 + 1) * 12 + 2 AS INT) WHEN o_orderkey % 3 = 1 THEN 0 END AS lo, CASE WHEN o_orderkey % 3 = 0 THEN CAST((o_custkey % 9 + 1) * 12 + 35 AS INT) WHEN o_orderkey % 3 = 1 THEN CAST((o_custkey % 9 + 1) * 12 - 1 AS INT) END AS hi,
 CASE o_orderkey % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'inferred' ELSE 'unknown' END AS age_source, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 90 + 10) * 10000 END AS income_max_yen,
-'費用は無料 案内' AS cost_text, true AS is_free, 'https://a.example/' || o_orderkey || '.html' AS link, '088' AS target_codes, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS update_date,
+'費用は無料 案内等の' AS cost_text, true AS is_free, 'https://a.example/' || o_orderkey || '.html' AS link, '088' AS target_codes, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS update_date,
 'SCHEME_' || substr(md5('制度' || o_custkey % 300), 1, 12) AS scheme_id FROM orders""")
 def benefit_rows(spark, d):
-    from ..sources.registry import SCHEMA
     from .rows import build_benefits
 
     o = spark.read.parquet(f"{d}/orders.parquet")
@@ -594,4 +608,131 @@ def benefit_rows(spark, d):
     records = o.select(k.alias("record_seq"), F.from_json(F.to_json(record), SCHEMA).alias("r")).select("record_seq", "r.*")
     b = build_benefits(records)
     return b.select("benefit_id", "title", "area_code", "area_name", F.col("effective_min_age_months").alias("lo"), F.col("effective_max_age_months").alias("hi"), "age_source", "income_max_yen",
-                    F.replace("cost_text", F.lit("等の"), F.lit("")).alias("cost_text"), "is_free", F.col("embedded_links")[0]["uri"].alias("link"), F.array_join("target_codes", ",").alias("target_codes"), F.col("update_date").cast("string").alias("update_date"), "scheme_id")
+                    "cost_text", "is_free", F.col("embedded_links")[0]["uri"].alias("link"), F.array_join("target_codes", ",").alias("target_codes"), F.col("update_date").cast("string").alias("update_date"), "scheme_id")
+
+
+def _columns_record(o):
+    """A record with a value of its own in every field that the row job reads, and the row's columns in SQL."""
+    from . import rows as J
+
+    key = F.col("o_orderkey").cast("string")
+    value = lambda name: F.concat(F.lit(f" {name}-"), key, F.lit("　"))
+    link = lambda name: F.concat(F.lit(f"前{name} 表;https://a.example/{name}/"), key, F.lit(".html等"))
+    fields: dict = {"psid": F.concat(F.lit("psid-"), key), "title": value("title"), "category": value("category"), "class": F.lit(7), "electronicSubmission": F.lit(True), "useConsiderationFlag": F.lit(False)}
+    for source, cell in [(s, value(name)) for name, s in J.CLEANED.items()] + [(s, link(name)) for name, s in J.LINKED if s]:
+        outer, _, inner = source.rpartition(".")
+        (fields.setdefault(outer, {}) if outer else fields)[inner] = cell
+    fields["summary"] = link("summary")
+    day, hour = F.date_format("o_orderdate", "yyyy/M/d"), F.lit("9:05")
+    for period in ("implementationPeriod", "procedurePeriod"):
+        fields[period] = {"fromYMD": day, "toYMD": F.lit("随時"), "fromHM": hour, "toHM": F.lit(" 夜 "), "conditions": value(period)}
+    fields["utilizationTime"] |= {"fromHM": hour, "toHM": F.lit("17:30"), "conditions": link("utilization_conditions")}
+    fields["institutionName"] = {"canonicalName": value("canonical"), "shortName": value("short")}
+    fields["basicInformation"] |= {"institutionType": F.lit(1)}
+    fields["area"] = {"areaCode": F.lit("131016;千代田区")}
+    fields["tag"] = {"categoryCode": F.array(F.lit("003,004")), "targetCode": F.array(F.lit(" 088")), "contentsCode": F.array(F.lit("999"))}
+    fields["contact"] |= {"zipCode": F.lit("１００００１３")}
+    fields["updateDate"] = fields["odInformation"]["updateDate"] = day
+    pair = lambda t, u: F.struct(t.alias("title"), u.alias("uri"))
+    fields["relatedLink"] = F.array(pair(value("related"), F.concat(F.lit("https://b.example/"), key)), pair(F.lit("x"), F.lit("")))
+    fields["formLink"] = F.array(pair(F.lit(" "), F.lit("https://b.example/form")))
+    fields["target"] |= {"greaterThan": F.struct(F.lit(2).alias("targetAge")), "lessThanOrEqualTo": F.struct(F.lit(30).alias("targetAgeOfMonths"))}
+    made = F.struct(*(F.struct(*(c.alias(k) for k, c in x.items())).alias(name) if isinstance(x, dict) else x.alias(name) for name, x in fields.items()))
+    return o.select(F.col("o_orderkey").alias("record_seq"), F.from_json(F.to_json(made), SCHEMA).alias("r")).select("record_seq", "r.*")
+
+
+def _columns_sql() -> str:
+    from . import rows as J
+
+    key, text = "CAST(o_orderkey AS VARCHAR)", lambda x: "NULL" if x is None else f"'{x}'"
+    cells = {name: f"'{name}-' || {key}" for name in J.CLEANED} | {name: f"'前{name} 表等'" for name, _ in J.LINKED}
+    linked = [f"'前{name} 表=https://a.example/{name}/' || {key} || '.html'" for name, _ in J.LINKED]
+    day = "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)"
+    shown = "CAST(year(o_orderdate) AS VARCHAR) || '/' || month(o_orderdate) || '/' || day(o_orderdate)"
+    for prefix, source in (("implementation_period", "implementationPeriod"), ("procedure_period", "procedurePeriod")):
+        cells |= {f"{prefix}_from_date": day, f"{prefix}_from_date_text": shown, f"{prefix}_to_date": "NULL", f"{prefix}_to_date_text": "'随時'", f"{prefix}_from_time": "'09:05'", f"{prefix}_from_time_text": "'9:05'",
+                  f"{prefix}_to_time": "NULL", f"{prefix}_to_time_text": "'夜'", f"{prefix}_conditions": f"'{source}-' || {key}"}
+    link = lambda name: f"'前{name} 表;https://a.example/{name}/' || {key} || '.html等'"
+    cells |= {"summary_raw": link("summary"), "description_raw": link("description"), "utilization_raw": link("utilization"), "update_date_text": shown, "utilization_from_time_text": "'9:05'", "utilization_to_time_text": "'17:30'"}
+    cells |= {k: text(v) for k, v in {
+        "institution_type": "1", "institution_type_label": "地方公共団体", "class_code": "7", "min_age_months": "25", "max_age_months": "30", "effective_min_age_months": "25", "effective_max_age_months": "30", "inferred_min_age_months": None,
+        "inferred_max_age_months": None, "age_inference_rule": None, "age_source": "explicit", "area_code": "131016", "area_name": "千代田区", "is_prenatal": "false", "contact_zip": "100-0013", "electronic_submission": "true",
+        "use_consideration_flag": "false", "utilization_from_time": "09:05", "utilization_to_time": "17:30", "category_codes": "003,004", "target_codes": "088", "content_codes": "999", "category_code_labels": "予防接種,保育・幼児教育",
+        "target_code_labels": "ひとり親家庭", "content_code_labels": "分類999", "form_links": "=https://b.example/form", "has_free_text_conditions": "true", "is_free": "false", "income_max_yen": None, "income_max_inclusive": None,
+        "income_basis": None, "income_rule": None, "income_evidence": None, "requires_non_taxable": "false", "requires_taxable": "false", "requires_welfare": "false", "excludes_welfare": "false"}.items()}
+    cells |= {"benefit_id": f"'psid-' || {key}", "record_seq": key, "title": f"'title-' || {key}", "short_name": f"'short-' || {key}", "canonical_name": f"'canonical-' || {key}", "category": f"'category-' || {key}",
+              "update_date": day, "od_update_date": day, "related_links": f"'related-' || {key} || '=https://b.example/' || {key}", "embedded_links": " || ',' || ".join(linked),
+              "scheme_id": f"'SCHEME_' || substr(md5('canonical-' || {key}), 1, 12)"}
+    return "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {name}" for name, c in cells.items()) + " FROM orders"
+
+
+@query("benefit_columns", _columns_sql())
+def benefit_columns(spark, d):
+    from .rows import build_benefits
+
+    b = build_benefits(_columns_record(spark.read.parquet(f"{d}/orders.parquet")))
+    pairs = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.coalesce(x["title"], F.lit("")), F.lit("="), x["uri"])), ",")
+    shown = lambda name, kind: pairs(F.col(name)) if name.endswith("_links") else F.array_join(name, ",") if kind.startswith("array") else F.col(name).cast("string")
+    return b.select(*(shown(name, kind).alias(name) for name, kind in b.dtypes))
+
+
+# --- files, versions, keys ------------------------------------------------------------------------------------------------
+
+
+@query("record_order", """SELECT record_seq, id, first_value(record_seq) OVER (PARTITION BY customer ORDER BY record_seq) AS first_seq FROM (
+SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS record_seq, 'o' || o_orderkey AS id, o_custkey AS customer FROM orders)""")
+def record_order(spark, d):
+    """Orders as JSON lines in files of very different sizes, whose names follow their order, read back with their numbers."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    top, at = o.agg(F.max("o_orderkey")).first()[0] or 0, fresh_dir(spark, "records")
+    rows = o.select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("cost"), F.repeat(F.lit("x"), (F.col("o_orderkey") % 300).cast("int")).alias("summary"))
+    for k, (low, high) in enumerate(((0, top // 50), (top // 50, top // 2), (top // 2, top // 2 + 3), (top // 2 + 3, top))):
+        part = rows.where((F.col("o_orderkey") > low) & (F.col("o_orderkey") <= high) | ((F.col("o_orderkey") <= 0) & F.lit(k == 0)))
+        part.repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey").write.json(f"{at}/{k}")
+    back = read_registry(spark, f"{at}/*")
+    first = F.first("record_seq").over(Window.partitionBy("cost").orderBy("record_seq"))
+    return back.select("record_seq", "id", first.alias("first_seq"))
+
+
+@query("versions", cte("benefits") + """, n AS (SELECT count(*) AS whole, count(*) FILTER (record_seq % 2 = 0) AS half, count(DISTINCT area_code) AS areas FROM benefits)
+SELECT 'first' AS step, half AS benefits, areas, 1 AS entry FROM n UNION ALL SELECT 'second', whole, areas, 2 FROM n UNION ALL SELECT 'refused', whole, areas, 2 FROM n UNION ALL SELECT 'restored', half, areas, 3 FROM n""")
+def versions(spark, d):
+    """What readers see while versions are published, refused and restored."""
+    b, root = benefits(spark, d).select("benefit_id", "record_seq", "area_code", "title"), fresh_dir(spark, "versions")
+    areas, seen = b.select("area_code").distinct(), []
+
+    def look(step):
+        n, version = publish.last_entry(spark, root), publish.current(spark, root)
+        rows = publish.read(spark, root, "benefits", version).agg(F.count("*").alias("benefits"))
+        seen.append(rows.join(publish.read(spark, root, "areas", version).agg(F.count("*").alias("areas"))).select(F.lit(step).alias("step"), "benefits", "areas", F.lit(n).alias("entry")))
+
+    first = publish.publish(spark, {"benefits": b.where("record_seq % 2 = 0"), "areas": areas}, root)
+    look("first")
+    publish.publish(spark, {"benefits": b, "areas": areas}, root)
+    look("second")
+    late = publish.stage({"benefits": b.limit(0), "areas": areas}, root)
+    try:
+        publish.release(spark, root, late, ["benefits", "areas"], after=1)  # saw the first version only
+    except publish.Conflict:
+        look("refused")
+    publish.restore(spark, root, first, ["benefits", "areas"])
+    look("restored")
+    return functools.reduce(lambda x, y: x.union(y), seen)
+
+
+_FAULTS = """, b AS (SELECT benefit_id FROM benefits UNION ALL SELECT benefit_id FROM benefits WHERE record_seq % 50 = 0 UNION ALL SELECT NULL FROM benefits WHERE record_seq % 97 = 0),
+  r AS (SELECT benefit_id, doc_id FROM requires_doc UNION ALL SELECT benefit_id || 'x', doc_id FROM requires_doc WHERE doc_id = 'DOC_1' UNION ALL SELECT benefit_id, doc_id FROM requires_doc WHERE doc_id = 'DOC_2')"""
+
+
+@query("graph_problems", cte("benefits", "requires_doc", "documents_") + _FAULTS + """SELECT * FROM (
+  SELECT 'benefits' AS "table", 'benefit_id' AS "column", 'repeated key' AS problem, CAST(sum(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM b WHERE benefit_id IS NOT NULL GROUP BY benefit_id HAVING count(*) > 1)
+  UNION ALL SELECT 'benefits', 'benefit_id', 'null', count(*) FROM b WHERE benefit_id IS NULL
+  UNION ALL SELECT 'requires_doc', 'benefit_id,doc_id', 'repeated key', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM r GROUP BY benefit_id, doc_id HAVING count(*) > 1)
+  UNION ALL SELECT 'requires_doc', 'benefit_id', 'meets no node', count(*) FROM r WHERE benefit_id NOT IN (SELECT benefit_id FROM b WHERE benefit_id IS NOT NULL)
+  UNION ALL SELECT 'requires_doc', 'doc_id', 'meets no node', count(*) FROM r WHERE doc_id NOT IN (SELECT doc_id FROM documents_)) WHERE n > 0""")
+def graph_problems(spark, d):
+    b, r, docs = benefits(spark, d), fixture(spark, d, "requires_doc"), fixture(spark, d, "documents_")
+    ids = b.select("benefit_id").union(b.where("record_seq % 50 = 0").select("benefit_id")).union(b.where("record_seq % 97 = 0").select(F.lit(None).cast("string")))
+    uses = r.union(r.where("doc_id = 'DOC_1'").select(F.concat("benefit_id", F.lit("x")), "doc_id")).union(r.where("doc_id = 'DOC_2'"))
+    tables = {"benefits": ids, "requires_doc": uses, "documents_": docs}
+    return quality.integrity(tables, (("requires_doc", "benefit_id", "benefits", "benefit_id"), ("requires_doc", "doc_id", "documents_", "doc_id")), (("benefits", ("benefit_id",)), ("requires_doc", ("benefit_id", "doc_id"))))
