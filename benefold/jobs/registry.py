@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import age, documents as D, income, refs, text as T
 from ..operators import edges, filters as P, nodes, quality, serve, survey
-from ..sources import publish
+from ..sources import cache_log, publish
 from ..sources.registry import SCHEMA, read_registry
 from ..sources.shared import fresh_dir
 from . import explain
@@ -720,6 +720,36 @@ def versions(spark, d):
     return functools.reduce(lambda x, y: x.union(y), seen)
 
 
+_LOG = """WITH log AS (SELECT sha256(user_id || '-' || event_type) AS cache_key, user_id, event_type, ts, event_id, value FROM events)"""
+
+
+def _logged(spark, d):
+    """Events as results by key: appended in three batches, two of them folded, with a time that tells all rows apart."""
+    key = F.sha2(F.concat_ws("-", "user_id", "event_type"), 256)
+    log = spark.read.parquet(f"{d}/events.parquet").select(key.alias("cache_key"), F.struct("ts", "event_id").alias("generated_at"), "user_id", "event_type", "value")
+    root, k = fresh_dir(spark, "log"), F.col("generated_at.event_id") % 3
+    for n in (2, 0):
+        cache_log.append(log.where(k == n), root)
+    cache_log.compact(spark, root)
+    cache_log.append(log.where(k == 1), root)
+    return log, root
+
+
+@query("cached_results", _LOG + "SELECT cache_key, arg_max(value, (ts, event_id)) AS value FROM log WHERE user_id % 5 = 0 GROUP BY 1")
+def cached_results(spark, d):
+    log, root = _logged(spark, d)
+    return cache_log.hits(log.where("user_id % 5 = 0").select("cache_key"), root).select("cache_key", "value")
+
+
+@query("log_misses", _LOG + """, asked AS (SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (SELECT DISTINCT event_type FROM events) UNION ALL SELECT DISTINCT -user_id, event_type FROM events)
+SELECT user_id, event_type FROM asked WHERE sha256(user_id || '-' || event_type) NOT IN (SELECT cache_key FROM log)""")
+def log_misses(spark, d):
+    log, root = _logged(spark, d)
+    kinds = F.broadcast(log.select("event_type").distinct().agg(F.collect_set("event_type").alias("k")))  # the few kinds of events
+    asked = log.select("user_id").distinct().join(kinds).select("user_id", F.explode("k").alias("event_type")).union(log.select(-F.col("user_id"), "event_type").distinct())
+    return cache_log.misses(asked.withColumn("cache_key", F.sha2(F.concat_ws("-", "user_id", "event_type"), 256)), root).select("user_id", "event_type")
+
+
 _FAULTS = """, b AS (SELECT benefit_id FROM benefits UNION ALL SELECT benefit_id FROM benefits WHERE record_seq % 50 = 0 UNION ALL SELECT NULL FROM benefits WHERE record_seq % 97 = 0),
   r AS (SELECT benefit_id, doc_id FROM requires_doc UNION ALL SELECT benefit_id || 'x', doc_id FROM requires_doc WHERE doc_id = 'DOC_1' UNION ALL SELECT benefit_id, doc_id FROM requires_doc WHERE doc_id = 'DOC_2')"""
 

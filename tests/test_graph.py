@@ -1,5 +1,6 @@
 """Edges against brute force, matching, timeline, quality gate, publishing; each counter-test breaks a plausible mistake."""
 
+import hashlib
 import json
 import random
 import re
@@ -13,7 +14,7 @@ from benefold.jobs import publish_registry as J
 from benefold.jobs.rows import build_benefits, build_tables
 from benefold.functions import refs
 from benefold.operators import edges, filters, nodes, quality, serve, survey
-from benefold.sources import publish as P, registry as R
+from benefold.sources import cache_log as L, publish as P, registry as R
 from benefold.sources.schema import EDGES, KEYS, typed
 
 
@@ -266,6 +267,38 @@ def test_two_publications_at_once(spark, tmp_path):
     P.PATIENCE = kept
 
 
+def test_cache_log(spark, tmp_path):
+    """Appended, folded and read meanwhile: the last row of each key, nothing twice, and only the files of asked keys."""
+    r, root, rows = random.Random(21), str(tmp_path / "log"), []
+    key = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    assert L.read(spark, root) is None and L.compact(spark, root) is None
+    schema = "cache_key string, generated_at long, result string"
+    asked = spark.createDataFrame([(key(k),) for k in range(0, 600, 7)], "cache_key string")
+    assert L.misses(asked, root).count() == asked.count()
+    for batch in range(4):
+        new = [(key(r.randrange(400)), batch * 1000 + i, f"{batch}-{i}") for i in range(200)] + [(key(3), batch * 1000 + 500, "hot")] * 50
+        rows += new
+        L.append(spark.createDataFrame(new, schema).repartition(2), root)
+        if batch in (1, 2):
+            L.compact(spark, root)
+        want = {}
+        for k, at, result in rows:
+            want[k] = max(want.get(k, (-1, "")), (at, result))
+        got = {x["cache_key"]: (x["generated_at"], x["result"]) for x in L.hits(asked, root).collect()}
+        every = {key(k) for k in range(0, 600, 7)}
+        assert got == {k: v for k, v in want.items() if k in every}
+        assert {x[0] for x in L.misses(asked, root).collect()} == every - set(want)
+    few = L.read(spark, root, [key(3)[:2]])
+    assert {x[0] for x in few.select("bucket").distinct().collect()} == {key(3)[:2]}
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert files(few) <= 6 < files(L.read(spark, root))
+    (tmp_path / "log/batch=torn").mkdir()  # a batch that is being written
+    assert L.read(spark, root).count() == L.read(spark, root).count() and len(L._batches(spark, root)) == 4
+    entry = P.last_entry(spark, root)
+    with pytest.raises(P.Conflict):
+        P.release(spark, root, "x", ["log"], after=entry - 1)
+
+
 def test_publish_restore_clone(spark, tmp_path):
     root, now = str(tmp_path / "dev"), datetime(2024, 1, 1, tzinfo=UTC)
     first = P.publish(spark, {"a": spark.range(3), "b": spark.range(2)}, root, now)
