@@ -342,6 +342,34 @@ def test_records_are_numbered_by_file_and_line(spark, tmp_path):
     assert rows.count() == 3001 and build_benefits(rows).select("summary").collect()[0][0] == "first" and rows.where("record_seq = 0").first()["summary"] == "first"
 
 
+def test_documents_are_read_in_splits(spark, tmp_path):
+    """Arrays and envelopes, in splits down to 100 bytes, against a JSON parser: braces, brackets, quotes and backslashes in strings, nested objects, elements that are no objects."""
+    r = random.Random(31)
+    text = lambda: "".join(r.choice(["}", "{", "[", "]", '"', "\\", ",", ":", "a", "漢", " ", "\n", '"data": [', "},{"]) for _ in range(r.randrange(12)))
+    one = lambda i: {"id": f"i{i}", "summary": text(), "target": {"targetPersons": text(), "greaterThan": {"targetAge": 1}}, "relatedLink": [{"title": text(), "uri": "u"}] * r.randrange(3)}
+    files = []
+    for n in range(3):
+        elements = [one(f"{n}-{i}") if r.random() < 0.8 else r.choice([1, "x},{", None, "y, z"]) for i in range(60)] + [one(f"{n}-last")]
+        files.append(elements)
+        (tmp_path / f"a{n}").write_text(json.dumps(elements, ensure_ascii=r.random() < 0.5, indent=r.choice([None, 1])), encoding="utf-8")
+        whole = {"meta": {"records": text(), "n": [1, {"a": 2}]}, "note": text(), "data": elements, "more": [{"id": "no"}], "items": [{"id": "neither"}]}
+        (tmp_path / f"e{n}").write_text(json.dumps(whole, ensure_ascii=r.random() < 0.5), encoding="utf-8")
+    (tmp_path / "e3").write_text(json.dumps(one("single")) + "\n")
+    want, before = [], 0
+    for elements in files:
+        want += [(before + k, x["id"], x["summary"], x["target"]["targetPersons"], len(x["relatedLink"])) for k, x in enumerate(elements) if isinstance(x, dict)]
+        before += len(elements)
+    for split in ("100", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        for layout in ("array", "envelope"):
+            got = R.read_registry(spark, str(tmp_path / f"{layout[0]}*"), layout).select("record_seq", "id", "summary", "target.targetPersons", F.size("relatedLink")).orderBy("record_seq").collect()
+            got = [tuple(x) for x in got]
+            assert got[: len(want)] == want and [x[1] for x in got[len(want):]] == (["isingle"] if layout == "envelope" else []), (split, layout)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_registry_layouts(spark, tmp_path):
     records = [{"id": "x", "basicInformation": {"psid": "p"}, "belongings": "印鑑"}, "no object", {"basicInformation": {"psid": "q"}}]
     for name, text in (("array", json.dumps(records)), ("envelope", json.dumps({"items": records}))):
