@@ -20,7 +20,24 @@ AGE_KINDS = (
     ("'中学生'", "144", "179", "stage_juniorhigh"), ("'小学生'", "72", "143", "stage_elementary"), ("'新生児'", "0", "1", "stage_newborn"), ("'乳幼児'", "0", "71", "stage_infant_toddler"), ("'乳児'", "0", "11", "stage_infant"),
     ("'幼児'", "12", "71", "stage_toddler"), (f"'生後' || {_TEXT(_A + ' * 30 + 1')} || '日以内の方'", "0", "a", "upper_days"), ("'区民の方'", "NULL", "NULL", "NULL"),
 )
+_N = "(o_custkey % 800 + 100)"
+#: A text for each rule of incomes, in SQL, with yen, whether inclusive, basis, rule and evidence (n: the number in it; t: the text), and the flag that it sets.
+INCOME_KINDS = (
+    (f"'世帯の所得が' || {_TEXT(_N)} || '万円未満の方'", "n * 10000", "false", "'income'", "threshold_upper", "t", ""), (f"'市民税所得割額' || {_TEXT(_N)} || '千円以下'", "n * 1000", "true", "'tax_levy'", "threshold_upper", "t", ""),
+    (f"'所得税額が' || {_TEXT(_N)} || '円以内の世帯'", "n", "true", "'income_tax'", "threshold_upper", "t", ""), (f"'総収入' || {_TEXT(_N)} || '万円を超えない方'", "n * 10000", "true", "'salary'", "threshold_upper", "t", ""),
+    (f"'年収' || {_TEXT(_N)} || '万円を超える方は対象外'", "n * 10000", "true", "'salary'", "threshold_lower_excluded", "t", ""), (f"'所得が' || {_TEXT(_N)} || '万円以上の方は除く'", "n * 10000", "false", "'income'", "threshold_lower_excluded", "t", ""),
+    (f"'課税標準額が' || {_TEXT(_N)} || '万円以下'", "n * 10000", "true", "NULL", "threshold_upper", "t", ""), ("'住民税非課税世帯'", "NULL", "NULL", "NULL", "tax_non_taxable", "t", "requires_non_taxable"),
+    ("'市民税が課税されている世帯'", "NULL", "NULL", "NULL", "tax_taxable", "t", "requires_taxable"), ("'区民。生活保護を受給している方'", "NULL", "NULL", "NULL", "welfare_required", "'生活保護を受給している方'", "requires_welfare"),
+    ("'生活保護世帯は除く'", "NULL", "NULL", "NULL", "welfare_excluded", "t", "excludes_welfare"), ("'区民の方'", "NULL", "NULL", "NULL", "", "NULL", ""),
+    (f"'区民の方。住民税非課税の世帯。所得が' || {_TEXT(_N)} || '万円以下'", "n * 10000", "true", "'income'", "threshold_upper", f"'所得が' || {_TEXT('n')} || '万円以下'", ""),
+    (f"repeat('あ', 100) || '所得が' || {_TEXT(_N)} || '万円以下' || repeat('い', 100)", "n * 10000", "true", "'income'", "threshold_upper", f"'…' || repeat('あ', 57) || '所得が' || {_TEXT('n')} || '万円以下' || repeat('い', 58) || '…'", ""),
+    ("'住民税課税世帯を除く。' || repeat('う', 70) || '住民税非課税' || repeat('え', 90)", "NULL", "NULL", "NULL", "tax_non_taxable", "repeat('う', 70) || '住民税非課税' || repeat('え', 44)", "requires_non_taxable"),
+)
 SQL = {
+    "income_each": f"""
+        SELECT o_orderkey AS id, CAST(o_orderkey % {len(INCOME_KINDS)} AS INT) AS kind, CAST({_N} AS BIGINT) AS n,
+          CASE o_orderkey % {len(INCOME_KINDS)} {' '.join(f'WHEN {k} THEN {text}' for k, (text, *_) in enumerate(INCOME_KINDS))} END AS t
+        FROM orders""",
     "age_texts": f"""
         SELECT o_orderkey AS id, CAST(o_orderkey % {len(AGE_KINDS)} AS INT) AS kind, CAST({_A} AS INT) AS a, CAST({_B} AS INT) AS b,
           CASE o_orderkey % {len(AGE_KINDS)} {' '.join(f'WHEN {k} THEN {text}' for k, (text, *_) in enumerate(AGE_KINDS))} END AS text

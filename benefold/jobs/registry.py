@@ -12,7 +12,7 @@ from ..sources import cache_log, publish
 from ..sources.registry import SCHEMA, read_registry
 from ..sources.shared import fresh_dir
 from . import explain
-from .fixtures import AGE_KINDS, TEXTS, benefits, benefits_with_texts, cte, fixture, profiles
+from .fixtures import AGE_KINDS, INCOME_KINDS, TEXTS, benefits, benefits_with_texts, cte, fixture, profiles
 
 FLAGSHIP = "match"
 QUERIES: dict = {}
@@ -340,6 +340,18 @@ def income_rules(spark, d):
     return texts.select("id", "text").join(known, "text").select("id", "x.max_yen", "x.max_inclusive", "x.basis", "x.rule", no(F.col("x.requires_non_taxable")).alias("non_taxable"), no(F.col("x.requires_welfare")).alias("welfare"))
 
 
+_FLAGS = ("requires_non_taxable", "requires_taxable", "requires_welfare", "excludes_welfare")
+_KINDS = lambda values, kind: "CAST(CASE kind " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + f" END AS {kind})"
+
+
+@query("income_rules_each", cte("income_each") + "SELECT id, " + ", ".join(f"{_KINDS([x[k] for x in INCOME_KINDS], kind)} AS {name}" for k, kind, name in ((1, "BIGINT", "max_yen"), (2, "BOOLEAN", "max_inclusive"), (3, "VARCHAR", "basis"), (5, "VARCHAR", "evidence")))
+       + f""", nullif({_KINDS([f"'{x[4]}'" for x in INCOME_KINDS], 'VARCHAR')}, '') AS rule, """ + ", ".join(f"{_KINDS([x[6] == flag if x[4] else 'NULL' for x in INCOME_KINDS], 'BOOLEAN')} AS {flag}" for flag in _FLAGS) + " FROM income_each")
+def income_rules_each(spark, d):
+    texts = fixture(spark, d, "income_each")
+    known = texts.select("t").distinct().withColumn("x", income.extract_income(F.col("t")))
+    return texts.select("id", "t").join(known, "t").select("id", "x.*")
+
+
 @query("required_names", cte("benefits") + "SELECT benefit_id, CASE record_seq % 11 WHEN 0 THEN '児童扶養手当' WHEN 1 THEN '児童扶養手当,育成手当' ELSE '' END AS names FROM benefits")
 def required_names(spark, d):
     return benefits(spark, d).select("benefit_id", F.array_join(refs.required_names(F.col("conditions_text")), ",").alias("names"))
