@@ -298,7 +298,7 @@ def cache_misses(spark, d):
 @query("first_wins", "SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type, min_by(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def first_wins(spark, d):
     log = spark.read.parquet(f"{d}/events.parquet")
-    return log.groupBy("user_id").agg(F.min_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*")
+    return nodes.first_by_key(log, ["user_id"], F.struct("ts", "event_id"), ["event_type", "value"])
 
 
 # --- rules on text ------------------------------------------------------------------------------------------------------
@@ -378,11 +378,14 @@ def documents_first(spark, d):
     return found.join(uses.groupBy("doc_id").agg(F.count("*").alias("n_benefits")), "doc_id").select("doc_id", "doc_name", "original_name", "n_benefits")
 
 
-@query("link_split", "SELECT page_id, '案内' AS title, url AS uri, '前。案内の後' AS plain FROM pages")
+@query("link_split", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN '案内=' || url WHEN 1 THEN 'A=' || url || '|B=' || url || '?x=1' WHEN 2 THEN '様式 (PDF: 30KB)=' || url || '.pdf' WHEN 3 THEN '=' || url ELSE '' END AS links,
+CASE page_id % 5 WHEN 0 THEN '前。案内の後' WHEN 1 THEN 'A;B' WHEN 2 THEN '様式 (PDF: 30KB)。続き' WHEN 3 THEN '見る。' ELSE 'ただの文' END AS plain FROM pages""")
 def link_split(spark, d):
-    raw = F.concat(F.lit("前。案内;"), "url", F.lit("の後"))
+    k, url, s = F.col("page_id") % 5, F.col("url"), (lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x)))
+    raw = F.when(k == 0, s("前。案内;", url, "の後")).when(k == 1, s("A;", url, ";B;", url, "?x=1")).when(k == 2, s("様式 (PDF: 30KB);", url, ".pdf。続き")).when(k == 3, s("見る。;", url)).otherwise(F.lit(" ただの文　"))
     x = spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.split_links(raw).alias("x"))
-    return x.select("page_id", F.col("x.links")[0]["title"].alias("title"), F.col("x.links")[0]["uri"].alias("uri"), "x.plain")
+    links = F.transform("x.links", lambda y: F.concat(F.coalesce(y["title"], F.lit("")), F.lit("="), y["uri"]))
+    return x.select("page_id", F.array_join(links, "|").alias("links"), "x.plain")
 
 
 @query("normalized_dates", """SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS VARCHAR) AS day, lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':05' AS time,
