@@ -137,7 +137,7 @@ def leads_to_resolved(spark, d):
 SELECT profile_id, CAST(step AS INT) AS step, from_benefit_id, to_benefit_id, relation, reason FROM s WHERE step <= 80""")
 def next_steps(spark, d):
     b = benefits(spark, d)
-    return serve.next_steps(serve.match(profiles(spark, d), b), _leads_to(spark, d), b).select("profile_id", "step", "from_benefit_id", "to_benefit_id", "relation", "reason")
+    return serve.next_steps_of_profiles(profiles(spark, d), _leads_to(spark, d), b).select("profile_id", "step", "from_benefit_id", "to_benefit_id", "relation", "reason")
 
 
 _STAGES = "stages(stage, s_lo, s_hi) AS (VALUES ('prenatal', NULL, NULL), " + ", ".join(f"('{k}', {a}, {b})" for k, a, b in serve.STAGES[1:]) + ")"

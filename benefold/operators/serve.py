@@ -57,6 +57,14 @@ def match(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFram
     """For every profile its first benefits: (profile_id, rank, the benefit's columns, matched ages, attributes, reasons).
 
     profiles: profile_id, area_code, ages (array of months, in request order), is_pregnant, is_single_parent, has_disability.
+    """
+    full = ranked_needs(profiles, benefits, limit).join(benefits, "benefit_id")
+    out = profiles.withColumnRenamed("area_code", "p_area").withColumn("need_id", _need_id("p_area"))
+    return explained(out.join(full, "need_id").drop("need_id"))
+
+
+def ranked_needs(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFrame:
+    """(need_id, rank, benefit_id): the first benefits of what profiles ask for; profiles that ask for the same share a need.
 
     No profile is joined with all benefits of an area. Months are coded by how many of the distinct bounds of all age ranges lie at or below them, so
     no month is out of reach and a missing bound is the first or the last code. A benefit is listed under the few aligned ranges of codes that make up its age
@@ -111,10 +119,7 @@ def match(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFram
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     own = asked.withColumn("salt", F.pmod(F.xxhash64("need_id", F.lit(0)), salts).cast("int"))
     best = own.join(found, ["area", "ask", *flags, "salt"]).groupBy("need_id").agg(F.collect_set(F.struct(*names)).alias("x"))  # ``limit`` of each ask and area
-    top = best.select("need_id", F.posexplode(F.slice(F.array_sort("x"), 1, limit)).alias("pos", "y")).select("need_id", (F.col("pos") + 1).alias("rank"), "y.benefit_id")
-    full = top.join(benefits, "benefit_id")
-    out = profiles.withColumnRenamed("area_code", "p_area").withColumn("need_id", _need_id("p_area"))
-    return explained(out.join(full, "need_id").drop("need_id"))
+    return best.select("need_id", F.posexplode(F.slice(F.array_sort("x"), 1, limit)).alias("pos", "y")).select("need_id", (F.col("pos") + 1).alias("rank"), "y.benefit_id")
 
 
 def _need_id(area: str) -> Column:
@@ -178,6 +183,16 @@ def next_steps(matches: DataFrame, edges: DataFrame, benefits: DataFrame, limit:
     return rows.withColumn("step", F.row_number().over(order)).where(F.col("step") <= limit)
 
 
+def next_steps_of_profiles(profiles: DataFrame, edges: DataFrame, benefits: DataFrame, limit: int = STEPS) -> DataFrame:
+    """:func:`next_steps` of the matches of profiles, worked out once for each need and then given to all of its profiles (a row of profiles each; repeated rows give repeated steps).
+
+    Of a need's benefits only the first ``PREFIX`` are ranked at all, so its lists are as long as steps need them.
+    """
+    needs = ranked_needs(profiles, benefits, PREFIX).withColumnRenamed("need_id", "profile_id")
+    steps = next_steps(needs, edges, benefits, limit).withColumnRenamed("profile_id", "need_id")
+    return profiles.select("profile_id", _need_id("area_code").alias("need_id")).join(steps, "need_id").drop("need_id")
+
+
 def timeline(benefits: DataFrame, per_stage: int = 8, by_area: bool = False) -> DataFrame:
     """The first benefits of each life stage (and area); eight stages, so the other side of the join is broadcast."""
     stages = F.broadcast(benefits.sparkSession.createDataFrame(STAGES, "stage string, s_lo int, s_hi int"))

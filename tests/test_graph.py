@@ -35,6 +35,19 @@ def test_next_steps_against_brute_force(spark):
     assert got == want and want
 
 
+def test_next_steps_once_for_each_need(spark):
+    from benefold.jobs import fixtures
+
+    data = "/root/testdata/sf0.001"
+    profiles, benefits = fixtures.profiles(spark, data), fixtures.benefits(spark, data)
+    profiles = profiles.union(profiles.withColumn("profile_id", F.col("profile_id") + 1_000_000)).withColumn("label", F.lit("x"))  # needs of two profiles each
+    leads = edges.leads_to(benefits, fixtures.fixture(spark, data, "requires_doc"))
+    columns = ["profile_id", "step", "from_benefit_id", "to_benefit_id", "relation", "reason"]
+    got, want = (sorted(map(tuple, df.select(columns).collect())) for df in (serve.next_steps_of_profiles(profiles, leads, benefits, 20), serve.next_steps(serve.match(profiles, benefits), leads, benefits, 20)))
+    assert got == want and len({x[0] for x in got}) > 200 and {x[1] for x in got} == set(range(1, 21))
+    assert serve.next_steps_of_profiles(profiles.limit(0), leads, benefits).count() == 0
+
+
 def test_shared_documents_against_brute_force(spark):
     r = random.Random(4)
     rows = [(f"b{i}", i, r.choice(["1", "2"]), "区", "t", None, None, None, None) for i in range(120)]
