@@ -94,6 +94,18 @@ def test_requires_edges(spark):
     assert got == {("a", "b"), ("e", "c")}
 
 
+def test_requires_edges_of_large_kinds(spark, monkeypatch):
+    """Kinds of many blocks, with both titles; nothing above the last explode groups or exchanges the pairs."""
+    monkeypatch.setattr(edges, "BLOCK", 7)
+    rows = [(f"b{i}", i, "1", "中央区", ["児童扶養手当", "新・育成手当", "x"][i % 3], None, None, ["児童扶養手当を受けている方", "中央区児童扶養手当または育成手当を受給している方", None][i // 3 % 3], None) for i in range(180)]
+    df = edges.requires_edges(benefits_of(spark, rows), titles=True)
+    want = [(a[0], b[0], "条件に「" + ("中央区" if b[1] // 3 % 3 and a[1] % 3 == 0 else "") + ("育成手当" if a[1] % 3 else "児童扶養手当") + "を受けている」とある", a[4], b[4])
+            for a in rows for b in rows if a != b and (a[1] % 3, b[1] // 3 % 3) in {(0, 0), (0, 1), (1, 1)}]
+    assert sorted(map(tuple, df.select("from_benefit_id", "to_benefit_id", "reason", "from_title", "to_title").collect())) == sorted(want)
+    assert not re.search("Exchange|Aggregate|Sort|Window", df._jdf.queryExecution().sparkPlan().toString().partition("Generate explode(targets")[0])
+    assert df.columns[:4] == edges.requires_edges(benefits_of(spark, rows)).columns
+
+
 def test_match_uses_effective_bounds_and_never_filters_by_attribute(spark):
     b = spark.createDataFrame([("x", "1", "区", 12, 35, "inferred", False, ["088"], "b"), ("y", "130001", "都", None, None, "unknown", False, None, "a"), ("z", "2", "町", 0, 100, "explicit", False, [], "c"), ("p", "1", "区", None, 0, "explicit", True, [], "d")],
                               "benefit_id string, area_code string, area_name string, effective_min_age_months int, effective_max_age_months int, age_source string, is_prenatal boolean, target_codes array<string>, title string")
