@@ -116,6 +116,23 @@ def test_match_uses_effective_bounds_and_never_filters_by_attribute(spark):
     assert got == {1: [("x", [20]), ("y", [20, 50])], 2: [("x", [20]), ("z", [20]), ("y", [20])], 3: [("p", [])], 4: [("y", [])]}
 
 
+def test_statuses_of_odd_records(spark):
+    """The first record names a place, whatever it is called later; codes are trimmed and repeated ones count once; null bounds and areas; names are made after rows are brought together."""
+    rows = [(5, "a", None, 3, "1", "", ["088，088 "]), (4, "b", 0, 3, "1", "新宿区", None), (3, "c", None, 3, "1", "港区", ["777"]), (2, "d", None, None, None, "x", []), (1, "d", None, None, "", "y", [" "]), (6, "a", None, 3, "1", "港区", ["090", "088"])]
+    b = spark.createDataFrame(rows, "record_seq long, benefit_id string, effective_min_age_months int, effective_max_age_months int, area_code string, area_name string, target_codes array<string>")
+    b = b.withColumns({f"{k}_codes": F.array().cast("array<string>") for k in ("category", "content")})
+    ident = lambda kind, x: f"{kind}_" + hashlib.md5(f"{kind}|{x}".encode()).hexdigest()[:12]
+    upper, span, place = ident("AGE", "None|3"), ident("AGE", "0|3"), ident("LOCATION", "1")
+    t = {c: ident("TAG_TARGET", c) for c in ("088", "090", "777")}
+    got, needs = nodes.build_statuses(b)
+    assert sorted(map(tuple, needs.collect())) == sorted([("a", upper), ("a", place), ("a", t["088"]), ("a", t["090"]), ("b", span), ("b", place), ("c", upper), ("c", place), ("c", t["777"])])
+    assert {r["status_id"]: (r["name"], r["type"], r["code"]) for r in got.collect()} == {
+        upper: ("3か月以下", "AGE", None), span: ("0歳〜3か月", "AGE", None), place: ("港区", "LOCATION", "1"), t["088"]: ("ひとり親家庭（088）", "TAG_TARGET", "088"), t["090"]: ("障がい児（090）", "TAG_TARGET", "090"), t["777"]: ("分類777（777）", "TAG_TARGET", "777")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("min(record_seq"):].partition("\n")[2]
+    assert "md5(" in plan and below and "md5(" not in below
+
+
 def test_match_has_no_limits_of_months(spark):
     """Against brute force: months far out, negative ones, open and inverted ranges, repeated ages, no areas."""
     r = random.Random(9)
