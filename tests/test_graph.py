@@ -133,6 +133,22 @@ def test_statuses_of_odd_records(spark):
     assert "md5(" in plan and below and "md5(" not in below
 
 
+def test_what_is_joined_and_made_distinct(spark):
+    """Names aren't part of what is made distinct; documents meet their names before statuses multiply them; few common documents are left out without moving uses by document."""
+    b = spark.createDataFrame([(f"b{i}", i, "1", "t") for i in range(4)] + [("b0", 0, "1", "t")], "benefit_id string, record_seq long, area_code string, title string")
+    need = spark.createDataFrame([("b0", "s"), ("b0", "s"), ("b1", "s"), ("x", "s")], "benefit_id string, status_id string")
+    said = spark.createDataFrame([("s", "S"), ("s", "S")], "status_id string, name string")
+    docs = spark.createDataFrame([("d", "D", True), ("d", "D", True), ("e", "E", False)], "doc_id string, doc_name string, is_probable_document boolean")
+    uses = spark.createDataFrame([("b0", "d"), ("b0", "d"), ("b1", "d"), ("b1", "e"), ("x", "d"), (None, "d"), ("b2", None), ("b3", None)], "benefit_id string, doc_id string")
+    n, e = serve.neighbourhood(b, need, said, uses, docs)
+    assert sorted(map(tuple, e.collect())) == [("b0", "d", "REQUIRES_DOC"), ("b0", "s", "REQUIRES"), ("b1", "d", "REQUIRES_DOC"), ("b1", "s", "REQUIRES")]
+    assert not re.search(r"Aggregate \[benefit_id#\d+, \w+_id#\d+, name", n._jdf.queryExecution().optimizedPlan().toString())
+    plan = serve.relation_rows(b, need, said, uses, docs)._jdf.queryExecution().analyzed().toString()
+    assert "Using(Inner" not in plan and plan.index("benefit_id#") >= 0 and [re.search(r"\((\w+)#", x)[1] for x in re.findall(r"Join Inner, .*", plan)] == ["benefit_id", "status_id", "benefit_id", "doc_id"]
+    shared = edges.shared_doc_edges(b.where("benefit_id <> 'b0' or title = 't'").distinct(), uses)
+    assert {(x[0], x[1]) for x in shared.collect()} == set() and "LeftAnti" in shared._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_match_has_no_limits_of_months(spark):
     """Against brute force: months far out, negative ones, open and inverted ranges, repeated ages, no areas."""
     r = random.Random(9)
