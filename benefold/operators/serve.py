@@ -63,8 +63,8 @@ def match(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFram
     return explained(out.join(full, "need_id").drop("need_id"))
 
 
-def ranked_needs(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFrame:
-    """(need_id, rank, benefit_id): the first benefits of what profiles ask for; profiles that ask for the same share a need.
+def ranked_needs(profiles: DataFrame, benefits: DataFrame, limit: int = 60, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """(need_id, rank, benefit_id, and of sp, dis and is_prenatal those asked for): the first benefits of what profiles ask for; profiles that ask for the same share a need.
 
     No profile is joined with all benefits of an area. Months are coded by how many of the distinct bounds of all age ranges lie at or below them, so
     no month is out of reach and a missing bound is the first or the last code. A benefit is listed under the few aligned ranges of codes that make up its age
@@ -99,6 +99,8 @@ def ranked_needs(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> D
     order = [F.when(F.col("sp_first"), ~F.col("sp")).otherwise(False).alias("o1"), F.when(F.col("dis_first"), ~F.col("dis")).otherwise(False).alias("o2"), F.col("source").alias("o3"),
              F.col(LO).isNull().alias("o4"), F.col(LO).alias("o5"), F.col("title").alias("o6"), "benefit_id"]
     names = ["o1", "o2", "o3", "o4", "o5", "o6", "benefit_id"]
+    told = [F.col(c).alias(f"_{c}") for c in attributes]
+    carried = [f"_{c}" for c in attributes]
 
     def first(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
         return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("_rn") <= limit).drop("_rn")
@@ -110,7 +112,7 @@ def ranked_needs(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> D
     listed = listed.withColumn("area", F.explode(F.array("area", F.lit(EVERYWHERE)))).where("area <> ''")
     listed = first(listed, ["area", "node", "sp", "dis"], ["source", F.col(LO).asc_nulls_last(), "title", "benefit_id"])
     each = orders.select("area", *flags).distinct()
-    listed = first(listed.join(each, "area").select("area", "node", *flags, *order), ["area", "node", *flags], names)
+    listed = first(listed.join(each, "area").select("area", "node", *flags, *order, *told), ["area", "node", *flags], names)
     of_ask = codes.select(F.col("month").alias("ask"), "code")
     above = F.when(F.col("code").isNull(), F.array("ask")).otherwise(_above(F.col("code"), depth))
     found = orders.join(of_ask, "ask", "left").withColumn("node", F.explode(above)).drop("code").join(listed, ["area", "node", *flags])
@@ -118,8 +120,8 @@ def ranked_needs(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> D
     salts = F.when(F.col("area").isin(P.WIDE, EVERYWHERE), SALTS).otherwise(1)
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     own = asked.withColumn("salt", F.pmod(F.xxhash64("need_id", F.lit(0)), salts).cast("int"))
-    best = own.join(found, ["area", "ask", *flags, "salt"]).groupBy("need_id").agg(F.collect_set(F.struct(*names)).alias("x"))  # ``limit`` of each ask and area
-    return best.select("need_id", F.posexplode(F.slice(F.array_sort("x"), 1, limit)).alias("pos", "y")).select("need_id", (F.col("pos") + 1).alias("rank"), "y.benefit_id")
+    best = own.join(found, ["area", "ask", *flags, "salt"]).groupBy("need_id").agg(F.collect_set(F.struct(*names, *carried)).alias("x"))  # ``limit`` of each ask and area
+    return best.select("need_id", F.posexplode(F.slice(F.array_sort("x"), 1, limit)).alias("pos", "y")).select("need_id", (F.col("pos") + 1).alias("rank"), "y.benefit_id", *(F.col(f"y._{c}").alias(c) for c in attributes))
 
 
 def _need_id(area: str) -> Column:
@@ -170,6 +172,17 @@ def group_by_attribute(matches: DataFrame) -> DataFrame:
     return matches.groupBy("profile_id", group.alias("group")).agg(F.count("*").alias("n"))
 
 
+def match_groups(profiles: DataFrame, benefits: DataFrame, limit: int = 60) -> DataFrame:
+    """:func:`group_by_attribute` of :func:`match`: a need's benefits bring the attributes that groups are made of and are counted before profiles meet them,
+    eight rows for each at most; matches themselves are neither joined with benefits nor exchanged."""
+    found = ["sp", "dis", "is_prenatal"]
+    counts = ranked_needs(profiles, benefits, limit, tuple(found)).groupBy("need_id", *found).agg(F.count("*").alias("n"))
+    asked = [("single_parent", "is_single_parent", "sp"), ("disability", "has_disability", "dis"), ("prenatal", "is_pregnant", "pre")]
+    rows = profiles.select("profile_id", _need_id("area_code").alias("need_id"), *(c for _, c, _ in asked)).join(counts.withColumnRenamed("is_prenatal", "pre"), "need_id")
+    group = F.coalesce(*(F.when(F.col(c) & F.col(has), F.lit(k)) for k, c, has in asked), F.lit("other"))
+    return rows.groupBy("profile_id", group.alias("group")).agg(F.sum("n").alias("n"))
+
+
 def next_steps(matches: DataFrame, edges: DataFrame, benefits: DataFrame, limit: int = STEPS) -> DataFrame:
     """Outgoing edges of each profile's first matches with both titles, by relation and titles."""
     names = benefits.select("benefit_id", "title")

@@ -116,6 +116,18 @@ def test_match_uses_effective_bounds_and_never_filters_by_attribute(spark):
     assert got == {1: [("x", [20]), ("y", [20, 50])], 2: [("x", [20]), ("z", [20]), ("y", [20])], 3: [("p", [])], 4: [("y", [])]}
 
 
+def test_groups_without_joining_matches(spark):
+    """Counts of needs, of repeated profiles too, equal the groups of all matches; benefits aren't joined by id."""
+    from benefold.jobs import fixtures
+
+    data = "/root/testdata/sf0.001"
+    profiles, benefits = fixtures.profiles(spark, data), fixtures.benefits(spark, data)
+    profiles = profiles.union(profiles.limit(20)).union(profiles.limit(30).withColumn("is_pregnant", F.lit(None).cast("boolean")).withColumn("profile_id", -F.col("profile_id")))
+    got = serve.match_groups(profiles, benefits, 9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, serve.group_by_attribute(serve.match(profiles, benefits, 9)).collect()))
+    assert not re.search(r"Join \w+, \(benefit_id", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_statuses_of_odd_records(spark):
     """The first record names a place, whatever it is called later; codes are trimmed and repeated ones count once; null bounds and areas; names are made after rows are brought together."""
     rows = [(5, "a", None, 3, "1", "", ["088，088 "]), (4, "b", 0, 3, "1", "新宿区", None), (3, "c", None, 3, "1", "港区", ["777"]), (2, "d", None, None, None, "x", []), (1, "d", None, None, "", "y", [" "]), (6, "a", None, 3, "1", "港区", ["090", "088"])]
