@@ -104,3 +104,26 @@ def test_required_names(spark):
     assert all(r["x"] == cases[r["i"]][1] for r in rows.select("i", refs.required_names(F.col("t")).alias("x")).collect())
     pairs = spark.createDataFrame([("特別児童扶養手当", "児童扶養手当", False), ("児童扶養手当", "児童扶養手当", True), ("新・児童扶養手当", "児童扶養手当", True), (None, "x", False), ("a.b", "b", True)], "t string, n string, ok boolean")
     assert all(r["ok"] == r["x"] for r in pairs.select("ok", refs.title_refers_to(F.col("t"), F.col("n")).alias("x")).collect())
+
+
+def test_trimming_takes_all_white_space_and_tries_no_pattern(spark):
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"{c}{c}a {c}b{c}") for c in chars], "c string, t string")
+    assert rows.where(~F.col("t").eqNullSafe(F.concat("c", "c", F.lit("a "), "c", F.lit("b"), "c"))).count() == 0
+    want = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert rows.where(T.trimmed(F.col("t")) != want).count() == 0 and rows.where(T.trimmed(F.col("t")) != F.col("t")).count() == 25
+    assert "regexp" not in str(T.clean_text(F.col("t")))
+
+
+def test_links_are_marked_by_one_pass_also_in_texts_with_marks(spark):
+    cases = ["費用 案内;https://a.example/1.html等の 表;https://a.example/2", "a\u0001b 案内;https://a.example/1\u0002x", "\u0002;https://a.example/\u0001", "https://b.example/;https://a.example/", ";http", "x;https://", "", None, "a\n表;https://a.example/あ 次"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    x = T.split_links(F.col("t"))
+    plain = F.when(F.col("t").contains(";http"), T.clean_text(F.regexp_replace("t", T.LINK, "$1$3"))).otherwise(T.clean_text(F.col("t")))
+    got = rows.select("i", x["links"]["uri"].alias("uris"), F.regexp_extract_all("t", F.lit(T.LINK), 2).alias("want"), x["plain"].alias("plain"), plain.alias("want_plain")).collect()
+    assert all((r["uris"] or []) == (r["want"] or []) and r["plain"] == r["want_plain"] for r in got), got
+
+
+def test_income_of_a_text_with_a_control_character_in_its_cue(spark):
+    rows = spark.createDataFrame([("住民税非課\u0001税世帯",), ("区民の方",), (None,)], "t string").select(income.extract_income(F.col("t"))["rule"].alias("rule")).collect()
+    assert [r["rule"] for r in rows] == ["tax_non_taxable", None, None]
