@@ -458,3 +458,11 @@ def test_predicates_differ_on_missing_bounds(spark):
     assert tuple(r) == (True, False, True)
     below = spark.createDataFrame([(None, -5, -7, None, True), (None, -5, -4, None, False), (-9, None, None, -10, False), (None, None, None, -10**6, True), (3, 1, None, None, True)], "a int, b int, c int, d int, ok boolean")
     assert all(x["ok"] == x["got"] for x in below.select("ok", filters.ranges_overlap(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("got")).collect())
+
+
+def test_uses_of_documents_are_exchanged_once_to_be_distinct(spark):
+    rows = spark.createDataFrame([(f"b{k}", "131016", k) for k in range(50)], "benefit_id string, area_code string, record_seq long")
+    uses = spark.createDataFrame([(f"b{k}", f"d{k // 2}") for k in range(50)] + [(f"b{k}", "common") for k in range(50)] + [("b0", None)], "benefit_id string, doc_id string")
+    out = edges.shared_doc_edges(rows, uses.distinct())
+    assert {(r[0], r[1]) for r in out.collect()} == {(f"b{k}", f"b{k + 1}") for k in range(0, 50, 2)}
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
