@@ -106,6 +106,41 @@ def test_requires_edges_of_large_kinds(spark, monkeypatch):
     assert df.columns[:4] == edges.requires_edges(benefits_of(spark, rows)).columns
 
 
+def test_first_edges_of_what_is_matched(spark):
+    """Every title links with every demand, but steps are made from the first few edges of matched benefits only; equal needs and equal matches are worked out once."""
+    demand = ["児童扶養手当を受けている方", "児童扶養手当または育成手当を受給している方", None]
+    rows = [(f"b{i:03d}", i, "12"[i % 2], "区", ["児童扶養手当", "新・育成手当", "c", "a"][i // 2 % 4], [None, 0, 6, 14][i % 7 % 4], [None, 11][i % 5 % 2], demand[i // 3 % 3], None) for i in range(400)]
+    b = benefits_of(spark, rows).withColumns({"age_source": F.lit("explicit"), "is_prenatal": F.lit(False), "target_codes": F.array().cast("array<string>")})
+    uses = spark.createDataFrame([(f"b{i:03d}", f"d{i // k}") for i in range(0, 400, 3) for k in (8, 30)], "benefit_id string, doc_id string")
+    every = edges.leads_to(b, uses)
+    whole = {}
+    for x in every.join(b.select(F.col("benefit_id").alias("to_benefit_id"), "title"), "to_benefit_id").collect():
+        whole.setdefault((x["from_benefit_id"], x["relation"]), set()).add((x["title"], x["to_benefit_id"], x["reason"]))
+    some = {f"b{i:03d}" for i in range(0, 400, 9)}
+    got = {}
+    for x in edges.first_leads_to(b, uses, spark.createDataFrame([(x,) for x in some], "benefit_id string"), 5).collect():
+        got.setdefault((x["from_benefit_id"], x["relation"]), set()).add((x["to_benefit_id"], x["reason"]))
+    assert set(got) == {k for k in whole if k[0] in some} and {k[1] for k in got} == {"REQUIRES_BENEFIT", "SHARED_DOC", "NEXT_STEP"}
+    for (a, relation), found in got.items():
+        want = sorted(whole[a, relation])
+        assert {x[1:] for x in want[:5 if relation == "REQUIRES_BENEFIT" else None]} <= found <= {x[1:] for x in want} and (relation != "REQUIRES_BENEFIT" or len(found) <= 6 < len(want))
+    p = spark.createDataFrame([(i, ["1", "2", None][i % 3], [[], [3], [3, 9], [8]][i % 4], False, False, False) for i in range(60)] + [(3, "1", [8], False, False, False)], "profile_id int, area_code string, ages array<int>, is_pregnant boolean, is_single_parent boolean, has_disability boolean")
+    asked = []
+
+    def first(of):
+        asked.extend(x[0] for x in of.collect())
+        return edges.first_leads_to(b, uses, of, 70)
+
+    plain, title = {}, {x[0]: x[4] for x in rows}
+    for m in serve.match(p.where("profile_id <> 3"), b).where("rank <= 30").collect():
+        plain.setdefault(m["profile_id"], []).extend((serve.RELATIONS.index(k[1]), title[k[0]], t, k[0], to, why) for k in whole if k[0] == m["benefit_id"] for t, to, why in whole[k])
+    want = [(i, n + 1, *x[3:5], serve.RELATIONS[x[0]], x[5]) for i, found in plain.items() for n, x in enumerate(sorted(found)[:70])]
+    out = serve.next_steps_of_profiles(p, first, b, 70)
+    got = sorted(tuple(x) for x in out.where("profile_id <> 3").select("profile_id", "step", "from_benefit_id", "to_benefit_id", "relation", "reason").collect())
+    assert got == sorted(want) and {x[4] for x in got} >= {"REQUIRES_BENEFIT", "SHARED_DOC"}
+    assert len(asked) == len(set(asked)) < 400 and out.where("profile_id = 3").count() == 140  # two rows of one profile
+
+
 def test_match_uses_effective_bounds_and_never_filters_by_attribute(spark):
     b = spark.createDataFrame([("x", "1", "区", 12, 35, "inferred", False, ["088"], "b"), ("y", "130001", "都", None, None, "unknown", False, None, "a"), ("z", "2", "町", 0, 100, "explicit", False, [], "c"), ("p", "1", "区", None, 0, "explicit", True, [], "d")],
                               "benefit_id string, area_code string, area_name string, effective_min_age_months int, effective_max_age_months int, age_source string, is_prenatal boolean, target_codes array<string>, title string")
