@@ -106,6 +106,17 @@ def test_requires_edges_of_large_kinds(spark, monkeypatch):
     assert df.columns[:4] == edges.requires_edges(benefits_of(spark, rows)).columns
 
 
+def test_requires_edges_keep_no_tile(spark):
+    """Sources are unfolded one by one, not fused with what unfolds their edges (which would keep all edges of a tile); demands are read twice, for kinds and for members, whatever reads links."""
+    rows = [(f"b{i}", i, "12"[i % 2], "区", ["児童扶養手当", "x"][i // 2 % 2], None, None, ["児童扶養手当を受けている方", None][i // 4 % 2], None) for i in range(80)]
+    df = edges.requires_edges(benefits_of(spark, rows))
+    assert len(df.collect()) == sum(a[2] == b[2] and a[4] != "x" and b[7] is not None and a != b for a in rows for b in rows)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
+    fused = [bool(x) for x in re.findall(r"(\*\(\d+\) )?Generate explode\([^\n]*sources#\d+", plan)]
+    assert fused == [False] and len(re.findall("ReusedExchange|ReusedQueryStage", plan)) >= 2
+
+
 def test_first_edges_of_what_is_matched(spark):
     """Every title links with every demand, but steps are made from the first few edges of matched benefits only; equal needs and equal matches are worked out once."""
     demand = ["児童扶養手当を受けている方", "児童扶養手当または育成手当を受給している方", None]
